@@ -37,6 +37,7 @@ def stash(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     and what is lost with an executor is read again instead of computed again."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is now a table
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
