@@ -6,6 +6,7 @@ from spanlark.llm.exact_dedup import op5_exact_dedup
 from spanlark.llm.mixing import op1_mixing
 from spanlark.llm.near_dedup import op2_near_dedup
 from spanlark.llm.pii import op9_pii
+from spanlark.llm.pitman_yor import op7_pitman_yor
 from spanlark.llm.prefix_bpe import op6_bpe
 from spanlark.llm.quality import op8_quality
 from spanlark.llm.substring_dedup import op3_substring_dedup
@@ -14,7 +15,7 @@ from spanlark.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_dedup, op6_bpe, op8_quality, op9_pii, op10_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_dedup, op6_bpe, op7_pitman_yor, op8_quality, op9_pii, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
