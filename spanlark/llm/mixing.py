@@ -7,13 +7,13 @@
    (0 or 1) as a whole, and what remains is a subset-sum problem over (size, count). First every size gives
    its proportional share of documents, then large sizes fill until less than ``window`` words plus one
    document remain, then a bounded-knapsack program over the words that remain finds the nearest reachable sum.
-3. Of each (source, size), that many documents are chosen by a seeded hash of the id. Groups are cut into
+3. Of each (source, size), that many documents are chosen by a seeded hash of the row. Groups are cut into
    buckets of the hash; whole buckets go by their cumulative counts and only one bucket of a group is ranked,
    so a source or size that holds most rows is spread over many tasks.
 
 Only the histogram of a source, at most a row for each distinct size, is ever in one task, and one row for each
-source on the driver. Null texts have size 0. A null source is a source of its own, ordered last. Repeated ids
-are told apart by a hash of the text; rows that agree in everything are interchangeable. Sources without words
+source on the driver. Null texts have size 0. A null source is a source of its own, ordered last. Rows that
+share an id draw by their other columns; rows that agree in everything are interchangeable. Sources without words
 have target 0. An empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlark.llm.common import WORD, stash
@@ -106,15 +106,20 @@ def chosen_by_size(histogram: pd.DataFrame, window: int) -> pd.DataFrame:
     return out.astype({"rounds": "int64", "n_more": "int64"})
 
 
+def row_hash(docs: DataFrame, seed: int = 17) -> Column:
+    """The lot that a row draws: rows that agree in everything draw the same."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(seed))
+
+
 def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, source and copies (taken = copies * size)."""
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies (taken = copies * size), source, lot."""
     spark = docs.sparkSession
     sized = stash(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), F.lit(seed)).alias("lot"),
+            row_hash(docs, seed).alias("lot"),
         ).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     )
     histogram = stash(sized.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")))
@@ -134,12 +139,12 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: Fraction =
     here = by_bucket.select("source_key", "size", "bucket", F.greatest(F.lit(0), F.least("m", F.col("n_more") - F.coalesce(F.sum("m").over(earlier), F.lit(0)))).alias("n_here"))
     rank = Window.partitionBy("source_key", "size", "bucket").orderBy("lot", F.col("doc_id").asc_nulls_last())
     ranked = partial.join(here, ["source_key", "size", "bucket"]).withColumn("rank", F.row_number().over(rank))
-    more = ranked.select("doc_id", "source_key", "size", (F.col("rounds") + (F.col("rank") <= F.col("n_here")).cast("long")).alias("copies"))
-    whole = lots.where("n_more not between 1 and n - 1").select("doc_id", "source_key", "size", (F.col("rounds") + (F.col("n_more") > 0).cast("long")).alias("copies"))
-    none = sized.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("copies"))
+    more = ranked.select("doc_id", "source_key", "size", "lot", (F.col("rounds") + (F.col("rank") <= F.col("n_here")).cast("long")).alias("copies"))
+    whole = lots.where("n_more not between 1 and n - 1").select("doc_id", "source_key", "size", "lot", (F.col("rounds") + (F.col("n_more") > 0).cast("long")).alias("copies"))
+    none = sized.where("size = 0").select("doc_id", "source_key", "size", "lot", F.lit(0).cast("long").alias("copies"))
     mixed = more.unionByName(whole).unionByName(none)
     return mixed.join(F.broadcast(table) if len(rows) <= 10_000 else table, "source_key").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(F.col("source_key") != "null", F.substring("source_key", 2, 1 << 30)).alias("source")
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(F.col("source_key") != "null", F.substring("source_key", 2, 1 << 30)).alias("source"), "lot"
     )
 
 
