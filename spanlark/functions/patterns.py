@@ -49,8 +49,9 @@ def matches(scanned: Column, table: Table) -> Column:
 def add_scores(df: DataFrame, scanned: Column, patterns: Table, benign: Table = BENIGN) -> DataFrame:
     """Adds matched (array of needle, category, score), severity, is_suspicious and is_benign for the sanitised text ``scanned``."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, p: s + p["score"])
-    low = F.lower(F.coalesce(scanned, F.lit("")))
-    df = df.withColumn("matched", matches(low, patterns)).withColumn("benign_matched", matches(low, benign))
+    df = df.withColumn("_low", F.lower(F.coalesce(scanned, F.lit(""))))  # a column, for Python functions may not stand in a lambda
+    low = F.col("_low")
+    df = df.withColumn("matched", matches(low, patterns)).withColumn("benign_matched", matches(low, benign)).drop("_low")
     df = df.withColumn("severity", F.coalesce(F.array_max(F.transform("matched", lambda p: p["score"])), F.lit(0.0)))
     df = df.withColumn("is_suspicious", F.col("severity") >= 0.5)
     return df.withColumn("is_benign", (total(F.col("benign_matched")) > total(F.col("matched"))) & ~F.col("is_suspicious")).drop("benign_matched")

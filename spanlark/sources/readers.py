@@ -8,8 +8,13 @@ from pyspark.sql import types as T
 
 from spanlark.functions import text as X
 
-INSTANCE = T.StructType.fromDDL("instance_id string, id string, problem_statement string, prompt string, repo_path string, repo_id string, repo string, base_commit string, test_command string")
-PATCH = T.StructType.fromDDL("instance_id string, patch_id string, id string, group_id string, patch string, unified_diff string, diff string, adv_patch string, model_patch string")
+
+def of_strings(names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names.split()])
+
+
+INSTANCE = of_strings("instance_id id problem_statement prompt repo_path repo_id repo base_commit test_command")
+PATCH = of_strings("instance_id patch_id id group_id patch unified_diff diff adv_patch model_patch")
 SKIP_FOLDERS = [".git", ".hg", ".svn", ".tox", ".venv", "venv", "__pycache__", "node_modules", "site-packages"]
 MODES = {"strict": "FAILFAST", "lenient": "DROPMALFORMED", "permissive": "PERMISSIVE"}
 
