@@ -28,6 +28,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 FLOORS = (1.0, 0.5, 0.1, 0.2, 0.15)
 #: Bin widths of their histograms, and the number of bins for each doubling of a distance.
 BINS, PER_OCTAVE = (1 / 64, 1 / 128, 1 / 256, 1 / 256, 1 / 256), 32
+#: A mean word length is uncertain by one over the root of its words: below SURE words it is drawn towards TYPICAL by that much.
+TYPICAL, SURE = 5.0, 40.0
 X = [f"x{i}" for i in range(5)]
 PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
@@ -122,7 +124,7 @@ def judge(docs: DataFrame, *, min_words: int = 10, max_repeat: int = 20, keep_sh
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     words = F.greatest("n_words", F.lit(1)).cast("double")
     base = base.withColumn("base_failed", failed).withColumns({
-        "x0": F.log(words), "x1": F.col("word_chars") / words, "x2": F.sqrt(F.col("n_symbols") / words),
+        "x0": F.log(words), "x1": TYPICAL + (F.col("word_chars") / words - TYPICAL) * F.sqrt(F.least(words, F.lit(SURE)) / SURE), "x2": F.sqrt(F.col("n_symbols") / words),
         "x3": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), "x4": F.sqrt(F.col("n_repeat_words") / words),
     })
     base = stash(base)
