@@ -238,11 +238,11 @@ def cache_lookup(t):
     return relational.cache_lookup(t("events").withColumnRenamed("user_id", "cache_key"), cache).select("event_id", "cache_hit", "cached_text")
 
 
-@query("""WITH a AS (SELECT unnest(['lite', 'pro']) AS dataset, unnest([0, 1]) AS i), b AS (SELECT unnest(['none', 'fcv', 'udora']) AS attack, unnest([0, 1, 2]) AS j), c AS (SELECT n_name AS baseline, n_nationkey AS k FROM nation)
+@query("""WITH a AS (SELECT unnest(['lite', 'pro']) AS dataset, unnest([0, 1]) AS i), b AS (SELECT unnest(['none', 'rewrite', 'dialogue']) AS attack, unnest([0, 1, 2]) AS j), c AS (SELECT n_name AS baseline, n_nationkey AS k FROM nation)
 SELECT (i * 75 + j * 25 + k + 1)::BIGINT AS index, dataset, attack, baseline, lpad((i * 75 + j * 25 + k + 1)::VARCHAR, 3, '0') || '_' || dataset || '_' || attack || '_' || baseline AS run_name FROM a, b, c""")
 def matrix_cross_join(t):
     nations = [r[0] for r in t("nation").orderBy("n_nationkey").select("n_name").collect()]  # 25 rows: one axis of the matrix
-    return relational.matrix(t("nation").sparkSession, {"dataset": ["lite", "pro"], "attack": ["none", "fcv", "udora"], "baseline": nations})
+    return relational.matrix(t("nation").sparkSession, {"dataset": ["lite", "pro"], "attack": ["none", "rewrite", "dialogue"], "baseline": nations})
 
 
 @query("""WITH n AS (SELECT c_custkey, count(*) AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
