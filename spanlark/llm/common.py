@@ -41,6 +41,27 @@ def stash(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stash`` has written and nothing reads any more."""
+    if files := table.inputFiles():
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+HEAVY = 1000
+
+
+def join_weighted(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``small``, which has a row for each key with the number ``weight`` of its rows.
+
+    At most ``HEAVY`` keys can have more than one in ``HEAVY`` of all rows, so these are broadcast whatever the size of the
+    data; what is then left to shuffle has no key with more."""
+    heavy = small.where(F.col("weight") * HEAVY > total)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(small.where(F.col("weight") * HEAVY <= total), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light).drop("weight")
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -81,6 +102,13 @@ class WordHash(dict):
 WORDS = WordHash()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
