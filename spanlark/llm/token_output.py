@@ -13,9 +13,11 @@ first, so repeated ids are defined. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import in_chunks, shared_dir, stash, texts, width
+from spanlark.llm.common import byte_letters, in_chunks, shared_dir, stash, texts, width
 
 MAGIC = b"SPLKPLN1"
 SHARD = "part long, seq long, path string, n_docs long, n_tokens long"
@@ -125,10 +127,14 @@ class ShardReader:
 class PieceEncoder:
     """The tokenizers library, asked once for each distinct piece between single spaces.
 
-    The vocabulary's pattern never matches across a space but for one that leads a piece, so a text whose
-    pieces neither begin nor end in white space has exactly its pieces' ids; any other text is encoded whole."""
+    The vocabulary's pattern never matches across a space but for one that leads a piece, and a single line feed between
+    other characters is a piece by itself. So a text without other white space has exactly its pieces' ids; texts with
+    ``ODD`` white space are encoded whole. Of a piece, Latin letters and the signs behind them are a match of the pattern
+    each, and go to the library's merges at once."""
 
-    limit = 500_000
+    limit = 1_000_000
+    ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+    PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -136,50 +142,60 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.line = self.ask(["\n"])[0]
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.line = self.ask("\n")
+        self.first, self.later, self.signs = Pieces(self, ""), Pieces(self, " "), {}
 
-    def ask(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def ask(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def match(self, text: str) -> bytes:
+        """Ids of what the pattern takes as one match: the library's merges, without its search for matches."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def batch(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, little-endian 32 bits."""
-        plans: list[list[str] | None] = []
-        missing: set[str] = set()
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
+        first, later, out = self.first.__getitem__, self.later.__getitem__, []
         for text in batch:
-            keys: list[str] | None = []
-            head, *rest = text.split(" ")
-            for lead, piece in [("", head), *[(" ", p) for p in rest]]:
-                if piece[:1].isspace() or piece[-1:].isspace() or not piece:
-                    keys = None
-                    break
-                if "\n" in piece:
-                    parts = piece.split("\n")
-                    if any(p[:1].isspace() or p[-1:].isspace() or not p for p in parts):
-                        keys = None
-                        break
-                    keys.append(lead + parts[0])
-                    for p in parts[1:]:
-                        keys.append("\n")
-                        keys.append(p)
-                else:
-                    keys.append(lead + piece)
-            plans.append(keys)
-            if keys:
-                missing.update(k for k in keys if k not in known)
-        asked = list(missing)
-        for at in range(0, len(asked), 4096):
-            known.update(zip(asked[at : at + 4096], self.ask(asked[at : at + 4096]), strict=True))
-        known["\n"] = self.line
-        out = []
-        for text, keys in zip(batch, plans, strict=True):
-            out.append(b"".join([known[k] for k in keys]) if keys is not None else self.ask([text])[0])
+            if not text or self.ODD.search(text):
+                out.append(self.ask(text) if text else b"")
+                continue
+            parts: list[bytes] = []
+            for line in text.split("\n"):
+                pieces = line.split(" ")
+                parts.append(self.line)
+                parts.append(first(pieces[0]))
+                parts.extend(map(later, pieces[1:]))
+            out.append(b"".join(parts[1:]))
         return out
 
 
+class Pieces(dict):
+    """Ids of pieces, each asked for once; ``lead`` is what stands before them."""
+
+    def __init__(self, owner: PieceEncoder, lead: str) -> None:
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        owner = self.owner
+        if len(self) >= owner.limit:
+            self.clear()
+        if m := owner.PARTS.fullmatch(piece):
+            word, signs = m.groups()
+            if signs:
+                if signs not in owner.signs:
+                    if len(owner.signs) > 100_000:
+                        owner.signs.clear()
+                    owner.signs[signs] = owner.match(signs)
+                ids = self[word] + owner.signs[signs]
+            else:
+                ids = owner.match(self.lead + word)
+        else:
+            ids = owner.ask(self.lead + piece)
+        self[piece] = ids
+        return ids
+
+
 ENCODERS: dict[str, PieceEncoder] = {}
 
 
