@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import grams, in_chunks, mix, stash, texts, width, word_hashes
+from spanlark.llm.common import grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
 from spanlark.llm.components import components
 
 BANDS, BATCH = 28, 28
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     own = texts(docs, id_col=id_col, text_col=text_col)
     table = stash(own.mapInArrow(partial(features, k=k, rows=rows), "doc_id long, n_shingles long, key binary, bands array<long>, signature binary"))
     nodes = table.where("doc_id is not null and n_shingles > 0")
-    reps = nodes.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    reps = stash(nodes.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
     # both columns are keys of this join, so copies of one text do not meet in one task
     kept = nodes.join(reps.select(F.col("key"), F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
     kept = stash(kept.select(F.col("doc_id").alias("rep"), "key", "bands", "signature"))
@@ -216,9 +216,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     links = dealt.repartition(width(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(partial(verify, num=num, den=den, rows=rows, miss=miss), "a long, b long")
     classes = components(links)
 
-    by_key = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    by_key = stash(reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"), "weight"))
     alone = table.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = nodes.select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
+    out = join_weighted(nodes.select("doc_id", "n_shingles", "key"), by_key, "key", nodes.count()).select("doc_id", "n_shingles", "component_id")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
