@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanlark.llm.common import in_chunks, texts
+from spanlark.llm.common import byte_letters, in_chunks, texts
 from spanlark.llm.token_output import vocabulary_path
 
 #: Stands for the end of a word inside the automaton; the vocabulary's alphabet does not have it.
@@ -30,13 +30,6 @@ END = "\ue000"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself where printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 class PrefixBPE:
     """vocab: id of each entry; merges: pairs by rank; end: what marks the last entry of a word."""
 
@@ -45,13 +38,17 @@ class PrefixBPE:
         self.ids = {inside(t): i for t, i in vocab.items()}
         self.rank = {(inside(a), inside(b)): k for k, (a, b) in reversed(list(enumerate(merges)))}
         self.entries = {i: t for t, i in vocab.items()}
+        self.made: dict[str, tuple[int, str, str]] = {}  # when an entry is merged, and from what
+        for (x, y), k in self.rank.items():
+            if k < self.made.get(x + y, (1 << 60,))[0]:
+                self.made[x + y] = (k, x, y)
+        self.left, self.right = {}, {}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
-            if t != END:
-                self.automaton.add_word(t, (t, i, len(t)))
+            if t != END and self.reachable(t):
+                self.automaton.add_word(t, (t, i, len(t), t[-1] == END))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain byte-pair merging, for short sequences."""
@@ -76,41 +73,67 @@ class PrefixBPE:
         return [*t[:-2], t[-2:]] if t[-1] == END else [*t]
 
     def reachable(self, t: str) -> bool:
-        if t not in self.sound:
-            self.sound[t] = self.merged(self.symbols(t)) == [t]
-        return self.sound[t]
+        """Whether merging the entry's own letters gives the entry back, in one piece."""
+        return self.merged(self.symbols(t)) == [t]
+
+    def spine(self, t: str, side: int, known: dict[str, list[tuple[str, int]]]) -> list[tuple[str, int]]:
+        """The pieces of an entry that lie at one end of it, from its letter up, each with the time at which it is absorbed."""
+        out = known.get(t)
+        if out is None:
+            out, piece, absorbed = [], t, 1 << 60
+            while True:
+                out.append((piece, absorbed))
+                if piece not in self.made or piece in self.symbols(piece):
+                    break
+                absorbed, piece = self.made[piece][0], self.made[piece][side]
+            out = known[t] = out[::-1]
+        return out
 
     def compatible(self, a: str, b: str) -> bool:
+        """Whether merging leaves the border between a and b: no pair of pieces that meet there merges before one of them is
+        absorbed on its own side. Equal merges go from left to right, so at equal times the left side moves first."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged([*a, *self.symbols(b)]) == [a, b]
+            left, right, i, j, known = self.spine(a, 2, self.left), self.spine(b, 1, self.right), 0, 0, True
+            while True:
+                (x, x_until), (y, y_until) = left[i], right[j]
+                k = self.rank.get((x, y))
+                if k is not None and k < x_until and k <= y_until:
+                    known = False
+                    break
+                if x_until == y_until == 1 << 60:
+                    break
+                if x_until <= y_until:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = known
         return known
 
     def encode(self, word: str) -> list[int]:
         """word in byte letters, not empty."""
         n = len(word)
-        last: list[tuple[str, int, int] | None] = [None] * (n + 1)
+        last: list[tuple[str, int, int, bool] | None] = [None] * (n + 1)
+        pairs = self.pairs
         for at, entry in self.automaton.iter(word + END):
-            t, _, size = entry
-            if t[-1] == END:
-                stop, start = n, at + 1 - size
-            else:
-                stop, start = at + 1, at + 1 - size
-                if stop == n:
-                    continue  # the last letter carries the end mark
-            if last[stop] is None:
-                if start == 0:
-                    if self.reachable(t):
-                        last[stop] = entry
-                elif (before := last[start]) is not None and self.reachable(t) and self.compatible(before[0], t):
+            t, _, size, ends = entry
+            stop = n if ends else at + 1
+            if last[stop] is not None or (stop == n and not ends):  # the last letter carries the end mark
+                continue
+            start = at + 1 - size
+            if start == 0:
+                last[stop] = entry
+            elif (before := last[start]) is not None:
+                fits = pairs.get((before[0], t))
+                if fits or fits is None and self.compatible(before[0], t):
                     last[stop] = entry
         out, at = [], n
         while at > 0:
-            t, i, size = last[at]
+            _, i, size, ends = last[at]
             out.append(i)
-            at -= size - (t[-1] == END)
+            at -= size - ends
         return out[::-1]
 
 
@@ -167,7 +190,7 @@ class WordTokenizer:
         for run in text.encode().split():
             known = runs.get(run)
             if known is None:
-                if len(runs) > self.limit:
+                if len(runs) > 2 * self.limit:
                     runs.clear()
                 own = self.run(run.decode())
                 known = runs[run] = (" ".join(map(str, own)), self.decode(own))

@@ -12,7 +12,7 @@ from tests.llm.conftest import SF
 
 TEXTS = [
     "", "Hello  world\n\n foo\tbar <|endoftext|>x  <|startoftext|> É é ΑΣ 'S it's I'LL 123 日本語 \x1c a\x85b ﬁ İ ß", "a" * 300, "!!!???### ​ x", "  lead", "trail \n",
-    "one.\nTwo, three!\nfour", "don't he'll, x's\nI'm. <|endoftext|>", "a<|endoftext|>, b<|x", "x" * 50000, "é́ é Å", "(a) [b] {c} `d` ~e_f^ g-h", "\n", " ", "a\n b", "� 😀😀 ok",
+    "one.\nTwo, three!\nfour", "don't he'll, x's\nI'm. <|endoftext|>", "a<|endoftext|>, b<|x", "x" * 50000, "é́ é Å", "(a) [b] {c} `d` ~e_f^ g-h", "\n", " ", "a\n b", "� 😀😀 ok", "naïve café, größe! ÀÖ ØöŁ ǆ× ÷a ªº a'b x'll, <|x|> a<|endoftext|> end.\nÉté;",
 ]
 
 
@@ -80,3 +80,18 @@ def test_empty_table(spark, empty):
 def test_encode_operator_returns_ids(spark, odd):
     rows = prefix_bpe.encode(odd, token_output.vocabulary_path("word_bpe_49k.json")).collect()
     assert len(rows) == odd.count() and {r["doc_id"]: r["decoded"] for r in rows}[4] == "one</w>"
+
+
+def test_pair_test_is_merging(samples):
+    """The walk along the border against merging both entries from their letters."""
+    own = prefix_bpe.WordTokenizer(token_output.vocabulary_path("word_bpe_49k.json")).bpe
+    for text in samples[:60]:
+        for word in text.lower().split()[:200]:
+            own.encode(word.encode().decode("latin-1").translate({b: c for b, c in common.byte_letters().items()}))
+    rng = np.random.default_rng(2)
+    entries = [t for t in own.ids if t != prefix_bpe.END and own.reachable(t)]
+    inner = [t for t in entries if t[-1] != prefix_bpe.END]
+    pairs = [*own.pairs, *[(inner[i], entries[j]) for i, j in zip(rng.integers(0, len(inner), 3000), rng.integers(0, len(entries), 3000), strict=True)]]
+    pairs += [(a, b) for a in ("a", "aa", "aaa", "aaaa", "ha", "haha") for b in ("a", "aa", "aaa", "aaaa", "ha", "haha", "ha" + prefix_bpe.END) if a in own.ids and b in own.ids]
+    assert {own.compatible(a, b) for a, b in pairs} == {True, False}
+    assert all(own.compatible(a, b) == (own.merged([*own.symbols(a), *own.symbols(b)]) == [a, b]) for a, b in pairs)
