@@ -8,9 +8,11 @@ the pieces between matches, in code points.
 Information-theoretic sanitisation adds to these: an entity is the value of a base span, and a term is a run of letters
 and digits, lower-cased. Over the whole corpus, documents are counted with each term, with each entity, and with both.
 The information that a term gives about an entity is their pointwise mutual information, which can at most reach the
-entity's own information content -log2 p(entity). A term that occurs with the entity in at least ``support`` documents
-and gives at least ``generalise`` of that content is a span of kind ``term`` in every document with the entity, unless
-it overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is generalised to a placeholder.
+entity's own information content -log2 p(entity). Every entity and term is weighed, however rare: the entity's rate among the
+documents with the term is estimated with ``smooth`` further documents at its rate in the corpus, so that few documents
+count for less than many. A term that gives at least ``generalise`` of the content is a span of kind ``term`` in every
+document with the entity, unless it overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is
+generalised to a placeholder.
 
 Counts are combined before every shuffle, and an entity or term in most documents is one row of the counts. Null texts
 are empty. Rows that repeat are counted as often as they occur. An empty table gives an empty result.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import stash
+from spanlark.llm.common import join_weighted, stash
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"A-Za-z0-9._%+-"
@@ -100,26 +102,40 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), TERM_GAP, -1)), "")
 
 
-def revealing(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """entity, term, share: of the entity's information content, what the term gives of it."""
+def entities_of(found: DataFrame) -> DataFrame:
+    """row, entity, m: how often the row occurs."""
+    entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))))
+    return found.where("text is not null").select("row", entity.alias("entity")).groupBy("row", "entity").agg(F.count("*").alias("m"))
+
+
+def revealing(docs: DataFrame, found: DataFrame, text_col: str, smooth: float, generalise: float) -> DataFrame:
+    """n_e, sig, term, share: of the information content of the entities of a class, what the term gives. A class holds the
+    entities that occur in the same rows, so a list of thousands of addresses is weighed once."""
     total = docs.count()
-    known = found.where("text is not null").select("row", "text", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity"))
-    entities = known.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = known.join(entities, "entity").select("entity", "n_e", F.explode(terms_of(F.col("text"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support)
-    counts = docs.select(F.explode(terms_of(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    gives = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(counts, "term").where(content > 0).select("entity", "term", (gives / content).alias("share")).where(F.col("share") >= generalise)
+    known = stash(entities_of(found))
+    entities = known.groupBy("entity").agg(F.sum("m").alias("n_e"), F.sum(F.col("row").cast("decimal(20,0)") * F.col("m")).cast("string").alias("sig"))
+    in_row = join_weighted(known, stash(entities.withColumn("weight", F.col("n_e"))), "entity", total).select("row", "m", "n_e", "sig").distinct()
+    terms = found.where("text is not null").select("row", terms_of(F.col("text")).alias("terms")).dropDuplicates(["row"])
+    pairs = in_row.join(terms, "row").select("n_e", "sig", "m", F.explode("terms").alias("term")).groupBy("n_e", "sig", "term").agg(F.sum("m").alias("n_et"))
+    counts = docs.select(F.explode(terms_of(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    rate = F.col("n_e") / F.lit(float(total))
+    given = (F.col("n_et") + smooth * rate) / (F.col("n_t") + smooth)
+    pairs = pairs.where(F.col("n_e") < total).join(counts, "term")
+    return pairs.select("n_e", "sig", "term", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
+
+
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """row, terms, gone: the revealing terms that are in the row's text, and those of them that are removed."""
+    inside = rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(marks, "term")
+    return inside.groupBy("row").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
 
 
-def detect(docs: DataFrame, *, support: int = 3, generalise: float = 0.9, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, *, smooth: float = 0.5, generalise: float = 0.9, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans, sanitised (null where nothing is found)."""
     found = stash(base_spans(docs, id_col, text_col))
-    reveals = stash(revealing(docs, found, text_col, support, generalise))
-    known = found.where("text is not null").select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity"))
-    per_entity = reveals.groupBy("entity").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("gone"))
-    per_row = known.distinct().join(per_entity, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    reveals = stash(revealing(docs, found, text_col, smooth, generalise))
+    marks = stash(reveals.groupBy("term").agg((F.max("share") >= remove).alias("gone")))
+    per_row = marked(found.where("text is not null"), marks)
 
     columns = ["doc_id", *[f"n_{k}" for k in KINDS]]
     plain = found.where("text is null").select(*columns, F.lit(0).cast("long").alias("n_terms"), F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("sanitised"))

@@ -63,5 +63,18 @@ def test_revealing_terms(spark):
     assert all(got[10 + i]["spans"] == "" for i in range(200))
 
 
+def test_entities_that_occur_once_and_twice_are_weighed(spark):
+    """A nickname that is only where the address is reveals it, in one document or in two; a list of many is weighed at once."""
+    rows = [(1, "the quick message from zorblax at zor@mail.org today"), (2, "the quick message from quillon at 10.1.2.3 today"), (3, "quillon and the message at 10.1.2.3")]
+    rows += [(4, "the quick message today brindle " + " ".join(f"u{i}@h{i}.net" for i in range(3000)))]
+    rows += [(10 + i, f"the quick message number m{i} from him and her at home today") for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in ((1, "zorblax"), (2, "quillon"), (3, "quillon"), (4, "brindle")):
+        at = rows[i - 1][1].index(name)
+        assert f"term:{at}:{at + len(name)}" in got[i]["spans"].split(",") and name not in got[i]["sanitised"]
+        assert got[i]["n_terms"] == 1 and "message" in got[i]["sanitised"]
+    assert all(got[10 + i]["spans"] == "" for i in range(200))
+
+
 def test_empty(empty):
     assert pii.detect(empty).count() == 0
