@@ -11,7 +11,7 @@ The information that a term gives about an entity is their pointwise mutual info
 entity's own information content -log2 p(entity). Every entity and term is weighed, however rare: the entity's rate among the
 documents with the term is estimated with ``smooth`` further documents at its rate in the corpus, so that few documents
 count for less than many. A term that gives at least ``generalise`` of the content is a span of kind ``term`` in every
-document with the entity, unless it overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is
+document of the corpus, with or without the entity, unless it overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is
 generalised to a placeholder.
 
 Counts are combined before every shuffle, and an entity or term in most documents is one row of the counts. Null texts
@@ -35,6 +35,7 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]+"
 TERM_GAP = r"[^\p{L}\p{N}]+"
+HOLDS = "size(base) > 0"
 NO_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -86,7 +87,7 @@ def written(spans: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, text (null where no entity is in it), n, base (ordered spans)."""
+    """doc_id, row, text, counts of each kind, base (ordered spans)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     none = F.expr(f"cast(array() as {NO_SPANS})")
@@ -94,8 +95,7 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = out.withColumn(f"_{kind}", F.when(may_have(kind, F.col("text")), places(F.col("text"), PATTERNS[kind], lambda h, kind=kind: passes(kind, h), k)).otherwise(none))
     counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS]
     base = F.array_sort(F.concat(*[F.col(f"_{kind}") for kind in KINDS]))
-    out = out.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *counts, base.alias("base"))
-    return out.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+    return out.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *counts, base.alias("base"))
 
 
 def terms_of(text: Column) -> Column:
@@ -105,41 +105,45 @@ def terms_of(text: Column) -> Column:
 def entities_of(found: DataFrame) -> DataFrame:
     """row, entity, m: how often the row occurs."""
     entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))))
-    return found.where("text is not null").select("row", entity.alias("entity")).groupBy("row", "entity").agg(F.count("*").alias("m"))
+    return found.where(HOLDS).select("row", entity.alias("entity")).groupBy("row", "entity").agg(F.count("*").alias("m"))
 
 
-def revealing(docs: DataFrame, found: DataFrame, text_col: str, smooth: float, generalise: float) -> DataFrame:
-    """n_e, sig, term, share: of the information content of the entities of a class, what the term gives. A class holds the
-    entities that occur in the same rows, so a list of thousands of addresses is weighed once."""
-    total = docs.count()
+def revealing(found: DataFrame, total: int, smooth: float, generalise: float) -> DataFrame:
+    """n_e, sig, term, n_t, n_held, share: of the information content of the entities of a class, what the term gives; n_t of
+    all rows have the term, n_held of those with entities. A class holds the entities that occur in the same rows, so a list
+    of thousands of addresses is weighed once."""
     known = stash(entities_of(found))
     entities = known.groupBy("entity").agg(F.sum("m").alias("n_e"), F.sum(F.col("row").cast("decimal(20,0)") * F.col("m")).cast("string").alias("sig"))
     in_row = join_weighted(known, stash(entities.withColumn("weight", F.col("n_e"))), "entity", total).select("row", "m", "n_e", "sig").distinct()
-    terms = found.where("text is not null").select("row", terms_of(F.col("text")).alias("terms")).dropDuplicates(["row"])
+    terms = found.where(HOLDS).select("row", terms_of(F.col("text")).alias("terms")).dropDuplicates(["row"])
     pairs = in_row.join(terms, "row").select("n_e", "sig", "m", F.explode("terms").alias("term")).groupBy("n_e", "sig", "term").agg(F.sum("m").alias("n_et"))
-    counts = docs.select(F.explode(terms_of(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = found.select(F.expr(HOLDS).cast("long").alias("holds"), F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.sum("holds").alias("n_held"))
     rate = F.col("n_e") / F.lit(float(total))
     given = (F.col("n_et") + smooth * rate) / (F.col("n_t") + smooth)
-    pairs = pairs.where(F.col("n_e") < total).join(counts, "term")
-    return pairs.select("n_e", "sig", "term", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
+    pairs = pairs.where(F.col("n_e") < total).join(counts.where("n_held > 0"), "term")
+    return pairs.select("n_e", "sig", "term", "n_t", "n_held", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
 
 
-def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, marks: DataFrame, total: int) -> DataFrame:
     """row, terms, gone: the revealing terms that are in the row's text, and those of them that are removed."""
-    inside = rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(marks, "term")
+    inside = join_weighted(rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")), marks.select("term", "gone", "weight"), "term", total)
     return inside.groupBy("row").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
 
 
 def detect(docs: DataFrame, *, smooth: float = 0.5, generalise: float = 0.9, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans, sanitised (null where nothing is found)."""
     found = stash(base_spans(docs, id_col, text_col))
-    reveals = stash(revealing(docs, found, text_col, smooth, generalise))
-    marks = stash(reveals.groupBy("term").agg((F.max("share") >= remove).alias("gone")))
-    per_row = marked(found.where("text is not null"), marks)
+    total = found.count()
+    reveals = revealing(found, total, smooth, generalise)
+    marks = stash(reveals.groupBy("term").agg((F.max("share") >= remove).alias("gone"), F.max("n_t").alias("weight"), F.max("n_held").alias("n_held")))
+    holds, rest = found.where(HOLDS), found.where(f"not {HOLDS}")
+    # most terms of a rare entity are nowhere else: rows without entities are only asked for those that are
+    per_row = stash(marked(holds, marks, total).unionByName(marked(rest, marks.where("weight > n_held"), total)))
 
     columns = ["doc_id", *[f"n_{k}" for k in KINDS]]
-    plain = found.where("text is null").select(*columns, F.lit(0).cast("long").alias("n_terms"), F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("sanitised"))
-    held = found.where("text is not null").join(per_row, "row", "left")
+    plain = rest.select("row", *columns).join(per_row, "row", "left_anti")
+    plain = plain.select(*columns, F.lit(0).cast("long").alias("n_terms"), F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(None).cast("string").alias("sanitised"))
+    held = holds.join(per_row, "row", "left").unionByName(rest.join(per_row, "row"))
     held = held.withColumn("_term", F.when(F.size("terms") > 0, places(F.col("text"), TERM, lambda h: F.array_contains(F.col("terms"), F.lower(h)), len(KINDS))).otherwise(F.expr(f"cast(array() as {NO_SPANS})")))
     held = held.withColumn("_term", F.filter("_term", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
     held = held.withColumn("_all", F.array_sort(F.concat("base", "_term")))

@@ -76,5 +76,13 @@ def test_entities_that_occur_once_and_twice_are_weighed(spark):
     assert all(got[10 + i]["spans"] == "" for i in range(200))
 
 
+def test_revealing_terms_are_marked_in_documents_without_the_entity(spark):
+    rows = [(i, f"the quick message from Zorblax at zor@mail.org today and number {i % 3}") for i in range(9)] + [(9, "zorblax was at home"), (10, "nothing here")]
+    rows += [(20 + i, f"the quick message from somebody at home today and number {i % 3}") for i in range(400)]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9]["spans"] == "term:0:7" and got[9]["n_email"] == 0 and got[9]["n_terms"] == 1 and "zorblax" not in got[9]["sanitised"]
+    assert got[10]["spans"] == "" and got[10]["sanitised"] is None and len(got) == len(rows)
+
+
 def test_empty(empty):
     assert pii.detect(empty).count() == 0
