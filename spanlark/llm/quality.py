@@ -5,8 +5,9 @@ five-word windows that occur again in the same text. Of the other texts, five st
 word count, mean word length, and square roots of symbols per word, repeated lines per line and repeated words per
 word). For each (language, source) the minimum covariance determinant is approximated by concentration steps: from
 medians and median deviations, the ``keep_share`` of rows with the least distances give the next mean and covariance,
-``steps`` times. Rows whose squared Mahalanobis distance exceeds ``cutoff`` are rejected. Deviations are never taken
-smaller than ``FLOORS``, so that a statistic that is constant in clean text cannot reject trifles. Groups with fewer
+``steps`` times, each covariance scaled to that of a whole normal sample. Rows whose squared Mahalanobis distance is past the
+chi-square law's quantile, which a clean normal row exceeds with probability ``chance``, are rejected. Deviations below ``LEAST``, which are
+far below the statistics' ranges, are raised to it, so that a statistic that is constant in clean text stays defined. Groups with fewer
 than ``min_rows`` rows are estimated together.
 
 Medians and quantiles come from counts by fixed bins, so reruns agree; all aggregation is combined before the shuffle,
@@ -18,14 +19,16 @@ count as often as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlark.llm.common import stash
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Least standard deviations of the five statistics.
-FLOORS = (1.0, 0.5, 0.1, 0.2, 0.15)
+#: Least standard deviations of the five statistics, and what is always added to them so that correlated ones can be solved for.
+LEAST, FLOORS = (0.5, 0.25, 0.02, 0.1, 0.08), (0.005,) * 5
 #: Bin widths of their histograms, and the number of bins for each doubling of a distance.
 BINS, PER_OCTAVE = (1 / 64, 1 / 128, 1 / 256, 1 / 256, 1 / 256), 32
 #: A mean word length is uncertain by one over the root of its words: below SURE words it is drawn towards TYPICAL by that much.
@@ -34,6 +37,23 @@ X = [f"x{i}" for i in range(5)]
 PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 
+def chi_square(x: float, extra: int = 0) -> float:
+    """Distribution of the sum of 5 squared normal numbers, or 7 with ``extra`` = 2."""
+    tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    return math.erf(math.sqrt(x / 2)) - tail * (1 + x / 3 + (x * x / 15 if extra else 0))
+
+
+def quantile(p: float) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if chi_square((low + high) / 2) < p else (low, (low + high) / 2)
+    return high
+
+
+def raised(i: int, variance: Column) -> Column:
+    return F.greatest(variance, F.lit(LEAST[i] ** 2))
+
+
 def statistics(docs: DataFrame, *carry: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -103,8 +123,9 @@ def estimate(rows: DataFrame, steps: int, keep_share: float) -> DataFrame:
     spread = medians(near, [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)], "s")
     start = centre.join(spread, "group")
     for i, j in PAIRS:
-        start = start.withColumn(f"c{i}{j}", (F.col(f"s{i}") * 1.4826) ** 2 if i == j else F.lit(0.0))
+        start = start.withColumn(f"c{i}{j}", raised(i, (F.col(f"s{i}") * 1.4826) ** 2) if i == j else F.lit(0.0))
     model = stash(factors(start))
+    whole = keep_share / chi_square(quantile(keep_share), 2) if keep_share < 1 else 1.0
     for _ in range(steps):
         far = distance(rows.join(model, "group"))
         bin_ = F.floor(F.log2(F.col("d2") + 1e-6) * PER_OCTAVE)
@@ -112,11 +133,12 @@ def estimate(rows: DataFrame, steps: int, keep_share: float) -> DataFrame:
         moments = near.groupBy("group").agg(
             *[F.round(F.avg(x), 9).alias(f"m{i}") for i, x in enumerate(X)], *[F.round(F.covar_pop(X[i], X[j]), 9).alias(f"c{i}{j}") for i, j in PAIRS]
         )
+        moments = moments.withColumns({f"c{i}{j}": raised(i, F.col(f"c{i}{j}") * whole) if i == j else F.col(f"c{i}{j}") * whole for i, j in PAIRS})
         model = stash(factors(moments))
     return model
 
 
-def judge(docs: DataFrame, *, min_words: int = 10, max_repeat: int = 20, keep_share: float = 0.75, cutoff: float = 30.0, steps: int = 3, min_rows: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, *, min_words: int = 10, max_repeat: int = 20, keep_share: float = 0.75, chance: float = 0.001, steps: int = 3, min_rows: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 for each row, and the carried columns."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     named = docs.withColumn("_cell", F.concat_ws("\x1f", part(lang_col), part(source_col)))
@@ -134,7 +156,7 @@ def judge(docs: DataFrame, *, min_words: int = 10, max_repeat: int = 20, keep_sh
     model = estimate(rows.where("not base_failed").select("group", *X), steps, keep_share)
     scored = distance(rows.where("not base_failed").join(model, "group"))
     columns = ["doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = scored.select(*columns, (F.col("d2") <= cutoff).alias("kept"), "d2")
+    passed = scored.select(*columns, (F.col("d2") <= quantile(1 - chance)).alias("kept"), "d2")
     return passed.unionByName(base.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2")))
 
 

@@ -50,6 +50,29 @@ def test_distance_is_mahalanobis(spark):
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
 
 
+def test_one_statistic_alone_rejects(spark):
+    """Rows like the clean ones but for their lines, symbols, repeated words, word length or word count."""
+    rng = np.random.default_rng(8)
+    words = [f"w{'abcdefgh'[k % 8] * (k % 7)}{k}" for k in range(3000)]
+    page = lambda n=100: [" ".join(rng.choice(words, size=10)) for _ in range(n // 10)]
+    rows = [(i, "\n".join(page(int(rng.integers(80, 140))))) for i in range(300)]
+    lines = [line for text in page(200) for line in (text, "menu")]
+    long_words = " ".join("x".join(rng.choice(words, size=3)) for _ in range(100))
+    again = page(100)
+    again = [*again, " ".join(again[3].split()[:9])]
+    odd = ["\n".join(lines), "\n".join(page()) + " # # # # # # # # # #", "\n".join(again), long_words, "\n".join(page(3000))]
+    rows += [(1000 + i, t) for i, t in enumerate(odd)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(not got[i]["kept"] for i in range(300)) <= 9
+    assert [i for i in range(5) if got[1000 + i]["kept"]] == [] and not any(got[1000 + i]["base_failed"] for i in range(5))
+    assert got[1000]["n_repeat_words"] == 0 and got[1000]["n_dup_lines"] == 19
+
+
+def test_chi_square():
+    assert abs(quality.quantile(0.999) - 20.515) < 1e-3 and abs(quality.quantile(0.75) - 6.6257) < 1e-3
+    assert abs(quality.chi_square(14.067, 2) - 0.95) < 1e-4
+
+
 def test_few_rows_and_none(spark, empty):
     assert quality.judge(empty).count() == 0
     one = spark.createDataFrame([(1, "a b c d e f g h i j k l", None, None)], "doc_id long, text string, lang string, source string")
