@@ -18,5 +18,16 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_dedup, op6_bpe, op7_pitman_yor, op8_quality, op9_pii, op10_token_files)}
 
 
+EXACT_SQL = r"""
+WITH rows AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents
+), kept AS (
+    SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY chars DESC, doc_id ASC NULLS LAST) AS keep_id,
+        count(*) OVER (PARTITION BY content) AS group_size FROM rows
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(content) AS text_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": EXACT_SQL}
