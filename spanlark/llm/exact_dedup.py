@@ -1,14 +1,18 @@
 """Exact deduplication by Grace hashing.
 
-Each task first folds its own rows through an open-addressing table that compares complete
-contents, so that of a group of copies at most one record for each task travels, however large
-the group is. The records are partitioned by hash bits; a bucket whose distinct contents exceed
-``bucket_bytes`` is partitioned again by other bits of the hash, and so on, until each bucket fits
-one table or holds a single hash. The verdicts return to the rows by (task, slot), a key that is
-unique on one side and on the other repeats at most as often as a task has rows.
-
-Null or missing text counts as empty, and all empty texts are equal. Null ids lose ties against
-any other id. Repeated rows are rows like any other. An empty table gives an empty result.
+1. Each task folds its own rows through an open-addressing table that compares complete contents, until the table holds
+   ``chunk_bytes`` of distinct contents; so of a group of copies one record for each table travels, however large it is.
+2. Records are partitioned by hash bits; a bucket whose distinct contents exceed ``bucket_bytes`` is partitioned again by
+   other bits of the hash, and so on, until each bucket fits one table or holds a single hash. The levels are planned from
+   the sizes of hashes before contents move, so these are written and shuffled once. After ``LEVELS`` levels a bucket is
+   folded as it is: what is left then are hashes that agree in all of these bits, and the result is the same.
+3. A content whose records alone would overflow a bucket (at most ``HOT`` contents can by the threshold, so their list is
+   broadcast) is first folded in buckets of hash and salt, each of about the root of its records.
+4. The verdicts return to the rows by (part, slot), the table's number of a content in a task: unique on one side, and on
+   the other repeated at most as often as a table has rows.
+
+Null or missing text counts as empty, and all empty texts are equal. Null ids lose ties against any other id. Repeated rows
+are rows like any other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import SPACE, in_chunks, stash, texts, width
+from spanlark.llm.common import SPACE, bounded_batches, in_chunks, stash, width
 
 DROP = SPACE.encode()
-LOCAL = pa.schema([
-    ("part", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary()),
-    ("n", pa.int64()), ("best_chars", pa.int64()), ("best_id", pa.int64()), ("sha", pa.string()),
-])
-VERDICT = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("sha", pa.string())])
+HOT, LEVELS = 100_000, 8
+RECORD = [("hash", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("best_chars", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("sha", pa.string())]
+#: Rows of the input (without a hash) and, behind them, the records of their contents.
+LOCAL = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), *RECORD])
+#: Records of a salted bucket: which of them leads, and if it is the record itself, what the bucket has of its content.
+SALTED = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("lead_part", pa.int64()), ("lead_slot", pa.int64()), *RECORD])
+VERDICT = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("sha", pa.string())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -70,105 +76,159 @@ class ContentTable:
         self.cells = cells
 
 
-def better(a: tuple[int, int | None], b: tuple[int, int | None]) -> bool:
-    """Whether (code points, id) a stays rather than b: more code points, then the smaller id, null last."""
-    return a[0] > b[0] or a[0] == b[0] and a[1] is not None and (b[1] is None or a[1] < b[1])
+def better(a: tuple[int, int | None, int | None], b: tuple[int, int | None, int | None]) -> bool:
+    """Whether (code points, id, row) a stays rather than b: more code points, then the smaller id, null last, then the row."""
+    if a[0] != b[0] or a[1] == b[1]:
+        return a[0] > b[0] or a[0] == b[0] and a[2] is not None and a[2] < b[2]
+    return a[1] is not None and (b[1] is None or a[1] < b[1])
 
 
-def fold_local(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
-    part, base = TaskContext.get().partitionId(), 0
-    for chunk in in_chunks(batches, chunk_bytes):
-        table, best, count, slots = ContentTable(), [], [], []
-        ids = chunk["doc_id"].to_pylist()
-        for i, text in zip(ids, chunk["text"], strict=True):
-            text = text.as_py() or ""
-            content = text.encode().translate(None, DROP)
-            slot, new = table.slot(xxhash.xxh3_64_intdigest(content), content)
-            slots.append(slot)
-            if new:
-                best.append((len(text), i))
-                count.append(1)
-            else:
-                count[slot] += 1
-                if better((len(text), i), best[slot]):
-                    best[slot] = (len(text), i)
-        first, n = set(), len(ids)
-        lead = [s not in first and not first.add(s) for s in slots]
-        signed = [h - (h >> 63 << 64) for h in table.hashes]
-        pick = lambda values: [values[s] if top else None for s, top in zip(slots, lead, strict=True)]
-        columns = [
-            [part] * n, [base + s for s in slots], ids, pick(signed), pick([len(c) for c in table.contents]), pick(table.contents),
-            pick(count), pick([b[0] for b in best]), pick([b[1] for b in best]), pick([hashlib.sha256(c).hexdigest() for c in table.contents]),
-        ]
-        rows = max(1, n * (16 << 20) // max(1, chunk.nbytes))
-        for at in range(0, n, rows):
-            yield pa.record_batch([pa.array(c[at : at + rows], f.type) for c, f in zip(columns, LOCAL, strict=True)], schema=LOCAL)
-        base += len(table.contents)
+def signed(h: int) -> int:
+    return h - (h >> 63 << 64)
 
 
-def fold_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records come sorted by bucket; each bucket has a table of its own."""
-    here, table, groups, members = None, None, [], []
+def arrays(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+class Folded(ContentTable):
+    """A content table that also counts copies and remembers the best place of each content."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held, self.count, self.best, self.shas = 0, [], [], []
+
+    def add(self, h: int, content: bytes, n: int, at: tuple[int, int | None, int | None], sha: str | None) -> tuple[int, bool]:
+        slot, new = self.slot(h, content)
+        if new:
+            self.held += len(content) + 400
+            self.count.append(n)
+            self.best.append(at)
+            self.shas.append(sha)
+        else:
+            self.count[slot] += n
+            if better(at, self.best[slot]):
+                self.best[slot] = at
+        return slot, new
+
+    def record(self, slot: int) -> tuple:
+        sha = self.shas[slot] or hashlib.sha256(self.contents[slot]).hexdigest()
+        return signed(self.hashes[slot]), len(self.contents[slot]), self.contents[slot], self.count[slot], *self.best[slot], sha
+
+
+def in_parts(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes from (bytes, row)."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n + 100
+        if size > limit:
+            yield arrays(held, schema)
+            held, size = [], 0
+    if held:
+        yield arrays(held, schema)
+
+
+def fold_local(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    part, base, table = TaskContext.get().partitionId(), 0, Folded()
 
-    def verdicts() -> pa.RecordBatch:
-        rows = [(p, s, groups[g][1][1], groups[g][0], groups[g][2]) for p, s, g in members]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), VERDICT, strict=True)], schema=VERDICT)
+    def records() -> Iterator[pa.RecordBatch]:
+        return in_parts(((len(c), (part, base + s, None, None, *table.record(s))) for s, c in enumerate(table.contents)), LOCAL)
 
+    for chunk in in_chunks(batches, min(chunk_bytes, 4 << 20)):
+        rows, none = [], (None,) * len(RECORD)
+        for i, row, text in zip(chunk["doc_id"].to_pylist(), chunk["row"].to_pylist(), chunk["text"], strict=True):
+            text = text.as_py() or ""
+            content = text.encode().translate(None, DROP)
+            slot, _ = table.add(xxhash.xxh3_64_intdigest(content), content, 1, (len(text), i, row), None)
+            rows.append((part, base + slot, i, row, *none))
+        yield arrays(rows, LOCAL)
+        if table.held > chunk_bytes:
+            yield from records()
+            base, table = base + len(table.contents), Folded()
+    yield from records()
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[Folded, list[tuple[int, int, int, bool]]]]:
+    """The records come sorted by ``keys``; for each group its table and members (part, slot, content's number, new)."""
+    here, table, members = None, Folded(), []
     for b in batches:
-        for bucket, part, slot, h, content, n, chars, i, sha in zip(*(b.column(c) for c in ("bucket", "part", "slot", "hash", "content", "n", "best_chars", "best_id", "sha")), strict=True):
-            if table is None or bucket.as_py() != here:
+        for *key, part, slot, h, content, n, chars, i, row, sha in zip(*(b.column(c) for c in (*keys, "part", "slot", "hash", "content", "n", "best_chars", "best_id", "best_row", "sha")), strict=True):
+            key = [k.as_py() for k in key]
+            if key != here:
                 if members:
-                    yield verdicts()
-                here, table, groups, members = bucket.as_py(), ContentTable(), [], []
-            g, new = table.slot(h.as_py() & (1 << 64) - 1, content.as_py())
-            at = (chars.as_py(), i.as_py())
-            if new:
-                groups.append([n.as_py(), at, sha.as_py()])
-            else:
-                groups[g][0] += n.as_py()
-                if better(at, groups[g][1]):
-                    groups[g][1] = at
-            members.append((part.as_py(), slot.as_py(), g))
+                    yield table, members
+                here, table, members = key, Folded(), []
+            g, new = table.add(h.as_py() & (1 << 64) - 1, content.as_py(), n.as_py(), (chars.as_py(), i.as_py(), row.as_py()), sha.as_py())
+            members.append((part.as_py(), slot.as_py(), g, new))
     if members:
-        yield verdicts()
+        yield table, members
+
+
+def fold_salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for table, members in groups(batches, ["hash", "salt"]):
+            lead = {g: (part, slot) for part, slot, g, new in members if new}
+            for part, slot, g, new in members:
+                yield len(table.contents[g]) if new else 0, (part, slot, *lead[g], *(table.record(g) if new else (None,) * len(RECORD)))
+
+    return in_parts(rows(), SALTED)
+
+
+def fold_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for table, members in groups(batches, ["bucket"]):
+            for part, slot, g, _ in members:
+                yield 100, (part, slot, *table.best[g][1:], table.count[g], table.shas[g])
+
+    return in_parts(rows(), VERDICT)
 
 
-def bucketed(records: DataFrame, fan: int, bucket_bytes: int) -> Column:
-    """The bucket of each record: hash bits, and for buckets that are too large further bits, level by level.
-    Sizes are summed over distinct hashes, for a bucket has to hold each content once. Only the numbers of
-    buckets that are too large reach the driver."""
-    contents = records.groupBy("hash").agg(F.max("bytes").alias("bytes"))
+def bucketed(hashes: DataFrame, fan: int, bucket_bytes: int, most: int = 10_000) -> Column:
+    """The bucket of each hash: hash bits, and for buckets that are too large further bits, level by level. hashes: a row for
+    each with ``bytes``, for a bucket has to hold each content once. The numbers of too large buckets reach the driver, at
+    most ``most`` of them: where more are, all buckets are cut."""
     bucket = F.pmod(F.col("hash"), F.lit(fan)).cast("string")
-    for level in range(1, 9):
-        sized = contents.groupBy(bucket.alias("b")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-        large = [r["b"] for r in sized.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select("b").collect()]
+    for level in range(1, LEVELS + 1):
+        sized = hashes.groupBy(bucket.alias("b")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        large = [r["b"] for r in sized.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select("b").limit(most + 1).collect()]
         if not large:
             break
         deeper = F.concat(bucket, F.lit("."), F.pmod(F.xxhash64("hash", F.lit(level)), F.lit(16)))
-        bucket = F.when(bucket.isin(large), deeper).otherwise(bucket)
+        bucket = deeper if len(large) > most else F.when(bucket.isin(large), deeper).otherwise(bucket)
     return bucket
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 24 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, chunk_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; with ``row_col`` (a number for each
+    row) also row and keep_row, the one row of its group that stays.
 
     Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; of equal texts the one
-    with the most code points stays, then the smallest id. Where rows repeat an id that stays, all of these are kept."""
+    with the most code points stays, then the smallest id. Where rows repeat an id that stays, ``kept`` holds for all of these."""
     spark = docs.sparkSession
-    local = stash(texts(docs, id_col=id_col, text_col=text_col).mapInArrow(partial(fold_local, chunk_bytes=chunk_bytes), ddl(LOCAL)))
-    records = local.where("content is not null")
+    bounded_batches(spark)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    local = stash(own.mapInArrow(partial(fold_local, chunk_bytes=chunk_bytes), ddl(LOCAL)))
+    names = ["part", "slot", *[c for c, _ in RECORD]]
+    records = local.where("hash is not null").select(*names)
+    hashes = records.groupBy("hash").agg(F.max("bytes").alias("bytes"), F.count("*").alias("n"))
     total = records.agg(F.sum("bytes")).first()[0] or 0
-    fan = max(4 * width(spark), -(-total // (bucket_bytes // 4)))
-    bucket = bucketed(records, fan, bucket_bytes)
-    parts = max(width(spark), -(-total // bucket_bytes))
-    verdicts = (
-        records.withColumn("bucket", bucket).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fold_buckets, ddl(VERDICT))
-    )
-    return (
-        local.select("part", "slot", "doc_id")
-        .join(verdicts, ["part", "slot"])
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    alone = max(bucket_bytes, total // HOT)
+    hot = hashes.where((F.col("n") > 1) & (F.col("n") * F.col("bytes") > alone)).select("hash", F.ceil(F.sqrt("n")).cast("long").alias("salts"))
+    parts, salted = max(width(spark), -(-total // max(bucket_bytes, 1 << 20))), None
+    if hot.take(1):
+        dealt = records.join(F.broadcast(hot), "hash").withColumn("salt", F.pmod(F.xxhash64("part", "slot"), "salts")).drop("salts")
+        salted = stash(dealt.repartition(parts, "hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(fold_salted, ddl(SALTED)))
+        records = records.join(F.broadcast(hot.select("hash")), "hash", "left_anti").unionByName(salted.where("hash is not null").select(*names))
+    bucket = bucketed(hashes, max(4 * width(spark), -(-total // (bucket_bytes // 4 or 1))), bucket_bytes)
+    verdicts = records.withColumn("bucket", bucket).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fold_buckets, ddl(VERDICT))
+    if salted is not None:
+        verdicts = stash(verdicts)
+        lead = verdicts.withColumnsRenamed({"part": "lead_part", "slot": "lead_slot"})
+        verdicts = verdicts.unionByName(salted.where("hash is null").select("part", "slot", "lead_part", "lead_slot").join(lead, ["lead_part", "lead_slot"]).drop("lead_part", "lead_slot"))
+    rows = local.where("hash is null").select("part", "slot", "doc_id", "row").join(verdicts, ["part", "slot"])
+    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")]
+    return rows.select(*out, *(["row", "keep_row"] if row_col else []))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import WORD, stash
+from spanlark.llm.common import WORD, join_weighted, stash
 
 WEIGHTS = (5, 2, 1)
 
@@ -106,20 +106,25 @@ def chosen_by_size(histogram: pd.DataFrame, window: int) -> pd.DataFrame:
     return out.astype({"rounds": "int64", "n_more": "int64"})
 
 
-def row_hash(docs: DataFrame, seed: int = 17) -> Column:
-    """The lot that a row draws: rows that agree in everything draw the same."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(seed))
+def row_hash(docs: DataFrame, seed: int = 17, *, leave: str | None = None) -> Column:
+    """The lot that a row draws: rows that agree in everything (but the column ``leave``) draw the same. Maps have no hash, so
+    columns that hold one are hashed as JSON."""
+    has_map = lambda t: "map<" in t.simpleString()
+    value = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if has_map(f.dataType) else F.col(f"`{f.name}`")
+    return F.xxhash64(*[value(f) for f in docs.schema if f.name != leave], F.lit(seed))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies (taken = copies * size), source, lot."""
+def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies (taken = copies * size), source, lot, and
+    with ``row_col`` (a number for each row) row."""
     spark = docs.sparkSession
     sized = stash(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            row_hash(docs, seed).alias("lot"),
+            row_hash(docs, seed, leave=row_col).alias("lot"),
+            (F.col(f"`{row_col}`") if row_col else F.lit(None)).cast("long").alias("row"),
         ).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     )
     histogram = stash(sized.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")))
@@ -131,21 +136,24 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: Fraction =
     chosen = histogram.join(table, "source_key").groupBy("source_key").applyInPandas(lambda h: chosen_by_size(h, window), "source_key string, size long, rounds long, n_more long, n long")
     # about 256 rows in a bucket, and at most 1024 buckets in a group
     chosen = stash(chosen.withColumn("buckets", F.least(F.lit(1024), F.ceil(F.col("n") / 256)).cast("long")))
-    lots = sized.select("doc_id", "source_key", "size", "lot").where("size > 0").join(chosen, ["source_key", "size"])
-    lots = lots.withColumn("bucket", F.when(F.col("n_more").between(F.lit(1), F.col("n") - 1), F.pmod(F.shiftrightunsigned("lot", 20), "buckets")).otherwise(F.pmod("lot", F.lit(1024))))
+    # a group of one source and size may hold a third of all rows: frequent groups are broadcast
+    lots = sized.select("doc_id", "row", "source_key", "size", "lot").where("size > 0")
+    lots = join_weighted(lots, chosen.withColumn("weight", F.col("n")), ["source_key", "size"], histogram.agg(F.sum("n")).first()[0] or 0)
+    lots = lots.withColumn("bucket", F.pmod(F.shiftrightunsigned("lot", 20), "buckets"))
     partial = lots.where("n_more between 1 and n - 1")
     by_bucket = partial.groupBy("source_key", "size", "bucket").agg(F.count("*").alias("m"), F.first("n_more").alias("n_more"))
     earlier = Window.partitionBy("source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     here = by_bucket.select("source_key", "size", "bucket", F.greatest(F.lit(0), F.least("m", F.col("n_more") - F.coalesce(F.sum("m").over(earlier), F.lit(0)))).alias("n_here"))
-    rank = Window.partitionBy("source_key", "size", "bucket").orderBy("lot", F.col("doc_id").asc_nulls_last())
+    rank = Window.partitionBy("source_key", "size", "bucket").orderBy("lot", F.col("doc_id").asc_nulls_last(), "row")
     ranked = partial.join(here, ["source_key", "size", "bucket"]).withColumn("rank", F.row_number().over(rank))
-    more = ranked.select("doc_id", "source_key", "size", "lot", (F.col("rounds") + (F.col("rank") <= F.col("n_here")).cast("long")).alias("copies"))
-    whole = lots.where("n_more not between 1 and n - 1").select("doc_id", "source_key", "size", "lot", (F.col("rounds") + (F.col("n_more") > 0).cast("long")).alias("copies"))
-    none = sized.where("size = 0").select("doc_id", "source_key", "size", "lot", F.lit(0).cast("long").alias("copies"))
+    own = ["doc_id", "row", "source_key", "size", "lot"]
+    more = ranked.select(*own, (F.col("rounds") + (F.col("rank") <= F.col("n_here")).cast("long")).alias("copies"))
+    whole = lots.where("n_more not between 1 and n - 1").select(*own, (F.col("rounds") + (F.col("n_more") > 0).cast("long")).alias("copies"))
+    none = sized.where("size = 0").select(*own, F.lit(0).cast("long").alias("copies"))
     mixed = more.unionByName(whole).unionByName(none)
-    return mixed.join(F.broadcast(table) if len(rows) <= 10_000 else table, "source_key").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(F.col("source_key") != "null", F.substring("source_key", 2, 1 << 30)).alias("source"), "lot"
-    )
+    source = F.when(F.col("source_key") != "null", F.substring("source_key", 2, 1 << 30)).alias("source")
+    columns = ["doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", source, "lot", *(["row"] if row_col else [])]
+    return mixed.join(F.broadcast(table) if len(rows) <= 10_000 else table, "source_key").select(*columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
+from spanlark.llm.common import bounded_batches, grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
 from spanlark.llm.components import components
 
 BANDS, BATCH = 28, 28
@@ -190,6 +190,7 @@ def verify(batches: Iterator[pa.RecordBatch], num: int, den: int, rows: int, mis
 def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, miss: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; linked are documents with ``den * intersection >= num * union``."""
     spark, rows = docs.sparkSession, rows_in_band(num / den)
+    bounded_batches(spark)
     own = texts(docs, id_col=id_col, text_col=text_col)
     table = stash(own.mapInArrow(partial(features, k=k, rows=rows), "doc_id long, n_shingles long, key binary, bands array<long>, signature binary"))
     nodes = table.where("doc_id is not null and n_shingles > 0")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanlark.llm.common import byte_letters, in_chunks, texts
+from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_file, texts
 from spanlark.llm.token_output import vocabulary_path
 
 #: Stands for the end of a word inside the automaton; the vocabulary's alphabet does not have it.
@@ -48,7 +48,7 @@ class PrefixBPE:
             if t != END and self.reachable(t):
                 self.automaton.add_word(t, (t, i, len(t), t[-1] == END))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Memo(16 << 20)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain byte-pair merging, for short sequences."""
@@ -94,8 +94,6 @@ class PrefixBPE:
         absorbed on its own side. Equal merges go from left to right, so at equal times the left side moves first."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
             left, right, i, j, known = self.spine(a, 2, self.left), self.spine(b, 1, self.right), 0, 0, True
             while True:
                 (x, x_until), (y, y_until) = left[i], right[j]
@@ -109,7 +107,7 @@ class PrefixBPE:
                     i += 1
                 else:
                     j += 1
-            self.pairs[a, b] = known
+            self.pairs.put((a, b), known, 72)  # the strings are the vocabulary's own
         return known
 
     def encode(self, word: str) -> list[int]:
@@ -140,8 +138,6 @@ class PrefixBPE:
 class WordTokenizer:
     """A vocabulary file with word ends: NFC, lower case, words by pattern, byte letters, then PrefixBPE."""
 
-    limit = 400_000
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -154,31 +150,52 @@ class WordTokenizer:
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[bytes, tuple[str, str]] = {}
+        self.known = Memo(96 << 20)
 
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            ids = self.words[word] = self.bpe.encode(word.encode().decode("latin-1").translate(self.letters))
-        return ids
+    def ids_of(self, word: str) -> list[int]:
+        return self.bpe.encode(word.encode().decode("latin-1").translate(self.letters))
 
-    def run(self, run: str) -> list[int]:
-        """ids of a text, its special entries included."""
+    def words(self, run: str) -> list[str | int]:
+        """The words of a text, and the ids of its special entries."""
         if run.isascii() and "<|" not in run:
-            return [i for w in self.pattern.findall(run.lower()) for i in self.word(w)]
+            return self.pattern.findall(run.lower())
         out = []
         for part in self.cut.split(run):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += [i for w in self.pattern.findall(self.normal(part)) for i in self.word(w)]
+                out += self.pattern.findall(self.normal(part))
         return out
 
+    def run(self, run: str) -> list[int]:
+        """ids of a text, its special entries included."""
+        out = []
+        for w in self.words(run):
+            out += [w] if isinstance(w, int) else self.ids_of(w)
+        return out
+
+    def digest(self, key: bytes, ids: list[int]) -> tuple[bytes, bytes]:
+        pair = (" ".join(map(str, ids)).encode(), self.decode(ids).encode())
+        return self.known.put(key, pair, 110 + len(key) + len(pair[0]) + len(pair[1]))
+
+    def written(self, run: bytes) -> tuple[bytes, bytes]:
+        """The ids and the entries of a run as text, remembered, as are those of its words: a word alone is one word again."""
+        text = run.decode()
+        words = self.words(text)
+        if len(words) < 2:
+            return self.digest(run, self.run(text))
+        parts = []
+        for w in words:
+            if isinstance(w, int):
+                parts.append((b"%d" % w, self.entries[w].encode()))
+            else:
+                key = w.encode()
+                parts.append(self.known.get(key) or self.digest(key, self.ids_of(w)))
+        ids, entries = (b" ".join(p) for p in zip(*parts, strict=True))
+        return self.known.put(run, (ids, entries), 110 + len(run) + len(ids) + len(entries))
+
     def encode(self, text: str) -> list[int]:
-        return [i for run in text.encode().split() for i in self.run(run.decode())]
+        return [int(i) for run in text.encode().split() for i in (self.known.get(run) or self.written(run))[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: entries as written, joined by spaces."""
@@ -186,19 +203,14 @@ class WordTokenizer:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the digests of the ids and of the decoded text."""
-        runs, ids, entries = self.runs, [], []
+        known, ids, entries = self.known, [], []
         for run in text.encode().split():
-            known = runs.get(run)
-            if known is None:
-                if len(runs) > 2 * self.limit:
-                    runs.clear()
-                own = self.run(run.decode())
-                known = runs[run] = (" ".join(map(str, own)), self.decode(own))
-            if known[0]:
-                ids.append(known[0])
-                entries.append(known[1])
-        line = " ".join(ids)
-        return line.count(" ") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(" ".join(entries).encode()).hexdigest()
+            pair = known.get(run) or self.written(run)
+            if pair[0]:
+                ids.append(pair[0])
+                entries.append(pair[1])
+        line = b" ".join(ids)
+        return line.count(b" ") + 1 if line else 0, hashlib.sha256(line).hexdigest(), hashlib.sha256(b" ".join(entries)).hexdigest()
 
 
 TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -211,14 +223,14 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    bpe = tokenizer(path)
-    for chunk in in_chunks(batches, 8 << 20):
+    bpe = tokenizer(local_copy(path))
+    for chunk in in_chunks(batches, 4 << 20):
         n, ids, decoded = zip(*[bpe.digests(t.as_py() or "") for t in chunk["text"]], strict=True)
         yield pa.record_batch([chunk["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], schema=RESULT)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    bpe = tokenizer(path)
+    bpe = tokenizer(local_copy(path))
     for chunk in in_chunks(batches, 2 << 20):
         ids = [bpe.encode(t.as_py() or "") for t in chunk["text"]]
         yield pa.record_batch([chunk["doc_id"].combine_chunks(), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
@@ -226,12 +238,14 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, decoded for each row."""
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(partial(encode_batches, path=path), "doc_id long, ids array<int>, decoded string")
+    bounded_batches(docs.sparkSession)
+    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(partial(encode_batches, path=shared_file(docs.sparkSession, path)), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row."""
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(partial(digest_batches, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    bounded_batches(docs.sparkSession)
+    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(partial(digest_batches, path=shared_file(docs.sparkSession, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import grams, in_chunks, stash, width, word_hashes
+from spanlark.llm.common import bounded_batches, grams, in_chunks, stash, width, word_hashes
 
 LAST = (1 << 63) - 1
 DIGEST = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -189,6 +189,7 @@ def removed(batches: Iterator[pa.RecordBatch], window: int, give_text: bool) ->
 def dedup_substrings(docs: DataFrame, *, window: int = 20, gram: int = 8, group_limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", give_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; with ``give_text`` also kept_text, null where nothing is removed."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     table = stash(own.mapInArrow(partial(prefixed, window=window, gram=gram), "id long, mark long, n_words long, n_removed long, kept_sha256 string, prefixes array<long>"))

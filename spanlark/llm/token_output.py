@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import byte_letters, in_chunks, shared_dir, stash, texts, width
+from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_dir, shared_file, stash, texts, width
 
 MAGIC = b"SPLKPLN1"
 SHARD = "part long, seq long, path string, n_docs long, n_tokens long"
@@ -132,7 +132,6 @@ class PieceEncoder:
     ``ODD`` white space are encoded whole. Of a piece, Latin letters and the signs behind them are a match of the pattern
     each, and go to the library's merges at once."""
 
-    limit = 1_000_000
     ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
     PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -144,7 +143,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.line = self.ask("\n")
-        self.first, self.later, self.signs = Pieces(self, ""), Pieces(self, " "), {}
+        self.first, self.later, self.signs = Pieces(self, ""), Pieces(self, " "), Memo(4 << 20)
 
     def ask(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -170,30 +169,26 @@ class PieceEncoder:
         return out
 
 
-class Pieces(dict):
-    """Ids of pieces, each asked for once; ``lead`` is what stands before them."""
+class Pieces(Memo):
+    """Ids of pieces; ``lead`` is what stands before them."""
 
     def __init__(self, owner: PieceEncoder, lead: str) -> None:
+        super().__init__(40 << 20)
         self.owner, self.lead = owner, lead
 
     def __missing__(self, piece: str) -> bytes:
         owner = self.owner
-        if len(self) >= owner.limit:
-            self.clear()
         if m := owner.PARTS.fullmatch(piece):
             word, signs = m.groups()
             if signs:
-                if signs not in owner.signs:
-                    if len(owner.signs) > 100_000:
-                        owner.signs.clear()
-                    owner.signs[signs] = owner.match(signs)
-                ids = self[word] + owner.signs[signs]
+                if (after := owner.signs.get(signs)) is None:
+                    after = owner.signs.put(signs, owner.match(signs), 200)
+                ids = self[word] + after
             else:
                 ids = owner.match(self.lead + word)
         else:
             ids = owner.ask(self.lead + piece)
-        self[piece] = ids
-        return ids
+        return self.put(piece, ids, 90 + 2 * len(piece) + len(ids))
 
 
 ENCODERS: dict[str, PieceEncoder] = {}
@@ -211,7 +206,7 @@ def encoder(path: str) -> PieceEncoder:
 
 def write_shards(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int, shard_tokens: int, planes: str) -> Iterator[pa.RecordBatch]:
     part, seq, writer, path, tokens, docs, rows = TaskContext.get().partitionId(), 0, None, "", 0, 0, []
-    end, encode = struct.pack("<I", end_id), encoder(vocabulary)
+    end, encode = struct.pack("<I", end_id), encoder(local_copy(vocabulary))
     for chunk in in_chunks(batches, 4 << 20):
         for doc_id, ids in zip(chunk["doc_id"].to_pylist(), encode.batch([t or "" for t in chunk["text"].to_pylist()]), strict=True):
             if writer is None:
@@ -235,8 +230,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
     """Encode all documents into shards in ascending id order; returns the manifest, a row for each shard with
     the number of ids before it. ``folder`` is a shared folder as a URI that pyarrow.fs knows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = texts(docs, id_col=id_col, text_col=text_col).repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = stash(rows.mapInArrow(partial(write_shards, folder=folder, vocabulary=vocabulary, end_id=end_id, shard_tokens=shard_tokens, planes=planes), SHARD))
+    written = stash(rows.mapInArrow(partial(write_shards, folder=folder, vocabulary=shared_file(spark, vocabulary), end_id=end_id, shard_tokens=shard_tokens, planes=planes), SHARD))
     earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long"))
 

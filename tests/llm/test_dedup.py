@@ -23,7 +23,7 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limits", [{}, {"chunk_bytes": 2000, "bucket_bytes": 4000}])
+@pytest.mark.parametrize("limits", [{}, {"chunk_bytes": 2000, "bucket_bytes": 4000}, {"chunk_bytes": 1, "bucket_bytes": 1}])
 def test_exact_matches_brute_force(spark, odd, limits):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
         got = exact_dedup.exact_groups(docs, **limits).collect()

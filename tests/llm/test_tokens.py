@@ -37,7 +37,7 @@ def test_piece_encoder_is_the_library(samples):
     library, own = Tokenizer.from_file(path), token_output.PieceEncoder(path)
     want = [library.encode(t, add_special_tokens=False).ids for t in samples]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.batch(samples)] == want
-    own.limit = 50
+    own.first.room = own.later.room = 5000
     for at in range(0, len(samples), 7):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.batch(samples[at : at + 7])] == want[at : at + 7]
 
