@@ -1,9 +1,10 @@
 """The corpus pipeline: quality rules, exact and near deduplication, mixing to target weights, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the one before it kept; its result is written as
-Parquet and read again. All but the last return the columns of ``documents``. Rows are matched with verdicts by a hash of
-all their columns or by id, so nulls in any column, repeated rows, empty texts and empty tables pass through: a row that
-repeats in everything shares the fate of its copies, and a null id is never a duplicate of another row by its id alone.
+Parquet and read again. All but the last return the columns of ``documents``, and whatever other columns there are. The
+filtering stages first write their rows with a number for each and match verdicts by that number alone, so nulls in any
+column, repeated ids, rows that agree in everything, columns of any type and under any name pass through. Of rows that
+agree in everything the stages for duplicates keep one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,34 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlark.llm import exact_dedup, mixing, near_dedup, prefix_bpe, quality
-from spanlark.llm.common import stash
+from spanlark.llm.common import discard, numbered, spare, stash
 from spanlark.llm.token_output import vocabulary_path
 
 
+def chosen(rows: DataFrame, number: str, verdicts: DataFrame, named: str) -> DataFrame:
+    """The rows whose number is in the column ``named`` of ``verdicts``, without their number."""
+    return rows.join(verdicts.select(F.col(named).alias(number)), number, "left_semi").drop(number)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules or the outlier test reject go."""
-    marked = docs.withColumn("_row", mixing.row_hash(docs))
-    kept = quality.judge(marked, carry=("_row",)).where("kept").select("_row").distinct()
-    return marked.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, number = numbered(docs)
+    return chosen(rows, number, quality.judge(rows, id_col=number).where("kept"), "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the longest stays, then the smallest id."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of texts that are equal without white space one row stays: the longest, then the smallest id."""
+    rows, number = numbered(docs)
+    return chosen(rows, number, exact_dedup.exact_groups(rows, row_col=number).where("row = keep_row"), "row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of five-word shingles of at least 0.8, the smallest id stays."""
-    kept = near_dedup.near_duplicates(docs, k=5, num=4, den=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of rows linked by a similarity of five-word shingles of at least 0.8 one stays, that of the smallest id."""
+    rows, number = numbered(docs)
+    classes = near_dedup.near_duplicates(rows, k=5, num=4, den=5, id_col=number).select(F.col("doc_id").alias("n"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), F.col(number).alias("n"))
+    first = classes.join(rows.select(F.col(number).alias("n"), order.alias("order")), "n").groupBy("component_id").agg(F.min("order").alias("order"))
+    return chosen(rows, number, first.select(F.col("order.n").alias("n")), "n").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).groupBy("lot").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("lot", mixing.row_hash(docs)).dropDuplicates(["lot"]).join(copies, "lot")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows, number = numbered(docs)
+    copies = spare(rows, "copies")
+    times = mixing.mix(rows, row_col=number).where("copies > 0").select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies))
+    return rows.join(times, number).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if name == STAGES[-1][0] else stash(docs)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stash(docs)
+            if k:
+                discard(before)
     return docs
