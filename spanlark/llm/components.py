@@ -3,7 +3,7 @@
 Alternating star rounds: every node links its larger neighbours to its smallest one (large star), then its
 smaller neighbours and itself to the smallest of them (small star). Each round shuffles the links and keeps one
 written table; rounds end when the links no longer change, after about the logarithm of the longest chain.
-Minima are combined before the shuffle, and joins on a node with very many links can be split.
+Minima are combined before the shuffle, and what is known of a node with very many links is broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import stash
+from spanlark.llm.common import discard, join_weighted, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,13 +21,14 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(table)
     while before[0]:
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large)
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        table = stash(rest.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).withColumn("m", F.least("m", "u")), free=False)
+        large = join_weighted(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stash(large, free=False)
+        smallest = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")), free=False)
+        rest = join_weighted(large, smallest, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, table = table, stash(rest.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
         now = mark(table)
+        discard(old, least, large, smallest)
         if now == before:
             break
         before = now

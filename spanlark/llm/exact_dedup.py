@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import SPACE, bounded_batches, in_chunks, stash, width
+from spanlark.llm.common import SPACE, bounded_batches, discard, in_chunks, stash, width
 
 DROP = SPACE.encode()
 HOT, LEVELS = 100_000, 8
@@ -215,7 +215,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     total = records.agg(F.sum("bytes")).first()[0] or 0
     alone = max(bucket_bytes, total // HOT)
     hot = hashes.where((F.col("n") > 1) & (F.col("n") * F.col("bytes") > alone)).select("hash", F.ceil(F.sqrt("n")).cast("long").alias("salts"))
-    parts, salted = max(width(spark), -(-total // max(bucket_bytes, 1 << 20))), None
+    parts, salted, verdicts_ = max(width(spark), -(-total // max(bucket_bytes, 1 << 20))), None, None
     if hot.take(1):
         dealt = records.join(F.broadcast(hot), "hash").withColumn("salt", F.pmod(F.xxhash64("part", "slot"), "salts")).drop("salts")
         salted = stash(dealt.repartition(parts, "hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(fold_salted, ddl(SALTED)))
@@ -223,12 +223,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     bucket = bucketed(hashes, max(4 * width(spark), -(-total // (bucket_bytes // 4 or 1))), bucket_bytes)
     verdicts = records.withColumn("bucket", bucket).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(fold_buckets, ddl(VERDICT))
     if salted is not None:
-        verdicts = stash(verdicts)
+        verdicts = verdicts_ = stash(verdicts)
         lead = verdicts.withColumnsRenamed({"part": "lead_part", "slot": "lead_slot"})
         verdicts = verdicts.unionByName(salted.where("hash is null").select("part", "slot", "lead_part", "lead_slot").join(lead, ["lead_part", "lead_slot"]).drop("lead_part", "lead_slot"))
     rows = local.where("hash is null").select("part", "slot", "doc_id", "row").join(verdicts, ["part", "slot"])
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")]
-    return rows.select(*out, *(["row", "keep_row"] if row_col else []))
+    result = stash(rows.select(*out, *(["row", "keep_row"] if row_col else [])))
+    discard(local, *([salted, verdicts_] if salted is not None else []))
+    return result
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

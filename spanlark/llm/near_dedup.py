@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import bounded_batches, grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
+from spanlark.llm.common import bounded_batches, discard, grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
 from spanlark.llm.components import components
 
 BANDS, BATCH = 28, 28
@@ -220,7 +220,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     by_key = stash(reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"), "weight"))
     alone = table.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = join_weighted(nodes.select("doc_id", "n_shingles", "key"), by_key, "key", nodes.count()).select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = stash(out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    discard(table, reps, kept, clusters, by_key)
+    return out
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ PATTERNS = {
 TERM = r"[\p{L}\p{N}]+"
 TERM_GAP = r"[^\p{L}\p{N}]+"
 HOLDS = "size(base) > 0"
+#: The most terms that are broadcast: some 10 MB.
+BROADCAST = 200_000
 NO_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -124,26 +126,12 @@ def revealing(found: DataFrame, total: int, smooth: float, generalise: float) ->
     return pairs.select("n_e", "sig", "term", "n_t", "n_held", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
 
 
-def probes(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("term", F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
-
-
-def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs whose term passes a Bloom filter of the marks: all that a join keeps, and few others to be shuffled. Its size
-    follows the marks up to 8 MB, past which it lets more through."""
-    bits = 1 << min(26, max(16, (16 * marks.count()).bit_length()))
-    set_ = marks.select(F.explode(F.array(*probes(bits))).alias("p")).groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    words = pairs.sparkSession.range(bits >> 6).join(set_, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("w"))
-    words = words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["b"]).alias("words"))
-    hit = lambda p: F.getbit(F.get("words", F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
-    one, two = probes(bits)
-    return pairs.join(F.broadcast(stash(words)), hit(one) & hit(two)).select(*pairs.columns)
-
-
 def marked(rows: DataFrame, marks: DataFrame, total: int) -> DataFrame:
-    """row, terms, gone: the revealing terms that are in the row's text, and those of them that are removed."""
-    pairs = stash(likely(rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")), marks))
-    inside = join_weighted(pairs, marks.select("term", "gone", "weight"), "term", total)
+    """row, terms, gone: the revealing terms that are in the row's text, and those of them that are removed. Up to ``BROADCAST``
+    marks go to all tasks, so that only what they hit is shuffled; more are joined with shuffled terms."""
+    pairs, marks = rows.select("row", F.explode(terms_of(F.col("text"))).alias("term")), marks.select("term", "gone", "weight")
+    few = marks.limit(BROADCAST + 1).count() <= BROADCAST
+    inside = pairs.join(F.broadcast(marks), "term") if few else join_weighted(stash(pairs), marks, "term", total)
     return inside.groupBy("row").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
 
 
@@ -185,4 +173,4 @@ def sanitised() -> Column:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    return detect(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("sanitised")
+    return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
