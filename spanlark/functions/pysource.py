@@ -7,7 +7,6 @@ import hashlib
 import io
 import keyword
 import re
-import token
 import tokenize
 from collections.abc import Callable, Iterator
 
@@ -29,26 +28,35 @@ def strip_tokens(text: str | None) -> str:
     return " ".join(kept)
 
 
+#: The names that masking keeps besides keywords, and the patterns that mask text which cannot be tokenised.
+PLAIN_NAMES = {
+    "True", "False", "None", "self", "cls", "print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "bool", "open", "type", "isinstance", "hasattr", "getattr", "setattr", "super",
+    "property", "staticmethod", "classmethod",
+}
+MASKS = [
+    (re.compile(r'""".*?"""', re.DOTALL), "STR"), (re.compile(r"'''.*?'''", re.DOTALL), "STR"), (re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"'), "STR"),
+    (re.compile(r"'[^'\\]*(?:\\.[^'\\]*)*'"), "STR"), (re.compile(r"\b\d+\.?\d*\b"), "NUM"),
+]
+
+
 def mask_tokens(text: str | None) -> str:
-    """Names, strings and numbers as VAR, STR and NUM in the same layout; by pattern for strings and numbers where tokenising fails."""
+    """Names but keywords and ``PLAIN_NAMES``, strings and numbers as VAR, STR and NUM. Tokens keep their column and row, and a
+    line's end is written besides the row that it ends; by pattern for strings and numbers where tokenising fails."""
     text = text or ""
-    kinds = {tokenize.STRING: "STR", tokenize.NUMBER: "NUM"}
-    lines, out, at = text.splitlines(keepends=True), [], (1, 0)
     try:
-        for t in tokenize.generate_tokens(io.StringIO(text).readline):
-            if t.type in (token.INDENT, token.DEDENT, token.ENDMARKER):
-                continue
-            if t.start > at:
-                for row in range(at[0], t.start[0] + 1):
-                    if row <= len(lines):
-                        line = lines[row - 1]
-                        out.append(line[at[1] if row == at[0] else 0 : t.start[1] if row == t.start[0] else len(line)])
-            name = "VAR" if t.type == token.NAME and not keyword.iskeyword(t.string) else kinds.get(t.type, t.string)
-            out.append(name)
-            at = t.end
+        tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
     except BROKEN:
-        masked = re.sub(r"('''|\"\"\")[\s\S]*?\1", "STR", text)
-        return re.sub(r"\b\d+(?:\.\d+)?\b", "NUM", re.sub(r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", "STR", masked))
+        for pattern, mask in MASKS:
+            text = pattern.sub(mask, text)
+        return text
+    written = {tokenize.STRING: "STR", tokenize.NUMBER: "NUM", tokenize.ENDMARKER: ""}
+    out, row, column = [], 1, 0
+    for t in tokens:
+        rows = t.start[0] - row
+        out.append("\n" * rows + " " * (t.start[1] - (0 if rows > 0 else column)))
+        is_var = t.type == tokenize.NAME and not keyword.iskeyword(t.string) and t.string not in PLAIN_NAMES
+        out.append("VAR" if is_var else written.get(t.type, t.string))
+        row, column = t.end
     return "".join(out)
 
 

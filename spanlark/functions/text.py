@@ -109,8 +109,8 @@ def probability(reply: Column) -> Column:
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     found = F.regexp_extract(raw, r'"?p_reject"?\s*[:=]\s*([0-9]*\.?[0-9]+)', 1)
     words = F.when(F.upper(raw).contains("REJECT") & ~F.upper(raw).contains("ACCEPT"), 1.0).otherwise(0.0)
-    has_null = F.try_variant_get(F.try_parse_json(raw), "$.p_reject", "string").isNull()
-    return F.when(is_object & value.isNotNull(), clamp(value)).when(is_object & has_null, F.lit(0.0)).when(found != "", clamp(found.try_cast("double"))).otherwise(words)
+    # a field without a number counts by the words used, and its own name has one of them
+    return F.when(is_object & value.isNotNull(), clamp(value)).when(found != "", clamp(found.try_cast("double"))).otherwise(words)
 
 
 def guard_verdict(reply: Column) -> Column:
@@ -122,16 +122,40 @@ def guard_verdict(reply: Column) -> Column:
     return F.struct(verdict.alias("verdict"), F.when(verdict == "unsafe", listed).otherwise(F.expr("cast(array() as array<string>)")).alias("categories"))
 
 
+#: Where Python ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def subtasks(reply: Column) -> Column:
-    """A list of steps: a JSON array, else the array inside the text, else its lines without bullets."""
+    """A list of steps: a JSON array, else the array inside the text, else its lines without the bullets at either end."""
     raw = strip(F.coalesce(reply, F.lit("")))
     as_list = lambda t: F.from_json(t, "array<string>")
     inside = F.regexp_extract(raw, r"(?s)(\[.*\])", 1)
-    bare = F.transform(F.split(raw, r"\r\n|\r|\n"), lambda s: strip(F.regexp_replace(s, r"^[\s\-*•\d.)]+", "")))
+    bare = F.transform(F.split(raw, LINE_END), lambda s: F.regexp_replace(s, r"^[-*•\x20]+|[-*•\x20]+$", ""))
     json = F.coalesce(F.when(raw.startswith("["), as_list(raw)), F.when(inside != "", as_list(inside)))
     return F.filter(F.transform(F.coalesce(json, bare), strip), lambda s: s.isNotNull() & (s != ""))
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON text with every character beyond ASCII written as its UTF-16 units, and those of control characters in lower case."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def letter(c: Column) -> Column:
+        n = F.ascii(c)
+        high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    out = F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(json, ""), letter), "")).otherwise(json)
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):  # as escaped by Jackson; an even number of backslashes before is text
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u00" + code, "$1\\\\u00" + code.lower())
+    return out
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """An object with its keys in order, compact, in ASCII; nulls are written."""
+    return ascii_json(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}))
+
+
 def split_ids(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda s: s != "")
 

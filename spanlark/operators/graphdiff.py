@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.operators.relational import first_wins, last_wins
+from spanlark.operators.relational import first_wins
 
 PLACE = ["file", "function", "start_line", "end_line", "type"]
 
 
-def node_diff(before: DataFrame, after: DataFrame, scope: list[str], order: str | None = None) -> DataFrame:
+def node_diff(before: DataFrame, after: DataFrame, scope: list[str], order: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """Nodes matched by place within (scope, file, function): added, removed, modified, moved or same.
 
-    Of several nodes at a place the last in ``order`` counts. A node whose code exists elsewhere on the other side has
-    moved: as an addition it is moved, as a removal it is left out."""
-    keys = [*scope, *PLACE]
-    hashed = [*scope, "file", "function", "code_hash"]
-    if order:
-        before, after = last_wins(before, keys, [order]), last_wins(after, keys, [order])
-    b = before.select(*keys, F.col("code_hash").alias("before_hash"), F.col("node_id").alias("before_id"))
-    a = after.select(*keys, F.col("code_hash").alias("after_hash"), F.col("node_id").alias("after_id"))
-    joined = b.join(a, keys, "full_outer")
-    same = joined.where("before_id is not null and after_id is not null").withColumn("change_type", F.when(F.col("before_hash") == F.col("after_hash"), "same").otherwise("modified"))
-    added = joined.where("before_id is null").join(before.select(*hashed[:-1], F.col("code_hash").alias("after_hash"), F.lit(True).alias("_there")).distinct(), [*hashed[:-1], "after_hash"], "left")
-    added = added.withColumn("change_type", F.when(F.col("_there"), "moved").otherwise("added")).drop("_there")
-    removed = joined.where("after_id is null").join(after.select(*hashed[:-1], F.col("code_hash").alias("before_hash")).distinct(), [*hashed[:-1], "before_hash"], "left_anti").withColumn("change_type", F.lit("removed"))
-    return same.unionByName(added).unionByName(removed)
+    Of several nodes at a place the last in ``order`` counts. A node whose code is anywhere on the other side of its function,
+    also in a node that does not count, has moved: as an addition it is moved, as a removal it is left out. ``carry``: columns
+    that come along as before_* and after_*; a moved node's before_* are those of the last node there with its code.
+    Both sides are dealt once by function; places and codes are settled where they are."""
+    order, carry = order or ["node_id"], carry or []
+    keys, local, null = [*scope, *PLACE], [*scope, "file", "function"], F.lit(None)
+    columns = list(dict.fromkeys([*keys, "code_hash", "node_id", *order, *carry]))
+    both = before.select(*columns, F.lit(True).alias("_old")).unionByName(after.select(*columns, F.lit(False).alias("_old"))).repartition(*local)
+    node = F.struct("code_hash", "node_id", *carry)
+    side = lambda old, c=node: F.max_by(F.when(F.col("_old") == old, c), F.when(F.col("_old") == old, F.struct(*order)))
+    places = both.groupBy(*keys).agg(side(True).alias("_b"), side(False).alias("_a")).withColumn("_hash", F.coalesce("_a.code_hash", "_b.code_hash"))
+    codes = both.where("code_hash <> ''").groupBy(*local, F.col("code_hash").alias("_hash")).agg(side(True).alias("_there_before"), F.bool_or(~F.col("_old")).alias("_there_after"))
+    joined = places.join(codes, [*local, "_hash"], "left")
+    moved = F.col("_b").isNull() & F.col("_there_before").isNotNull()
+    kind = (
+        F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.when(F.col("_b.code_hash").eqNullSafe(F.col("_a.code_hash")), "same").otherwise("modified"))
+        .when(F.col("_b").isNull(), F.when(moved, "moved").otherwise("added")).when(~F.coalesce("_there_after", F.lit(False)), "removed")
+    )
+    origin = lambda c: F.coalesce(f"_b.{c}", F.when(moved, F.col(f"_there_before.{c}")).otherwise(null))
+    return joined.withColumn("change_type", kind).where("change_type is not null").select(
+        *keys, F.col("_b.code_hash").alias("before_hash"), F.col("_b.node_id").alias("before_id"), F.col("_a.code_hash").alias("after_hash"), F.col("_a.node_id").alias("after_id"), "change_type",
+        *[x for c in carry for x in (origin(c).alias(f"before_{c}"), F.col(f"_a.{c}").alias(f"after_{c}"))],
+    )
 
 
 def edge_diff(before: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:
@@ -36,19 +45,34 @@ def edge_diff(before: DataFrame, after: DataFrame, scope: list[str]) -> DataFram
     return added.unionByName(before.join(after.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit("removed").alias("change_type")))
 
 
-def diff_summary(diff: DataFrame, scope: list[str]) -> DataFrame:
+def diff_summary(diff: DataFrame, before: DataFrame, after: DataFrame, scope: list[str], edges_before: DataFrame | None = None, edges_after: DataFrame | None = None) -> DataFrame:
+    """Nodes by kind of change, and all nodes and edges of either side, those that do not count in the difference as well."""
     kinds = ("added", "removed", "modified", "moved", "same")
-    return diff.groupBy(*scope).agg(
-        *[F.count_if(F.col("change_type") == k).alias(f"nodes_{k}") for k in kinds], F.count("before_id").alias("nodes_before"), F.count("after_id").alias("nodes_after"),
-        F.count_distinct("file").alias("files_compared"), F.count_distinct("file", "function").alias("functions_compared"),
-    )
+    by_kind = diff.groupBy(*scope).agg(*[F.count_if(F.col("change_type") == k).alias(f"nodes_{k}") for k in kinds])
+
+    def totals(old: DataFrame, new: DataFrame, name: str, *more: Column) -> DataFrame:
+        columns = list(dict.fromkeys([*scope, *(["file", "function"] if more else [])]))
+        rows = old.select(*columns, F.lit(True).alias("_old")).unionByName(new.select(*columns, F.lit(False).alias("_old")))
+        return rows.groupBy(*scope).agg(F.count_if("_old").alias(f"{name}_before"), F.count_if(~F.col("_old")).alias(f"{name}_after"), *more)
+
+    out = totals(before, after, "nodes", F.count_distinct("file").alias("files_compared"), F.count_distinct("file", "function").alias("functions_compared")).join(by_kind, scope, "left")
+    if edges_before is not None:
+        out = out.join(totals(edges_before, edges_after, "edges"), scope, "left")
+    return out.na.fill(0)
 
 
 def candidates(diff: DataFrame, scope: list[str]) -> DataFrame:
-    """Changed nodes, once for each id: additions before other changes."""
-    rank = F.when(F.col("change_type") == "added", 0).when(F.col("change_type") == "moved", 1).otherwise(2)
-    rows = diff.where("change_type <> 'same'").withColumn("node_id", F.coalesce("after_id", "before_id")).withColumn("_kind", rank)
-    return first_wins(rows, [*scope, "node_id"], ["_kind", *PLACE]).drop("_kind")
+    """Added and changed nodes, once for each id: additions first, then function by function moved before modified ones."""
+    rows = diff.where(F.col("change_type").isin("added", "moved", "modified")).withColumn("node_id", F.col("after_id"))
+    rows = rows.withColumn("_added", F.col("change_type") != "added").withColumn("_modified", F.col("change_type") == "modified")
+    return first_wins(rows, [*scope, "node_id"], ["_added", "file", "function", "_modified", "start_line", "end_line", "type"]).drop("_added", "_modified")
+
+
+def signature(kind: str) -> Column:
+    """What a node or an edge is called where it has no id."""
+    if kind == "node":
+        return F.concat_ws("::", "file", "function", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "code_hash")
+    return F.concat(F.coalesce("src", F.lit("")), F.lit("--"), F.coalesce("kind", F.lit("fallthrough")), F.lit("-->"), F.coalesce("dst", F.lit("")))
 
 
 def node_stats(nodes: DataFrame, scope: list[str]) -> DataFrame:

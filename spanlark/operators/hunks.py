@@ -46,9 +46,21 @@ def hunk_nodes(df: DataFrame, key: str, patch: str) -> DataFrame:
 
 
 def chunk_nodes(df: DataFrame, key: str, reply: str) -> DataFrame:
-    """Nodes from a model's list of chunks [{file, function, start_line, end_line, change, code}], bucketed by kind of change."""
-    item = "array<struct<file:string,function:string,start_line:int,end_line:int,change:string,code:string>>"
-    rows = df.select(key, F.posexplode(F.from_json(F.regexp_extract(F.col(reply), r"(?s)(\[.*\])", 1), item)).alias("pos", "c"))
-    kind = F.when(F.lower("c.change").isin("removed", "deleted"), "nodes_removed").when(F.lower("c.change").isin("modified", "changed"), "nodes_changed").otherwise("nodes_added")
-    named = F.concat(F.coalesce("c.file", F.lit("unknown")), F.lit("::"), F.coalesce("c.function", F.lit("unknown")), F.lit("::chunk_"), (F.col("pos") + 1).cast("string"))
-    return rows.where("c.file is not null").select(key, named.alias("node_id"), kind.alias("bucket"), "c.*")
+    """Nodes from a model's reply {"chunks": [{file, function, start_line, end_line, change_type, code_snippet}]}, or such an object
+    inside other text, bucketed by kind of change. Chunks are numbered from 0 with those that are left out: what is no
+    object, and chunks without file or code. A change without a kind is a modification, an end without a line the start."""
+    raw = T.strip(F.coalesce(F.col(reply), F.lit("")))
+    chunks = lambda t: F.try_variant_get(F.try_parse_json(t), "$.chunks", "array<variant>")
+    rows = df.select(key, F.posexplode(F.coalesce(chunks(raw), chunks(F.regexp_extract(raw, r"(?s)(\{.*\})", 1)))).alias("pos", "c"))
+    rows = rows.where(F.schema_of_variant("c").startswith("OBJECT"))
+    text = lambda name, default: T.strip(F.coalesce(F.try_variant_get("c", f"$.{name}", "string"), F.lit(default)))
+    line = lambda name: F.try_variant_get("c", f"$.{name}", "int")
+    rows = rows.select(
+        key, "pos", text("file", "").alias("file"), text("function", "unknown").alias("function"), F.coalesce(line("start_line"), F.lit(0)).alias("start_line"),
+        F.coalesce(line("end_line"), line("start_line"), F.lit(0)).alias("end_line"), F.lower(text("change_type", "modified")).alias("change_type"), text("code_snippet", "").alias("code_snippet"),
+    ).where("file <> '' and code_snippet <> ''")
+    bucket = F.when(F.col("change_type") == "added", "nodes_added").when(F.col("change_type") == "removed", "nodes_removed").otherwise("nodes_changed")
+    return rows.select(
+        key, F.concat("file", F.lit("::"), "function", F.lit("::chunk_"), F.col("pos").cast("string")).alias("node_id"), bucket.alias("bucket"), "change_type", "file", "function", "start_line", "end_line",
+        F.lit("code_chunk").alias("node_type"), "code_snippet", F.substring(F.md5("code_snippet"), 1, 8).alias("code_hash"), F.expr("cast(array() as array<string>)").alias("contains_calls"),
+    )

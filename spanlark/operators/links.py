@@ -35,7 +35,7 @@ def parse_links(df: DataFrame, key: str, reply: str, num_subtasks: str) -> DataF
     rows = df.select(key, num_subtasks, F.posexplode_outer(items).alias("pos", "link"))
     rows = rows.where(F.col("link.subtask_index").between(F.lit(0), F.col(num_subtasks) - 1))
     ids = F.coalesce(F.from_json("link.node_ids", "array<string>"), F.array("link.node_ids"))
-    ids = F.filter(F.transform(ids, lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
+    ids = F.filter(ids, lambda s: s.isNotNull() & (F.trim(s) != ""))
     last = rows.groupBy(key, F.col("link.subtask_index").alias("subtask_index")).agg(F.max_by(ids, "pos").alias("node_ids"))
     every = df.where(F.col(num_subtasks) > 0).select(key, F.explode(F.sequence(F.lit(0), (F.col(num_subtasks) - 1).cast("int"))).alias("subtask_index"))
     return every.join(last, [key, "subtask_index"], "left").withColumn("node_ids", F.coalesce("node_ids", F.expr("cast(array() as array<string>)")))

@@ -43,12 +43,15 @@ def matrix(spark: SparkSession, axes: dict[str, list[str]]) -> DataFrame:
     return out.withColumn("index", (number + 1).cast("long")).withColumn("run_name", F.concat_ws("_", F.lpad(F.col("index").cast("string"), 3, "0"), *axes)).select("index", *axes, "run_name")
 
 
-def pick_candidate(instances: DataFrame, candidates: DataFrame, key: str, order: str, seed: int, settings: str = "") -> DataFrame:
-    """One candidate for each instance that has any, by a hash of instance, seed, settings and their number."""
+def pick_candidate(instances: DataFrame, candidates: DataFrame, key: str, order: str, seed: int, settings: str = "", patch: str | None = None) -> DataFrame:
+    """One candidate for each instance that has any, by a hash of instance, seed, hash of the settings and their number. With the
+    name of their ``patch`` column also ``pick_error``, which says where the one picked has none."""
     ranked = candidates.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     numbers = candidates.groupBy(key).agg(F.count("*").alias("candidate_count"))
-    chosen = instances.join(numbers, key).withColumn("_place", T.hash_pick(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.lit(settings), F.col("candidate_count").cast("string")), F.col("candidate_count")).cast("int"))
-    return chosen.join(ranked, [key, "_place"]).withColumnRenamed("_place", "picked_index")
+    selection = T.canonical_json({"instance_id": F.col(key).cast("string"), "seed": F.lit(seed), "attack_config_hash": F.lit(settings), "candidate_count": F.col("candidate_count")})
+    chosen = instances.join(numbers, key).withColumn("_place", T.hash_pick(selection, F.col("candidate_count")).cast("int"))
+    picked = chosen.join(ranked, [key, "_place"]).withColumnRenamed("_place", "picked_index")
+    return picked if patch is None else picked.withColumn("pick_error", F.when(F.coalesce(T.strip(F.col(patch)), F.lit("")) == "", "the candidate picked has an empty patch"))
 
 
 def without_candidates(instances: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
@@ -102,20 +105,24 @@ def run_counts(df: DataFrame, status: str) -> DataFrame:
 
 def envelope(df: DataFrame, payload: list[str], config_hash: str) -> DataFrame:
     """Payload as JSON with its keys in order, and its hash."""
-    json = F.to_json(F.struct(*[F.col(c) for c in sorted(payload)]))
+    json = T.canonical_json({c: F.col(c) for c in payload})
     return df.withColumn("payload", json).withColumn("payload_sha256", F.sha2("payload", 256)).withColumn("config_hash", F.lit(config_hash))
 
 
 def _split(df: DataFrame, key: str, ratio: float, seed: int, strata: list[str]) -> DataFrame:
-    ids = df.select(*strata, key).distinct().withColumn("_lot", F.sha2(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string")), 256))
+    """Ids in order of a seeded hash: counts by the hash's first digits say where the cut is, so that no task ranks more than the
+    ids that share these (one in ``16 ** 3`` of a stratum)."""
+    ids = df.select(*strata, key).distinct().withColumn("_lot", F.sha2(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string")), 256)).withColumn("_first", F.substring("_lot", 1, 3))
+    counts = ids.groupBy(*strata, "_first").agg(F.count("*").alias("_n"))
     by = Window.partitionBy(*[F.col(c) for c in strata] or [F.lit(0)])
-    rank, n = F.row_number().over(by.orderBy("_lot", key)), F.count("*").over(by)
-    placed = ids.withColumn("split", F.when(rank <= F.floor(n * F.lit(ratio)), "train").otherwise("test")).drop("_lot")
-    return df.join(placed, [*strata, key])
+    counts = counts.withColumn("_before", F.sum("_n").over(by.orderBy("_first")) - F.col("_n")).withColumn("_all", F.sum("_n").over(by)).drop("_n")
+    at = Window.partitionBy(*strata, "_first").orderBy("_lot", key)
+    placed = ids.join(counts, [*strata, "_first"]).withColumn("split", F.when(F.col("_before") + F.row_number().over(at) <= F.floor(F.col("_all") * F.lit(ratio)), "train").otherwise("test"))
+    return df.join(placed.select(*strata, key, "split"), [*strata, key])
 
 
 def group_split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Train or test for whole groups of a key: the first by a seeded hash train. Ranks need an order over all ids; ids alone travel."""
+    """Train or test for whole groups of a key: the first by a seeded hash train."""
     return _split(df, key, ratio, seed, [])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,35 +19,63 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def _block(pdf: pd.DataFrame, tau: float, order: list[str]) -> pd.DataFrame:
+#: Rows of a side in a block, and of the left side in a tile of it: a task holds two blocks and one tile's products.
+BLOCK_ROWS, TILE_ROWS = 4096, 512
+
+
+def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of some left rows, ids of the right rows, and the products of their vectors."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    empty = pd.DataFrame({order[0]: pd.Series(dtype="int64"), order[1]: pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-    if not len(left) or not len(right):
-        return empty
-    sims = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-    i, j = np.nonzero(sims >= tau)
-    return pd.DataFrame({order[0]: left["id"].to_numpy()[i], order[1]: right["id"].to_numpy()[j], "sim": sims[i, j]})
+    if len(left) and len(right):
+        columns = np.stack(right["v"].to_numpy()).T
+        for at in range(0, len(left), TILE_ROWS):
+            part = left.iloc[at : at + TILE_ROWS]
+            yield part["id"].to_numpy(), right["id"].to_numpy(), np.stack(part["v"].to_numpy()) @ columns
+
+
+def _dealt(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str) -> DataFrame:
+    """Both sides in blocks of about ``BLOCK_ROWS`` rows; a row goes to each block of the other side."""
+    n, m = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right))
+    l = left.select(F.col(left_id).cast("long").alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(left_id), F.lit(n)).alias("bi"), F.lit(0).alias("side"))
+    r = right.select(F.col(right_id).cast("long").alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(right_id), F.lit(m)).alias("bj"), F.lit(1).alias("side"))
+    l = l.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    r = r.withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return l.unionByName(r).groupBy("bi", "bj")
 
 
-def link_vectors(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, tau: float = 0.3, left_blocks: int = 4, right_blocks: int = 4) -> DataFrame:
+def link_vectors(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, tau: float = 0.3) -> DataFrame:
     """Pairs of a left and a right row with cosine at least ``tau``. The left rows are a stated query set against all right rows:
-    both are dealt into blocks, a task multiplies one pair of blocks, and only pairs that reach ``tau`` are written."""
-    l = left.select(F.col(left_id).cast("long").alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(left_id), F.lit(left_blocks)).alias("bi"), F.lit(0).alias("side"))
-    r = right.select(F.col(right_id).cast("long").alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(right_id), F.lit(right_blocks)).alias("bj"), F.lit(1).alias("side"))
-    l = l.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right_blocks - 1).cast("long"))))
-    r = r.withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left_blocks - 1).cast("long"))))
+    both are dealt into blocks, a task multiplies one pair of blocks tile by tile, and only pairs that reach ``tau`` are written."""
     names = [f"left_{left_id}", f"right_{right_id}"]
-    return l.unionByName(r).groupBy("bi", "bj").applyInPandas(partial(_block, tau=tau, order=names), f"{names[0]} long, {names[1]} long, sim double")
 
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for own, other, sims in _tiles(pdf):
+            i, j = np.nonzero(sims >= tau)
+            found.append(pd.DataFrame({names[0]: own[i], names[1]: other[j], "sim": sims[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({names[0]: pd.Series(dtype="int64"), names[1]: pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+
+    return _dealt(left, right, left_id, right_id, vector).applyInPandas(pairs, f"{names[0]} long, {names[1]} long, sim double")
+
+
+def matrix_stats(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str) -> DataFrame:
+    """Least, greatest and mean cosine of all pairs, summed up where they are made: no pair is written."""
+
+    def stats(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(sims.min(), sims.max(), sims.sum(), sims.size) for _, _, sims in _tiles(pdf)]
+        return pd.DataFrame(rows, columns=["low", "high", "total", "n"])
 
-def matrix_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.min("sim").alias("sim_min"), F.max("sim").alias("sim_max"), F.avg("sim").alias("sim_mean"), F.count("*").alias("n_pairs"))
+    parts = _dealt(left, right, left_id, right_id, vector).applyInPandas(stats, "low double, high double, total double, n long")
+    return parts.agg(F.min("low").alias("sim_min"), F.max("high").alias("sim_max"), (F.sum("total") / F.sum("n")).alias("sim_mean"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_pairs"))
 
 
 def terms(df: DataFrame, key: str, text: str, pattern: str = r"[^a-z0-9]+") -> DataFrame:
-    """key, term, tf: single terms of at least two letters."""
+    """key, term, tf: single words of at least two letters, and pairs of such words one after the other."""
     words = F.filter(F.split(F.lower(F.col(text)), pattern), lambda w: F.length(w) >= 2)
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    rows = df.select(key, words.alias("_words"))
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.greatest(F.lit(0), F.size("_words") - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+    both = F.concat("_words", F.filter(pairs, lambda p: p.isNotNull()))
+    return rows.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_fit(term_rows: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95, max_features: int = 5000) -> DataFrame:

@@ -108,10 +108,10 @@ def diff_extract(t):
     return t("documents").select("doc_id", F.md5(T.find_diff(reply)).alias("diff"))
 
 
-REPLY = """CASE n_chars % 6 WHEN 0 THEN '{"p_reject": 1.7}' WHEN 1 THEN 'x "p_reject": 0.3 y' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'reject or accept' WHEN 4 THEN '  ' ELSE '[0.9]' END"""
+REPLY = """CASE n_chars % 7 WHEN 0 THEN '{"p_reject": 1.7}' WHEN 1 THEN 'x "p_reject": 0.3 y' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'reject or accept' WHEN 4 THEN '  ' WHEN 5 THEN '{"p_reject": null}' ELSE concat('[0.', n_chars % 10, ']') END"""
 
 
-@query("SELECT doc_id, CASE n_chars % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS p, CASE n_chars % 6 WHEN 0 THEN 'reject' WHEN 2 THEN 'reject' ELSE 'accept' END AS decision FROM documents")
+@query("SELECT doc_id, CASE n_chars % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 WHEN 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS p, CASE WHEN n_chars % 7 IN (0, 2, 5) THEN 'reject' ELSE 'accept' END AS decision FROM documents")
 def prob_parse(t):
     return policies.judge(t("documents").withColumn("reply", F.expr(REPLY)), "reply", 0.5).select("doc_id", F.col("p_reject").alias("p"), "decision")
 
@@ -139,9 +139,9 @@ def id_list(t):
     return t("documents").select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(ids, "|").alias("ids"))
 
 
-@query("SELECT doc_id, lang || '/' || source AS steps FROM documents")
+@query("SELECT doc_id, CASE n_chars % 3 WHEN 2 THEN lang || '/2. ' || source || '/3 retries are allowed/next' ELSE lang || '/' || source END AS steps FROM documents")
 def subtask_parse(t):
-    reply = F.expr("""CASE n_chars % 3 WHEN 0 THEN concat('["', lang, '", " ', source, ' "]') WHEN 1 THEN concat('Steps: ["', lang, '","', source, '"] done') ELSE concat('- ', lang, chr(10), chr(10), '2. ', source) END""")
+    reply = F.expr("""CASE n_chars % 3 WHEN 0 THEN concat('["', lang, '", " ', source, ' "]') WHEN 1 THEN concat('Steps: ["', lang, '","', source, '"] done') ELSE concat('- ', lang, ' *', chr(10), chr(10), '2. ', source, chr(10), '• 3 retries are allowed', chr(10), 'next -') END""")
     return t("documents").select("doc_id", F.array_join(T.subtasks(reply), "/").alias("steps"))
 
 
@@ -246,7 +246,7 @@ def matrix_cross_join(t):
 
 
 @query("""WITH n AS (SELECT c_custkey, count(*) AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
-p AS (SELECT c_custkey, m, (('0x' || substr(sha256(c_custkey || '|7|cfg|' || m), 1, 16))::UBIGINT % m)::BIGINT AS i FROM n),
+p AS (SELECT c_custkey, m, (('0x' || substr(sha256('{"attack_config_hash":"cfg","candidate_count":' || m || ',"instance_id":"' || c_custkey || '","seed":7}'), 1, 16))::UBIGINT % m)::BIGINT AS i FROM n),
 o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
 SELECT p.c_custkey AS c_custkey, p.m::BIGINT AS candidate_count, p.i AS picked_index, o.o_orderkey AS o_orderkey FROM p JOIN o ON o.o_custkey = p.c_custkey AND o.i = p.i""")
 def candidate_pick(t):
@@ -340,10 +340,14 @@ def hunks_to_nodes(t):
     return rows.select("doc_id", "node_id", "function", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
-@query("""SELECT doc_id, unnest([source || '::f::chunk_1', source || '::unknown::chunk_2']) AS node_id, unnest(['nodes_removed', 'nodes_added']) AS bucket FROM documents""")
+@query("""SELECT doc_id, unnest([source || '::f::chunk_0', source || '::unknown::chunk_3', source || '::unknown::chunk_5']) AS node_id, unnest(['nodes_removed', 'nodes_added', 'nodes_changed']) AS bucket, unnest(['removed', 'added', 'modified']) AS change_type,
+unnest([1, 7, 0])::BIGINT AS start_line, unnest([2, 7, 0])::BIGINT AS end_line, unnest(['a', 'b', lang]) AS code_snippet, unnest([substr(md5('a'), 1, 8), substr(md5('b'), 1, 8), substr(md5(lang), 1, 8)]) AS code_hash FROM documents""")
 def chunk_parse(t):
-    reply = F.expr("""concat('Chunks: [{"file":"', source, '","function":"f","start_line":1,"end_line":2,"change":"Removed","code":"a"},{"file":"', source, '","change":"added"},{"change":"modified"}] end')""")
-    return hunks.chunk_nodes(t("documents").withColumn("reply", reply), "doc_id", "reply").select("doc_id", "node_id", "bucket")
+    chunks = """concat('{"chunks":[{"file":"', source, '","function":"f","start_line":1,"end_line":2,"change_type":"Removed","code_snippet":" a "},{"file":"', source, '","change_type":"added"},{"change_type":"modified","code_snippet":"x"},',
+      '{"file":" ', source, '","start_line":7,"change_type":"added","code_snippet":"b"},3,{"file":"', source, '","code_snippet":"', lang, '"}]}')"""
+    reply = F.expr(f"CASE WHEN n_chars % 2 = 0 THEN {chunks} ELSE concat('Chunks: ', {chunks}, ' end') END")
+    rows = hunks.chunk_nodes(t("documents").withColumn("reply", reply), "doc_id", "reply")
+    return rows.select("doc_id", "node_id", "bucket", "change_type", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "code_snippet", "code_hash")
 
 
 # ---- graph difference over order lines: before and after differ by quantity
@@ -358,8 +362,8 @@ a AS (SELECT * FROM a0 QUALIFY row_number() OVER (PARTITION BY file, function, s
 j AS (SELECT coalesce(b.file, a.file) AS file, coalesce(b.function, a.function) AS function, coalesce(b.start_line, a.start_line) AS start_line, coalesce(b.end_line, a.end_line) AS end_line, coalesce(b.type, a.type) AS type,
  b.node_id AS before_id, a.node_id AS after_id, b.code_hash AS before_hash, a.code_hash AS after_hash FROM b FULL JOIN a ON b.file = a.file AND b.function = a.function AND b.start_line = a.start_line AND b.end_line = a.end_line AND b.type = a.type),
 d AS (SELECT j.*, CASE WHEN before_id IS NOT NULL AND after_id IS NOT NULL THEN CASE WHEN before_hash = after_hash THEN 'same' ELSE 'modified' END
- WHEN before_id IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.file = j.file AND b.function = j.function AND b.code_hash = j.after_hash) THEN 'moved' ELSE 'added' END
- WHEN EXISTS (SELECT 1 FROM a WHERE a.file = j.file AND a.function = j.function AND a.code_hash = j.before_hash) THEN 'gone' ELSE 'removed' END AS change_type FROM j)
+ WHEN before_id IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM b0 b WHERE b.file = j.file AND b.function = j.function AND b.code_hash = j.after_hash) THEN 'moved' ELSE 'added' END
+ WHEN EXISTS (SELECT 1 FROM a0 a WHERE a.file = j.file AND a.function = j.function AND a.code_hash = j.before_hash) THEN 'gone' ELSE 'removed' END AS change_type FROM j)
 """
 
 
@@ -379,27 +383,35 @@ def _split_columns(body: str) -> list[str]:
     return [*out, body[start:].strip()]
 
 
-def _deduped(t, which: dict) -> DataFrame:
-    return relational.last_wins(_nodes(t, which), graphdiff.PLACE, ["node_id", "q"])
+def _diff(t) -> DataFrame:
+    return graphdiff.node_diff(_nodes(t, BEFORE), _nodes(t, AFTER), [], order=["node_id", "q"], carry=["q"])
 
 
 @query(DIFF_SQL + "SELECT file, change_type, count(*)::BIGINT AS n FROM d WHERE change_type <> 'gone' GROUP BY 1, 2")
 def node_diff(t):
-    return graphdiff.node_diff(_deduped(t, BEFORE), _deduped(t, AFTER), []).groupBy("file", "change_type").agg(F.count("*").alias("n"))
+    return _diff(t).groupBy("file", "change_type").agg(F.count("*").alias("n"))
 
 
-@query(DIFF_SQL + """SELECT file, count(*) FILTER (change_type = 'added')::BIGINT AS nodes_added, count(*) FILTER (change_type = 'removed')::BIGINT AS nodes_removed, count(*) FILTER (change_type = 'modified')::BIGINT AS nodes_modified,
- count(*) FILTER (change_type = 'moved')::BIGINT AS nodes_moved, count(*) FILTER (change_type = 'same')::BIGINT AS nodes_same, count(before_id)::BIGINT AS nodes_before, count(after_id)::BIGINT AS nodes_after,
- 1::BIGINT AS files_compared, count(DISTINCT function)::BIGINT AS functions_compared FROM d WHERE change_type <> 'gone' GROUP BY 1""")
+@query(DIFF_SQL + """, k AS (SELECT file, count(*) FILTER (change_type = 'added') AS nodes_added, count(*) FILTER (change_type = 'removed') AS nodes_removed, count(*) FILTER (change_type = 'modified') AS nodes_modified,
+ count(*) FILTER (change_type = 'moved') AS nodes_moved, count(*) FILTER (change_type = 'same') AS nodes_same FROM d GROUP BY 1),
+n AS (SELECT file, count(*) FILTER (old)::BIGINT AS nodes_before, count(*) FILTER (NOT old)::BIGINT AS nodes_after, 1::BIGINT AS files_compared, count(DISTINCT function)::BIGINT AS functions_compared FROM (SELECT file, function, true AS old FROM b0 UNION ALL SELECT file, function, false FROM a0) GROUP BY 1),
+e AS (SELECT l_suppkey AS file, count(*) FILTER (l_quantity > 5)::BIGINT AS edges_before, count(*) FILTER (l_quantity < 45)::BIGINT AS edges_after FROM lineitem GROUP BY 1)
+SELECT n.*, coalesce(nodes_added, 0)::BIGINT AS nodes_added, coalesce(nodes_removed, 0)::BIGINT AS nodes_removed, coalesce(nodes_modified, 0)::BIGINT AS nodes_modified, coalesce(nodes_moved, 0)::BIGINT AS nodes_moved, coalesce(nodes_same, 0)::BIGINT AS nodes_same,
+ edges_before, edges_after FROM n LEFT JOIN k ON k.file = n.file JOIN e ON e.file = n.file""")
 def diff_summary(t):
-    diff = graphdiff.node_diff(_deduped(t, BEFORE), _deduped(t, AFTER), []).withColumn("scope", F.col("file"))
-    return graphdiff.diff_summary(diff, ["scope"]).withColumnRenamed("scope", "file")
+    edges = lambda w: t("lineitem").where(w).select(F.col("l_suppkey").alias("file"))
+    return graphdiff.diff_summary(_diff(t), _nodes(t, BEFORE), _nodes(t, AFTER), ["file"], edges(BEFORE["where"]), edges(AFTER["where"]))
 
 
-@query(DIFF_SQL + "SELECT file, change_type, count(DISTINCT coalesce(after_id, before_id))::BIGINT AS n FROM d WHERE change_type NOT IN ('gone', 'same') GROUP BY 1, 2")
+#: Ids that several places share, so that the first of them counts.
+COARSE = "regexp_replace(after_id, '-[0-9]+-[0-9]+$', '')"
+
+
+@query(DIFF_SQL + f""", c AS (SELECT {COARSE} AS node_id, d.* FROM d WHERE change_type IN ('added', 'moved', 'modified')),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY change_type <> 'added', file, function, change_type = 'modified', start_line, end_line, type) = 1) SELECT node_id, file, change_type, start_line::BIGINT AS start_line FROM f""")
 def candidate_nodes(t):
-    rows = graphdiff.node_diff(_deduped(t, BEFORE), _deduped(t, AFTER), [])
-    return graphdiff.candidates(rows, ["file", "function", "start_line", "end_line", "type"]).groupBy("file", "change_type").agg(F.count_distinct("node_id").alias("n"))
+    rows = graphdiff.candidates(_diff(t).withColumn("after_id", F.expr(COARSE)), [])
+    return rows.select("node_id", "file", "change_type", F.col("start_line").cast("long").alias("start_line"))
 
 
 @query("""WITH b AS (SELECT l_suppkey AS g, l_orderkey AS src, l_returnflag AS kind, l_partkey AS dst FROM lineitem WHERE l_quantity > 5), a AS (SELECT l_suppkey AS g, l_orderkey AS src, l_returnflag AS kind, l_partkey AS dst FROM lineitem WHERE l_quantity < 45),
@@ -482,7 +494,7 @@ def connectivity(t):
     return links.connected(edges, sizes, "instance")
 
 
-@query("""WITH x AS (SELECT doc_id, 3 AS n, source, lang FROM documents) SELECT doc_id, unnest([0, 1, 2])::BIGINT AS subtask_index, unnest(['c', source || '|' || lang, '']) AS ids FROM x""")
+@query("""WITH x AS (SELECT doc_id, 3 AS n, source, lang FROM documents) SELECT doc_id, unnest([0, 1, 2])::BIGINT AS subtask_index, unnest(['c', source || '| ' || lang, '']) AS ids FROM x""")
 def links_normalize(t):
     reply = F.expr("""concat('noise {"links":[{"subtask_index":0,"node_ids":"a"},{"subtask_index":5,"node_ids":["b"]},{"subtask_index":1,"node_ids":["', source, '"," ', lang, '"]},{"subtask_index":0,"node_ids":["c"," "]}]} tail')""")
     rows = links.parse_links(t("documents").withColumn("reply", reply).withColumn("n", F.lit(3)), "doc_id", "reply", "n")
@@ -530,9 +542,9 @@ STATS_SQL = """ SELECT i.instance AS instance, round(coalesce(avg(sim), 0), 6)::
  round(coalesce(avg((sim < 0.2)::INT), 1), 6)::DOUBLE AS link_sim_frac_below_tau_0_2, round(coalesce(avg((sim < 0.3)::INT), 1), 6)::DOUBLE AS link_sim_frac_below_tau_0_3"""
 
 
-@query("WITH i AS (SELECT c_custkey AS instance FROM customer), p AS (SELECT o_custkey AS instance, o_totalprice / 500000 AS sim FROM orders)" + STATS_SQL + " FROM i LEFT JOIN p ON p.instance = i.instance GROUP BY 1")
+@query("WITH i AS (SELECT c_custkey AS instance FROM customer), p AS (SELECT o_custkey AS instance, o_totalprice / 523457.3 AS sim FROM orders)" + STATS_SQL + " FROM i LEFT JOIN p ON p.instance = i.instance GROUP BY 1")
 def similarity_stats(t):
-    sims = t("orders").select(F.col("o_custkey").alias("instance"), (F.col("o_totalprice") / 500000).alias("sim"))
+    sims = t("orders").select(F.col("o_custkey").alias("instance"), (F.col("o_totalprice") / 523457.3).alias("sim"))
     return rounded(links.similarity_features(sims, t("customer").select(F.col("c_custkey").alias("instance")), "instance"), "instance", links.SIMILARITY)
 
 
@@ -551,11 +563,11 @@ def embedding_linker(t):
 @query("""WITH p AS (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1) SELECT round(min(sim), 6) AS sim_min, round(max(sim), 6) AS sim_max, round(avg(sim), 6) AS sim_mean, count(*)::BIGINT AS n_pairs FROM p""")
 def similarity_matrix_stats(t):
     e = t("embeddings")
-    s = similarity.matrix_stats(similarity.link_vectors(e.where("label = 0"), e.where("label = 1"), "vec_id", "vec_id", "embedding", -2.0))
+    s = similarity.matrix_stats(e.where("label = 0"), e.where("label = 1"), "vec_id", "vec_id", "embedding")
     return s.select(r6("sim_min").alias("sim_min"), r6("sim_max").alias("sim_max"), r6("sim_mean").alias("sim_mean"), "n_pairs")
 
 
-@query("""WITH w AS (SELECT conv_id * 100 + turn AS k, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM conversations), tf AS (SELECT k, term, count(*) AS tf FROM w WHERE length(term) >= 2 GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations),
+@query("""WITH l AS (SELECT conv_id * 100 + turn AS k, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS l FROM conversations), w AS (SELECT k, unnest(l) AS term FROM l UNION ALL SELECT k, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM l), tf AS (SELECT k, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations),
 v AS (SELECT term, ln((1.0 + max(n)) / (1.0 + count(*))) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * max(n) ORDER BY sum(tf) DESC, term LIMIT 5000),
 r AS (SELECT k, tf.term, (1 + ln(tf)) * idf AS w FROM tf JOIN v ON v.term = tf.term), z AS (SELECT k, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1), x AS (SELECT r.k, term, w / norm AS w FROM r JOIN z ON z.k = r.k),
 p AS (SELECT conv_id * 100 + turn AS a, conv_id * 100 + turn + 1 AS b FROM conversations WHERE (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)),
@@ -644,7 +656,8 @@ def cfg_edges(t):
     return edges.select(F.col("path").cast("long").alias("doc_id"), "kind", F.concat_ws("-", end("src"), end("dst")).alias("edge"))
 
 
-@query("""SELECT doc_id, 'def VAR(VAR):' || chr(10) || '    VAR = NUM  # ' || lang || chr(10) || '    if VAR > VAR:' || chr(10) || '        return VAR.VAR(VAR)' || chr(10) || '    for VAR in VAR:' || chr(10) || '        VAR(STR, VAR)' || chr(10) || '    return VAR' || chr(10) AS masked FROM documents""")
+@query("""SELECT doc_id, 'def VAR(VAR):' || chr(10) || chr(10) || '    VAR = NUM  # ' || lang || chr(10) || chr(10) || '    if VAR > VAR:' || chr(10) || chr(10) || '        return VAR.VAR(VAR)' || chr(10) || chr(10) || '    for VAR in VAR:' || chr(10) || chr(10)
+ || '        print(STR, VAR)' || chr(10) || chr(10) || '    return VAR' || chr(10) || chr(10) AS masked FROM documents""")
 def token_mask(t):
     return t("documents").select("doc_id", pysource.over_text(pysource.mask_tokens)(F.expr(CODE)).alias("masked"))
 

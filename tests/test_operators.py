@@ -1,5 +1,6 @@
 """Operators on small hand-computed rows, and what SQL cannot express."""
 
+import hashlib
 import json
 import math
 from collections import Counter
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import hunks, links, policies, relational, scoring
+from spanlark.operators import graphdiff, hunks, links, policies, relational, scoring
 from spanlark.plans.registry import REGISTRIES, Registry, defaults
 from spanlark.sources import readers, sinks
 from spanlark.streaming import logs
@@ -69,9 +70,9 @@ def test_pattern_tables():
 
 
 def test_probabilities(spark):
-    replies = ['{"p_reject": 1.7}', 'x "p_reject": 0.3 y', "REJECT", "reject or accept", " ", "[0.9]", "{}", None]
+    replies = ['{"p_reject": 1.7}', 'x "p_reject": 0.3 y', "REJECT", "reject or accept", " ", "[0.9]", "{}", None, '{"p_reject": null}']
     df = frame(spark, list(enumerate(replies)), "i int, reply string")
-    assert [r[0] for r in df.orderBy("i").select(T.probability(F.col("reply"))).collect()] == [1.0, 0.3, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert [r[0] for r in df.orderBy("i").select(T.probability(F.col("reply"))).collect()] == [1.0, 0.3, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
 def test_guard_and_links_parse(spark):
@@ -102,6 +103,51 @@ def test_find_diff(spark):
     assert [r[0] for r in df.orderBy("i").select(T.find_diff(F.col("x"))).collect()] == ["--- a/x\n+++ b/x\n@@ -1 +1 @@", "--- a/x\n+++ b/x\n@@ -1 +1 @@", "", "", "diff --git a/x b/x\nend"]
 
 
+def test_canonical_json(spark):
+    values = ["plain", "é ß 日本 😀", "a\x0b\x1f\\u000B \" / \n\t", "", None]
+    df = frame(spark, [(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(T.canonical_json({"v": F.col("v"), "b": F.lit(3), "a": F.lit(True)})).collect()]
+    assert got == [json.dumps({"v": v, "b": 3, "a": True}, sort_keys=True, ensure_ascii=True, separators=(",", ":")) for v in values]
+
+
+def test_pick_by_hand(spark):
+    """The index is the first 16 digits of the hash of the selection as compact JSON with its keys in order."""
+    key = hashlib.sha256(json.dumps({"instance_id": "ü1", "seed": 3, "attack_config_hash": "c", "candidate_count": 5}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    patches = frame(spark, [("ü1", n, " " if n % 2 else "d") for n in range(5)], "instance_id string, n int, patch string")
+    row = relational.pick_candidate(frame(spark, [("ü1",), ("none",)], "instance_id string"), patches, "instance_id", "n", 3, "c", patch="patch").collect()
+    assert len(row) == 1 and row[0]["picked_index"] == row[0]["n"] == int(key[:16], 16) % 5 and (row[0]["pick_error"] is None) == (row[0]["n"] % 2 == 0)
+
+
+def test_subtasks_keep_digits(spark):
+    replies = ["- 3 retries are allowed\n\n• next -\n* *\n4. four", '["a", " ", "b "]', 'so: ["x"] ok', "one", None]
+    df = frame(spark, list(enumerate(replies)), "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(T.subtasks(F.col("x"))).collect()] == [["3 retries are allowed", "next", "4. four"], ["a", "b"], ["x"], ["one"], []]
+
+
+def test_chunks_by_hand(spark):
+    reply = json.dumps({"chunks": [{"file": "a.py", "change_type": "Removed", "code_snippet": "x", "start_line": 4}, {"file": "a.py", "change_type": "added"}, {"file": " ", "code_snippet": "y"}, "z", {"file": "a.py", "function": "f", "code_snippet": " y ", "end_line": 9, "change_type": "added"}]})
+    df = frame(spark, [(1, reply), (2, f"Here: {reply} done"), (3, "[]"), (4, "{}"), (5, None), (6, '{"chunks": {"a": 1}}')], "k int, reply string")
+    rows = [tuple(r) for r in hunks.chunk_nodes(df, "k", "reply").select("k", "node_id", "bucket", "start_line", "end_line", "code_snippet", "node_type").collect()]
+    want = [("a.py::unknown::chunk_0", "nodes_removed", 4, 4, "x", "code_chunk"), ("a.py::f::chunk_4", "nodes_added", 0, 9, "y", "code_chunk")]
+    assert sorted(rows) == sorted((k, *w) for k in (1, 2) for w in want)
+
+
+def test_graph_difference_by_hand(spark):
+    """One function: a node that stays, one modified, one moved, one removed, one added, and one shadowed whose code still counts."""
+    schema = "file string, function string, start_line int, end_line int, type string, code_hash string, node_id string, code_snippet string"
+    at = lambda line, code, name: ("a.py", "f", line, line, "basic_block", code, name, f"<{code}>")
+    before = frame(spark, [at(1, "s", "b1"), at(2, "m", "b2"), at(3, "v", "b3"), at(4, "r", "b4"), at(6, "h", "b5"), at(6, "k", "b6")], schema)
+    after = frame(spark, [at(1, "s", "a1"), at(2, "m2", "a2"), at(5, "v", "a3"), at(6, "k", "a4"), at(7, "n", "a5"), at(8, "h", "a6")], schema)
+    diff = graphdiff.node_diff(before, after, [], carry=["code_snippet"])
+    got = {(r["before_id"], r["after_id"]): r["change_type"] for r in diff.collect()}
+    assert got == {("b1", "a1"): "same", ("b2", "a2"): "modified", (None, "a3"): "moved", ("b4", None): "removed", ("b6", "a4"): "same", (None, "a5"): "added", (None, "a6"): "moved"}
+    rows = graphdiff.candidates(diff, []).orderBy("node_id").collect()
+    assert [(r["node_id"], r["change_type"], r["before_code_snippet"], r["after_code_snippet"]) for r in rows] == [("a2", "modified", "<m>", "<m2>"), ("a3", "moved", "<v>", "<v>"), ("a5", "added", None, "<n>"), ("a6", "moved", "<h>", "<h>")]
+    edges = frame(spark, [("a.py", "b1", "b2"), ("a.py", "b2", "b3")], "file string, src string, dst string")
+    total = graphdiff.diff_summary(diff, before, after, ["file"], edges, edges.limit(1)).first()
+    assert [total[c] for c in ("nodes_before", "nodes_after", "edges_before", "edges_after", "files_compared", "functions_compared", "nodes_moved", "nodes_removed")] == [6, 6, 2, 1, 1, 1, 2, 1]
+
+
 def test_limits_and_metrics(spark):
     df = frame(spark, [(i, y, p) for i, (y, p) in enumerate([(1, 1), (1, 0), (0, 1), (0, 0)])], "i int, y int, p int")
     assert relational.head(df, ["i"], 0).count() == 0 and relational.head(df, ["i"], None).count() == 4
@@ -186,7 +232,8 @@ def test_flow_graph(spark):
 
 def test_tokens_and_hunks():
     assert pysource.strip_tokens("x = 'a'  # c\n").split() == ["x", "="]
-    assert pysource.mask_tokens("for i in f(1, 'a'):\n    g . h\n") == "for VAR in VAR(NUM, STR):\n    VAR . VAR\n"
+    assert pysource.mask_tokens("for i in f(1, 'a'):\n    g . h\n") == "for VAR in VAR(NUM, STR):\n\n    VAR . VAR\n\n"
+    assert pysource.mask_tokens("print(self, len(x))") == "print(self, len(VAR))\n"
     assert pysource.mask_tokens("x = ( 'a' 12") == "x = ( STR NUM"
     assert pysource.apply_hunks("a\nb\nc\n", "@@ -2 +2 @@\n-b\n+B\n") == "a\nB\nc\n"
     assert pysource.apply_hunks("a\n", "@@ -1 +1 @@\n-x\n+y\n") is None and pysource.apply_hunks("a\n", "") == "a\n"
