@@ -7,6 +7,9 @@ exactly what ``bytes.split()`` returns. Null texts count as empty unless an oper
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import os
 import re
 import shutil
@@ -168,6 +171,27 @@ class Memo(dict):
 WORDS = WordHash()
 
 
+def tidy(work):
+    """A worker's function over batches; when its partition ends, what it has learnt of words and what is free goes, for the
+    worker stays and may be idle while others need the memory."""
+
+    @functools.wraps(work)
+    def run(batches, *args, **settings):
+        try:
+            yield from work(batches, *args, **settings)
+        finally:
+            WORDS.clear()
+            WORDS.held = 0
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself where printable, else from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

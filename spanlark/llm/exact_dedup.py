@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import SPACE, bounded_batches, discard, in_chunks, stash, width
+from spanlark.llm.common import SPACE, bounded_batches, discard, in_chunks, stash, tidy, width
 
 DROP = SPACE.encode()
 HOT, LEVELS = 100_000, 8
@@ -129,6 +129,7 @@ def in_parts(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, limit: int =
         yield arrays(held, schema)
 
 
+@tidy
 def fold_local(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     part, base, table = TaskContext.get().partitionId(), 0, Folded()
 
@@ -165,6 +166,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield table, members
 
 
+@tidy
 def fold_salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple[int, tuple]]:
         for table, members in groups(batches, ["hash", "salt"]):
@@ -175,6 +177,7 @@ def fold_salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return in_parts(rows(), SALTED)
 
 
+@tidy
 def fold_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple[int, tuple]]:
         for table, members in groups(batches, ["bucket"]):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import bounded_batches, discard, grams, in_chunks, join_weighted, mix, stash, texts, width, word_hashes
+from spanlark.llm.common import bounded_batches, discard, grams, in_chunks, join_weighted, mix, stash, texts, tidy, width, word_hashes
 from spanlark.llm.components import components
 
 BANDS, BATCH = 28, 28
@@ -76,6 +76,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(out).astype(np.int64)
 
 
+@tidy
 def features(batches: Iterator[pa.RecordBatch], k: int, rows: int) -> Iterator[pa.RecordBatch]:
     a, b = coefficients(BANDS * rows)
     for chunk in in_chunks(batches, 8 << 20):
@@ -95,6 +96,7 @@ def features(batches: Iterator[pa.RecordBatch], k: int, rows: int) -> Iterator[p
         yield pa.record_batch([chunk["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=FEATURES)
 
 
+@tidy
 def with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The full shingle set of each representative; rows that share its id but not its set are left out."""
     for chunk in in_chunks(batches, 8 << 20):
@@ -160,6 +162,7 @@ def links_of(reps: list[int], bands: np.ndarray, sigs: np.ndarray, sets: list[np
     return out
 
 
+@tidy
 def verify(batches: Iterator[pa.RecordBatch], num: int, den: int, rows: int, miss: float) -> Iterator[pa.RecordBatch]:
     least = [least_matches((k + 1) * BATCH, num / den, miss) for k in range(rows)]
 

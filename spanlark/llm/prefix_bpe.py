@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_file, texts
+from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_file, texts, tidy
 from spanlark.llm.token_output import vocabulary_path
 
 #: Stands for the end of a word inside the automaton; the vocabulary's alphabet does not have it.
@@ -222,6 +222,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return TOKENIZERS[path]
 
 
+@tidy
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = tokenizer(local_copy(path))
     for chunk in in_chunks(batches, 4 << 20):
@@ -229,6 +230,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         yield pa.record_batch([chunk["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], schema=RESULT)
 
 
+@tidy
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = tokenizer(local_copy(path))
     for chunk in in_chunks(batches, 2 << 20):

@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import bounded_batches, grams, in_chunks, stash, width, word_hashes
+from spanlark.llm.common import bounded_batches, grams, in_chunks, stash, tidy, width, word_hashes
 
 LAST = (1 << 63) - 1
 DIGEST = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -53,6 +53,7 @@ def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+@tidy
 def prefixed(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Each row's digest with nothing removed, and its prefixes: once each, twice if it has one more than once."""
     for chunk in in_chunks(batches, 8 << 20):
@@ -69,6 +70,7 @@ def prefixed(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
         yield pa.record_batch(columns, schema=PREFIXED)
 
 
+@tidy
 def entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Group entries of suffixes whose prefix repeats, one for each run of neighbours with the same prefix end; without
     words where an equal entry of this task is earlier."""
@@ -133,6 +135,7 @@ class Subtree:
                 yield place
 
 
+@tidy
 def subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Entries come sorted by key and place; each key has a subtree of its own."""
     out: list[tuple] = []
@@ -175,6 +178,7 @@ def kept_words(words: list[bytes], starts: list[int], counts: list[int], window:
     return [w for w, k in zip(words, keep, strict=True) if k]
 
 
+@tidy
 def removed(batches: Iterator[pa.RecordBatch], window: int, give_text: bool) -> Iterator[pa.RecordBatch]:
     schema = DIGEST.append(pa.field("kept_text", pa.string())) if give_text else DIGEST
     for chunk in in_chunks(batches, 8 << 20):

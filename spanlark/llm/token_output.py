@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_dir, shared_file, stash, texts, width
+from spanlark.llm.common import Memo, bounded_batches, byte_letters, in_chunks, local_copy, shared_dir, shared_file, stash, texts, tidy, width
 
 MAGIC = b"SPLKPLN1"
 SHARD = "part long, seq long, path string, n_docs long, n_tokens long"
@@ -204,6 +204,7 @@ def encoder(path: str) -> PieceEncoder:
     return ENCODERS[path]
 
 
+@tidy
 def write_shards(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int, shard_tokens: int, planes: str) -> Iterator[pa.RecordBatch]:
     part, seq, writer, path, tokens, docs, rows = TaskContext.get().partitionId(), 0, None, "", 0, 0, []
     end, encode = struct.pack("<I", end_id), encoder(local_copy(vocabulary))
@@ -237,6 +238,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long"))
 
 
+@tidy
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
