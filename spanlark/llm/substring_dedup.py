@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from spanlark.llm.common import bounded_batches, grams, in_chunks, stash, tidy, width, word_hashes
 
-LAST = (1 << 63) - 1
+LAST, NONE = (1 << 63) - 1, 1 << 62
 DIGEST = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 PREFIXED = pa.schema([*DIGEST, ("prefixes", pa.list_(pa.int64()))])
 ENTRY = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
@@ -195,7 +195,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, gram: int = 8, group_
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    i = F.col(id_col).cast("long")
+    # null ids stand behind the last id: the mark, a hash of the text in 62 bits, has one more bit for them
+    mark = F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(i.isNull(), F.lit(NONE)).otherwise(F.lit(0).cast("long"))
+    own = docs.select(F.coalesce(i, F.lit(LAST)).alias("id"), mark.alias("mark"), text.alias("text"))
     table = stash(own.mapInArrow(partial(prefixed, window=window, gram=gram), "id long, mark long, n_words long, n_removed long, kept_sha256 string, prefixes array<long>"))
     exploded = table.select("id", "mark", F.explode("prefixes").alias("prefix"))
     repeated = exploded.groupBy("prefix").agg(F.count("*").alias("times")).where("times > 1")
@@ -212,7 +215,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, gram: int = 8, group_
     plain = table.drop("prefixes").join(spans.select("id", "mark"), ["id", "mark"], "left_anti")
     plain = plain.withColumn("kept_text", F.lit(None).cast("string")) if give_text else plain
     out = changed.unionByName(plain)
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if give_text else []))
+    return out.select(F.when(F.col("mark") < NONE, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if give_text else []))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

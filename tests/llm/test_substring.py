@@ -55,6 +55,13 @@ def test_shared_passages(spark):
         assert result == want
 
 
+def test_null_ids_come_behind_the_last_id(spark):
+    text = " ".join(f"a{k}" for k in range(30))
+    rows = [(None, text), (substring_dedup.LAST, text), (substring_dedup.LAST - 1, "b c")]
+    out = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(None, 30), (substring_dedup.LAST, 0), (substring_dedup.LAST - 1, 0)}
+
+
 def test_text_and_empty(spark, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
     docs = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(25))), (2, "start " + " ".join(f"a{k}" for k in range(25)) + " end"), (3, "other")], "doc_id long, text string")
