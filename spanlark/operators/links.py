@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlark.functions import text as T
+
 #: Column names and their order.
 STRUCTURAL = [
     "subtask_coverage", "node_justification", "justification_gap", "unjustified_node_rate", "avg_nodes_per_subtask", "avg_subtasks_per_node", "max_subtask_link_share", "node_link_entropy",
@@ -27,6 +29,11 @@ UNIVERSAL = [
 ]
 
 
+def parse_subtasks(df: DataFrame, key: str, reply: str) -> DataFrame:
+    """key, subtask_index, subtask for every step of a reply."""
+    return df.select(key, F.posexplode(T.subtasks(F.col(reply))).alias("subtask_index", "subtask"))
+
+
 def parse_links(df: DataFrame, key: str, reply: str, num_subtasks: str) -> DataFrame:
     """key, subtask_index, node_ids for every subtask from 0 on: the last entry of an index counts, indexes out of range and blank ids
     go, single ids are lists of one, and subtasks without an entry get an empty list."""

@@ -694,3 +694,6 @@ def session_counts(t):
 @query("SELECT lang, source, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
 def rollup_summary(t):
     return t("documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+
+
+from spanlark.plans import run_queries  # noqa: E402, F401  (adds its queries to the same tables)

@@ -7,6 +7,10 @@ from collections.abc import Callable
 KINDS = ("dataset", "agent", "attack", "baseline", "prompt_parser", "patch_parser", "linker")
 
 
+#: Agents whose command-line output is captured as a table.
+AGENTS = ("claude_code", "gemini_cli", "minisweagent", "openhands", "sweagent")
+
+
 class Registry:
     def __init__(self, kind: str) -> None:
         self.kind, self._known = kind, {}
@@ -35,18 +39,22 @@ REGISTRIES = {kind: Registry(kind) for kind in KINDS}
 
 def defaults() -> None:
     """Register the operators of this library; calling it again changes nothing."""
-    from spanlark.functions import pysource
-    from spanlark.operators import hunks, links, policies, similarity
+    from functools import partial
+
+    from spanlark.operators import attacks, defense, hunks, links, policies, similarity
     from spanlark.sources import readers
 
     known = {
-        "dataset": {"toy": readers.toy, **{v: readers.instances for v in ("default", "lite", "pro", "plus")}},
+        "dataset": {"toy": readers.toy, **{name: partial(readers.instances, dataset=name) for name in ("swebench", "swebench_lite", "swebench_pro", "swebench_plus")}},
         "baseline": {
             "prompt_filter": policies.prompt_filter, "prompt_rewrite": policies.prompt_rewrite, "agentic_guard": policies.agentic_guard, "llm_judge": policies.judge, "static_bandit": policies.findings_gate,
             "static_semgrep": policies.findings_gate, "llama_guard": policies.guard_model, "llama_prompt_guard": policies.surrogate_prompt_guard, "sequence_classifiers": policies.surrogate_sequence,
+            "structural_misalignment": defense.structural_defense,
         },
-        "prompt_parser": {"llm_subtasks": links.parse_links}, "patch_parser": {"cfg_ast": pysource.flow_nodes, "llm_chunks": hunks.chunk_nodes},
-        "linker": {"llm_grounding": links.parse_links, "embedding_similarity": similarity.link_vectors}, "agent": {"cli": readers.cli_outputs}, "attack": {},
+        "attack": {name: partial(attacks.generate, name=name) for name in attacks.SUFFIXES},
+        "prompt_parser": {"llm_subtasks": links.parse_subtasks}, "patch_parser": {"cfg_ast": defense.patch_nodes, "llm_chunks": hunks.chunk_nodes},
+        "linker": {"llm_grounding": links.parse_links, "embedding_similarity": similarity.link_vectors},
+        "agent": {"dummy": attacks.toy_agent, **{name: readers.cli_outputs for name in AGENTS}},
     }
     for kind, operators in known.items():
         for name, operator in operators.items():

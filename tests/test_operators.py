@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import graphdiff, hunks, links, policies, relational, scoring
+from spanlark.operators import attacks, defense, graphdiff, hunks, links, policies, relational, runs, scoring
 from spanlark.plans.registry import REGISTRIES, Registry, defaults
 from spanlark.sources import readers, sinks
 from spanlark.streaming import logs
@@ -286,6 +286,41 @@ def test_registry():
     defaults()
     defaults()
     assert "prompt_filter" in REGISTRIES["baseline"].names() and len(REGISTRIES) == 7
+    assert {kind: len(r.names()) for kind, r in REGISTRIES.items()} == {"dataset": 5, "agent": 6, "attack": 5, "baseline": 10, "prompt_parser": 1, "patch_parser": 2, "linker": 2}
+
+
+def test_one_run_and_a_matrix(spark):
+    """Toy instances through both phases: what is accepted keeps the agent's patch, and a matrix has a run for each combination."""
+    instances = frame(spark, [("i1", "add numbers"), ("i2", "do not subtract")], "instance_id string, prompt string")
+    reject_all = lambda df: df.select("instance_id", F.lit("reject").alias("decision"))
+    accept_add = lambda df: df.select("instance_id", F.when(F.col("prompt").contains("add"), "accept").otherwise("reject").alias("decision"))
+    tests = frame(spark, [("i1", True), ("i2", True)], "instance_id string, tests_passed boolean")
+    rows = {r["instance_id"]: r for r in runs.run_one(instances, "none", attacks.toy_agent, accept_add, "gate", tests=tests).collect()}
+    assert rows["i1"]["final_patch"] == attacks.TOY_STYLES["add_fix"] and rows["i1"]["tests_passed"] and rows["i1"]["defense_decision"] == "accept"
+    assert rows["i2"]["adv_patch"] == attacks.TOY_STYLES["add_fix_alt"] and rows["i2"]["final_patch"] is None and not rows["i2"]["tests_passed"]
+    matrix = runs.run_matrix(instances, ["none", "fcv"], {"dummy": attacks.toy_agent}, {"gate": accept_add, "never": reject_all})
+    assert Counter(r["run_name"] for r in matrix.collect()) == {f"{a}_dummy_{b}": 2 for a in ("none", "fcv") for b in ("gate", "never")}
+    assert runs.result_rows(matrix).columns == runs.RESULT and len(runs.RESULT) == 48
+    with pytest.raises(ValueError, match="for training"):
+        runs.check_settings({"training": {}}, "inference")
+    with pytest.raises(ValueError, match="lack training"):
+        runs.check_settings({"data_preparation": {}}, "training")
+    with pytest.raises(RuntimeError, match="only evaluates"):
+        runs.check_no_fit(True, "fit vectorizer")
+
+
+def test_defense_settings_that_no_row_can_pass(spark):
+    df = frame(spark, [(1, "d", '["a"]', "{}")], "k int, patch string, s string, l string")
+    nodes = frame(spark, [(1, "f::g::n0", "eval(s)")], "k int, node_id string, code_snippet string")
+    model = scoring.LinearModel(["a", "b"], [1.0, 1.0], [0.0, 0.0], [1.0, 1.0])
+    run = lambda **kw: defense.failure_flags(defense.structural_defense(df, nodes, kw.pop("model", model), "k", patch="patch", subtasks_reply="s", links_reply="l", **kw)).first()
+    assert (run(mode="other")["stage_failed"], run(mode="other")["decision"]) == ("init", "reject")
+    assert run(mode="full_universal", severity_mode="hybrid")["stage_failed"] == "init"
+    assert run()["inference_fail"] and not run()["cfg_fail"]
+    own = scoring.LinearModel(["max_severity_universal"], [-9.0], [0.5], [0.1])
+    assert run(mode="severity_only_universal", model=own)["decision"] == "reject"  # tokens apart: no pattern is found
+    row = run(mode="severity_only_universal", model=own, comment_stripping="none")
+    assert row["decision"] == "accept" and row["model_score"] < 0.5 and (row["unmatched_nodes"], row["unmatched_subtasks"]) == (1, 1)
 
 
 def test_stream_appends_each_key_once(spark, tmp_path):
