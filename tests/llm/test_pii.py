@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -84,5 +85,36 @@ def test_revealing_terms_are_marked_in_documents_without_the_entity(spark):
     assert got[10]["spans"] == "" and got[10]["sanitised"] is None and len(got) == len(rows)
 
 
+def brute_terms(rows, smooth=0.5, generalise=0.9):
+    """Spans of revealing terms by plain counts over all rows."""
+    total, term_rows, entity_rows = len(rows), {}, {}
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")]
+    for n, (_, text) in enumerate(rows):
+        for _, _, w in words(text):
+            term_rows.setdefault(w, set()).add(n)
+        for span in brute(text)[-1]:
+            kind, a, b = span.rsplit(":", 2)
+            entity_rows.setdefault((kind, text[int(a) : int(b)].lower()), set()).add(n)
+    revealing = set()
+    for own in entity_rows.values():
+        rate = len(own) / total
+        if rate < 1:
+            for w in {w for n in own for _, _, w in words(rows[n][1])}:
+                given = (len(own & term_rows[w]) + smooth * rate) / (len(term_rows[w]) + smooth)
+                if math.log2(given / rate) / -math.log2(rate) >= generalise:
+                    revealing.add(w)
+    out = Counter()
+    for i, text in rows:
+        base = [tuple(map(int, s.rsplit(":", 2)[1:])) for s in brute(text)[-1]]
+        out[(i, sum(1 for a, b, w in words(text) if w in revealing and not any(c < b and a < d for c, d in base)))] += 1
+    return out
+
+
+def test_added_spans_match_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = Counter((r["doc_id"], r["n_terms"]) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_terms(rows) and sum(n for _, n in got) > 0
+
+
 def test_empty(empty):
     assert pii.detect(empty).count() == 0
