@@ -107,6 +107,10 @@ def calls(statements: list[ast.AST]) -> list[str]:
     return sorted(found - {""})
 
 
+#: A node that control leaves, and the kind of the edge that it leaves by.
+Exit = tuple[str, str]
+
+
 class FlowGraph:
     """The statement graph of one function: runs of plain statements are blocks, each control statement has a header."""
 
@@ -119,18 +123,12 @@ class FlowGraph:
         self.nodes.append((f"{self.path}::{self.name}::n{len(self.nodes)}", kind, first, last, snippet, hashlib.md5(snippet.encode()).hexdigest()[:8], calls(statements)))
         return self.nodes[-1][0]
 
-    def link(self, sources: list[str], target: str, kind: str = "fallthrough") -> list[str]:
-        self.edges += [[s, target, kind] for s in sources]
-        return [target]
-
-    def relabel(self, source: str, kind: str, only: str | None = None) -> None:
-        """The latest edge out of ``source`` gets another kind."""
-        for edge in reversed(self.edges):
-            if edge[0] == source and only in (None, edge[2]):
-                edge[2] = kind
-                return
+    def link(self, exits: list[Exit], target: str, kind: str | None = None) -> list[Exit]:
+        """An edge from each exit, of the exit's own kind unless one is given; what is left is the target's exit."""
+        self.edges += [[source, target, kind or own] for source, own in exits]
+        return [(target, "fallthrough")]
 
-    def body(self, statements: list[ast.stmt], entries: list[str]) -> list[str]:
+    def body(self, statements: list[ast.stmt], exits: list[Exit]) -> list[Exit]:
         """Nodes of a suite; returns where control leaves it."""
         plain: list[ast.stmt] = []
         for s in [*statements, None]:
@@ -139,52 +137,44 @@ class FlowGraph:
                 plain.append(s)
                 continue
             if plain:
-                entries = self.link(entries, self.node("basic_block", plain[0].lineno, max(p.end_lineno for p in plain), plain))
+                exits = self.link(exits, self.node("basic_block", plain[0].lineno, max(p.end_lineno for p in plain), plain))
                 plain = []
             if s is not None:
-                entries = handler(self, s, entries)
-        return entries
-
-    def branch(self, s: ast.If, entries: list[str]) -> list[str]:
-        (test,) = self.link(entries, self.node("condition", s.lineno, s.lineno, [s]))
-        leave = self.body(s.body, [test])
-        self.relabel(test, "branch_true")
-        if not s.orelse:
-            return [*leave, test]
-        other = self.body(s.orelse, [test])
-        self.relabel(test, "branch_false", only="fallthrough")
-        return [*leave, *other]
-
-    def loop(self, s: ast.For | ast.While, entries: list[str]) -> list[str]:
-        head = self.link(entries, self.node("loop_header", s.lineno, s.lineno, [s]))
-        self.link(self.body(s.body, head), head[0], "back_edge")
+                exits = handler(self, s, exits)
+        return exits
+
+    def branch(self, s: ast.If, exits: list[Exit]) -> list[Exit]:
+        test = self.node("condition", s.lineno, s.lineno, [s])
+        plain = self.link(exits, test)
+        leave = self.body(s.body, [(test, "branch_true")])
+        return leave + (self.body(s.orelse, [(test, "branch_false")]) if s.orelse else plain)
+
+    def loop(self, s: ast.For | ast.While, exits: list[Exit]) -> list[Exit]:
+        header = self.node("loop_header", s.lineno, s.lineno, [s])
+        head = self.link(exits, header)
+        self.link(self.body(s.body, head), header, "back_edge")
         return head + (self.body(s.orelse, head) if s.orelse else [])
 
-    def guarded(self, s: ast.Try, entries: list[str]) -> list[str]:
-        head = self.link(entries, self.node("try_header", s.lineno, s.lineno))
+    def guarded(self, s: ast.Try, exits: list[Exit]) -> list[Exit]:
+        head = self.link(exits, self.node("try_header", s.lineno, s.lineno))
         tried = self.body(s.body, head)
-        caught: list[str] = []
+        caught: list[Exit] = []
         for h in s.handlers:
             caught += self.body(h.body, self.link(head, self.node("except_handler", h.lineno, h.end_lineno), "exception"))
-        if s.orelse:
-            leave = [c for c in caught if c not in tried] + self.body(s.orelse, tried or head)
-        else:
-            leave = tried + caught
+        leave = [c for c in caught if c not in tried] + self.body(s.orelse, tried or head) if s.orelse else tried + caught
         if s.finalbody:
-            last = self.node("finally", s.finalbody[0].lineno, s.finalbody[-1].end_lineno)
-            self.link(leave, last, "finally")
-            leave = self.body(s.finalbody, [last])
+            leave = self.body(s.finalbody, self.link(leave, self.node("finally", s.finalbody[0].lineno, s.finalbody[-1].end_lineno), "finally"))
         return leave
 
-    def context(self, s: ast.With, entries: list[str]) -> list[str]:
-        return self.body(s.body, self.link(entries, self.node("with_header", s.lineno, s.lineno, [s])))
+    def context(self, s: ast.With, exits: list[Exit]) -> list[Exit]:
+        return self.body(s.body, self.link(exits, self.node("with_header", s.lineno, s.lineno, [s])))
 
-    def ending(self, s: ast.stmt, entries: list[str]) -> list[str]:
-        self.link(entries, self.node("return" if isinstance(s, ast.Return) else "raise", s.lineno, s.end_lineno, [s]))
+    def ending(self, s: ast.stmt, exits: list[Exit]) -> list[Exit]:
+        self.link(exits, self.node("return" if isinstance(s, ast.Return) else "raise", s.lineno, s.end_lineno, [s]))
         return []
 
-    def jump(self, s: ast.stmt, entries: list[str]) -> list[str]:
-        return self.link(entries, self.node("basic_block", s.lineno, s.end_lineno, [s]))
+    def jump(self, s: ast.stmt, exits: list[Exit]) -> list[Exit]:
+        return self.link(exits, self.node("basic_block", s.lineno, s.end_lineno, [s]))
 
     CONTROL = {
         ast.If: branch, ast.For: loop, ast.While: loop, ast.Try: guarded, ast.With: context, ast.AsyncWith: context, ast.AsyncFor: context,
@@ -192,7 +182,7 @@ class FlowGraph:
     }
 
     def build(self, f: ast.FunctionDef | ast.AsyncFunctionDef) -> FlowGraph:
-        leave = self.body(f.body, [self.node("entry", f.lineno, f.lineno)])
+        leave = self.body(f.body, [(self.node("entry", f.lineno, f.lineno), "fallthrough")])
         self.link(leave, self.node("exit", f.end_lineno, f.end_lineno))
         return self
 
