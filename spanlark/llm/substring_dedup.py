@@ -12,7 +12,9 @@ of their common beginnings:
    more than ``group_limit`` documents share a prefix, it is lengthened to all ``window`` words.
 3. Before that, each task folds equal entries of its own rows; only the earliest travels, so a passage that most
    documents share sends one entry for each task. The others are repeats for certain.
-4. In a group, leaves below a node at least ``window`` words deep, but for the earliest, are repeats.
+4. In a group, an entry that agrees with an earlier one as a whole repeats it. Of the others the subtree is built, from
+   sorted suffixes and the lengths of their common beginnings, and leaves below an internal node at least ``window`` words
+   deep, but for the earliest, are repeats.
 
 Then each word under a repeat's window is removed. Windows are judged on the input. Earlier means a smaller id, or the
 same row and an earlier start. Null texts have no words. Null ids come last. Rows that share an id are ordered by a hash
@@ -109,30 +111,45 @@ def entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
 
 
 class Subtree:
-    """The suffix tree of one prefix's suffixes, cut off at ``window`` words: the sorted suffixes are its leaves in order,
-    and neighbours whose common beginning has ``window`` words share an internal node that deep."""
+    """The suffix tree of one prefix's suffixes. Entries that agree with an earlier one as a whole are not held: they repeat it,
+    so a group takes the memory of its distinct contents. The others' suffixes are sorted, which makes them the leaves in
+    order; the lengths of the common beginnings of neighbours are the depths of the internal nodes between them."""
 
     def __init__(self, window: int) -> None:
-        self.window, self.leaves = window, []
+        self.window, self.entries = window, {}
 
-    def add(self, place: tuple[int, int, int], n: int, content: bytes) -> None:
-        words = content.split(b" ")
-        for k in range(n):
-            self.leaves.append((words[k : k + self.window], (*place[:2], place[2] + k)))
+    def add(self, place: tuple[int, int, int], n: int, content: bytes) -> tuple[int, int, int] | None:
+        """Entries come by place; gives the place of an earlier one with the same content."""
+        first = self.entries.setdefault(content, (place, n))[0]
+        return None if first is place else first
 
     @staticmethod
     def common(a: list[bytes], b: list[bytes]) -> int:
-        return next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+
+    def nodes(self) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """Internal nodes bottom up: depth in words, depth of the node above, and the places of the leaves below."""
+        leaves = []
+        for content, (place, n) in self.entries.items():
+            words = content.split(b" ")
+            leaves += [(words[k:], (*place[:2], place[2] + k)) for k in range(n)]
+        leaves.sort()
+        open_ = [(0, 0)]  # depth and first leaf of the nodes on the way from the root
+        for i in range(1, len(leaves) + 1):
+            depth, first = self.common(leaves[i - 1][0], leaves[i][0]) if i < len(leaves) else 0, i - 1
+            while open_[-1][0] > depth:
+                here, first = open_.pop()
+                yield here, max(open_[-1][0], depth), [place for _, place in leaves[first:i]]
+            if open_[-1][0] < depth:
+                open_.append((depth, first))
 
     def repeats(self) -> Iterator[tuple[int, int, int]]:
-        """Leaves below a deep internal node, but for its earliest place."""
-        self.leaves.sort()  # equal suffixes come by place
-        before, first = None, None
-        for suffix, place in self.leaves:
-            if before is None or (before is not suffix and self.common(before, suffix) < self.window):
-                before, first = suffix, place
-            elif place != first:
-                yield place
+        """Leaves below the uppermost nodes that are ``window`` words deep, but for each node's earliest."""
+        if len(self.entries) > 1:
+            for depth, above, places in self.nodes():
+                if above < self.window <= depth:
+                    first = min(places)
+                    yield from (p for p in places if p != first)
 
 
 @tidy
@@ -140,34 +157,26 @@ def subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     """Entries come sorted by key and place; each key has a subtree of its own."""
     out: list[tuple] = []
 
-    def finish(held: list[tuple]) -> None:
-        # within one entry no two suffixes agree in ``window`` words: they would have their prefix end at the same distance
-        if len(held) < 2:
-            return
-        if len(held) == 2 and held[0][1:] == held[1][1:]:  # one deep node above each pair of leaves: the later entry repeats as a whole
-            if held[0][0] != held[1][0]:
-                out.append((*held[1][0], held[1][1]))
-            return
-        tree = Subtree(window)
-        for place, n, content in held:
-            tree.add(place, n, content)
-        out.extend((*place, 1) for place in tree.repeats())
-
-    here, held = None, []
+    def written() -> pa.RecordBatch:
+        batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), REPEAT, strict=True)], schema=REPEAT)
+        out.clear()
+        return batch
+
+    here, tree = None, Subtree(window)
     for b in batches:
         for key, i, mark, start, n, content in zip(*(b.column(c).to_pylist() for c in ENTRY.names), strict=True):
             if key != here:
-                if held:
-                    finish(held)
-                here, held = key, []
-            held.append(((i, mark, start), n, content))
-        if len(out) > 50_000:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), REPEAT, strict=True)], schema=REPEAT)
-            out.clear()
-    if held:
-        finish(held)
+                out.extend((*place, 1) for place in tree.repeats())
+                here, tree = key, Subtree(window)
+            place = (i, mark, start)
+            first = tree.add(place, n, content)
+            if first is not None and first != place:
+                out.append((*place, n))
+            if len(out) > 50_000:
+                yield written()
+    out.extend((*place, 1) for place in tree.repeats())
     if out:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), REPEAT, strict=True)], schema=REPEAT)
+        yield written()
 
 
 def kept_words(words: list[bytes], starts: list[int], counts: list[int], window: int) -> list[bytes]:

@@ -55,6 +55,15 @@ def test_shared_passages(spark):
         assert result == want
 
 
+def test_subtree_nodes():
+    """The internal nodes of a few suffixes by hand, and each node's depth against its leaves."""
+    tree = substring_dedup.Subtree(3)
+    assert tree.add((1, 0, 0), 2, b"a b c d x") is None and tree.add((2, 0, 5), 2, b"a b c d y") is None and tree.add((3, 0, 1), 1, b"a b c z") is None and tree.add((4, 0, 9), 2, b"a b c d x") == (1, 0, 0)
+    nodes = [(depth, above, sorted(places)) for depth, above, places in tree.nodes()]
+    assert nodes == [(4, 3, [(1, 0, 0), (2, 0, 5)]), (3, 0, [(1, 0, 0), (2, 0, 5), (3, 0, 1)]), (3, 0, [(1, 0, 1), (2, 0, 6)])]
+    assert sorted(tree.repeats()) == [(2, 0, 5), (2, 0, 6), (3, 0, 1)]
+
+
 def test_null_ids_come_behind_the_last_id(spark):
     text = " ".join(f"a{k}" for k in range(30))
     rows = [(None, text), (substring_dedup.LAST, text), (substring_dedup.LAST - 1, "b c")]
