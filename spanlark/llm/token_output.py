@@ -6,8 +6,8 @@ every plane (the chunk index), and the ids and lengths of the documents in order
 of 32-bit little-endian numbers; its transpose by bytes (4 planes) or bits (32 planes) puts alike bytes
 together, and planes that are all zero take a few bytes. Readers fetch single blocks by the index.
 
-Null texts are empty; every document ends in ``end_id``. Documents are ordered by (doc_id, text), null ids
-first, so repeated ids are defined. An empty table gives no rows.
+Null texts are empty; every document ends in ``end_id``. Documents are ordered by doc_id, null ids
+first, then by a hash of their text and the text, so repeated ids are defined. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -232,7 +232,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
     the number of ids before it. ``folder`` is a shared folder as a URI that pyarrow.fs knows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = texts(docs, id_col=id_col, text_col=text_col).repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without one, are dealt by a hash of their text
+    rows = texts(docs, id_col=id_col, text_col=text_col).withColumn("mark", F.xxhash64("text")).repartitionByRange(width(spark), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     written = stash(rows.mapInArrow(partial(write_shards, folder=folder, vocabulary=shared_file(spark, vocabulary), end_id=end_id, shard_tokens=shard_tokens, planes=planes), SHARD))
     earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long"))
