@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import os
 import re
 import shutil
@@ -182,7 +181,6 @@ def tidy(work):
         finally:
             WORDS.clear()
             WORDS.held = 0
-            gc.collect()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
