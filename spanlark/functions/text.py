@@ -151,6 +151,13 @@ def ascii_json(json: Column) -> Column:
     return out
 
 
+def json_column(text: Column, ddl: str) -> Column:
+    """STRUCT(value, error) of a JSON text: the value of a type, or what is wrong with it."""
+    parsed = F.try_parse_json(text)
+    error = F.when(text.isNull(), "must be JSON text").when(parsed.isNull(), "has invalid JSON")
+    return F.struct(F.when(error.isNull(), F.from_json(text, ddl)).alias("value"), error.alias("error"))
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """An object with its keys in order, compact, in ASCII; nulls are written."""
     return ascii_json(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}))

@@ -109,15 +109,36 @@ def envelope(df: DataFrame, payload: list[str], config_hash: str) -> DataFrame:
     return df.withColumn("payload", json).withColumn("payload_sha256", F.sha2("payload", 256)).withColumn("config_hash", F.lit(config_hash))
 
 
-def _split(df: DataFrame, key: str, ratio: float, seed: int, strata: list[str]) -> DataFrame:
-    """Ids in order of a seeded hash: counts by the hash's first digits say where the cut is, so that no task ranks more than the
-    ids that share these (one in ``16 ** 3`` of a stratum)."""
+def places(df: DataFrame, key: str, seed: int, strata: list[str]) -> DataFrame:
+    """The strata and keys with ``place``, from 1 on in the order of a seeded hash of the key, and ``n``, their number in the stratum.
+
+    Counts by the hash's first digits say where each run of places begins, so that no task ranks more than the keys that share
+    these (one in ``16 ** 3`` of a stratum)."""
     ids = df.select(*strata, key).distinct().withColumn("_lot", F.sha2(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string")), 256)).withColumn("_first", F.substring("_lot", 1, 3))
     counts = ids.groupBy(*strata, "_first").agg(F.count("*").alias("_n"))
     by = Window.partitionBy(*[F.col(c) for c in strata] or [F.lit(0)])
-    counts = counts.withColumn("_before", F.sum("_n").over(by.orderBy("_first")) - F.col("_n")).withColumn("_all", F.sum("_n").over(by)).drop("_n")
+    counts = counts.withColumn("_before", F.sum("_n").over(by.orderBy("_first")) - F.col("_n")).withColumn("n", F.sum("_n").over(by)).drop("_n")
     at = Window.partitionBy(*strata, "_first").orderBy("_lot", key)
-    placed = ids.join(counts, [*strata, "_first"]).withColumn("split", F.when(F.col("_before") + F.row_number().over(at) <= F.floor(F.col("_all") * F.lit(ratio)), "train").otherwise("test"))
+    return ids.join(counts, [*strata, "_first"]).select(*strata, key, (F.col("_before") + F.row_number().over(at)).alias("place"), "n")
+
+
+def batches(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """Adds the number of each row's batch, from 0 on: keys in the order of a seeded hash, ``size`` of them to a batch."""
+    return df.join(places(df, key, seed, []).select(key, F.floor((F.col("place") - 1) / size).cast("long").alias("batch")), key)
+
+
+def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Precision, recall, f1 and support of each class that is in either column; what divides by nothing is 0."""
+    by = lambda c, n: df.groupBy(F.col(c).alias("class")).agg(F.count("*").alias(n))
+    right = df.where(F.col(truth) == F.col(predicted)).groupBy(F.col(truth).alias("class")).agg(F.count("*").alias("_right"))
+    rows = by(truth, "support").join(by(predicted, "_given"), "class", "full_outer").join(right, "class", "left").na.fill(0, ["support", "_given", "_right"])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    rows = rows.withColumn("precision", share(F.col("_right"), F.col("_given"))).withColumn("recall", share(F.col("_right"), F.col("support")))
+    return rows.select("class", "precision", "recall", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "support")
+
+
+def _split(df: DataFrame, key: str, ratio: float, seed: int, strata: list[str]) -> DataFrame:
+    placed = places(df, key, seed, strata).withColumn("split", F.when(F.col("place") <= F.floor(F.col("n") * F.lit(ratio)), "train").otherwise("test"))
     return df.join(placed.select(*strata, key, "split"), [*strata, key])
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlark.functions import patterns
-from spanlark.operators import attacks, defense, links, relational, runs, scoring
+from spanlark.functions import text as T
+from spanlark.operators import attacks, defense, graphdiff, links, relational, runs, scoring
 from spanlark.plans.queries import CANDIDATES, LINKS_SQL, SUBTASKS, _edges, _sizes, query, r6
 
 NL = "' || chr(10) || '"
@@ -179,3 +180,31 @@ def patch_candidates(t):
 def patch_diagnostics(t):
     _, found = _patched(t)
     return found.select("doc_id", F.array_join("touched_python_files", ",").alias("touched"), "fallback_used", "fallback_reason", "apply_success")
+
+
+# ---- the rest of training and evaluation
+
+
+@query("""WITH r AS (SELECT doc_id, toxic, quality AS guess FROM labels), k AS (SELECT 0 AS class UNION ALL SELECT 1), c AS (SELECT class, count(*) FILTER (toxic = class) AS support, count(*) FILTER (guess = class) AS given, count(*) FILTER (toxic = class AND guess = class) AS good FROM k, r GROUP BY 1),
+p AS (SELECT class, support, CASE WHEN given > 0 THEN good / given ELSE 0 END AS precision, CASE WHEN support > 0 THEN good / support ELSE 0 END AS recall FROM c)
+SELECT class::BIGINT AS class, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6)::DOUBLE AS f1, support::BIGINT AS support FROM p""")
+def class_report(t):
+    rows = relational.class_report(t("labels"), "toxic", "quality")
+    return rows.select(F.col("class").cast("long").alias("class"), *[r6(F.col(c).cast("double")).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY sha256('42|' || doc_id), doc_id) - 1) // 16)::BIGINT AS batch FROM documents")
+def shuffled_batches(t):
+    return relational.batches(t("documents"), "doc_id", 16).select("doc_id", "batch")
+
+
+@query("""SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN n_chars END::BIGINT AS n, CASE n_chars % 3 WHEN 1 THEN 'has invalid JSON' WHEN 2 THEN 'must be JSON text' END AS error FROM documents""")
+def json_columns(t):
+    parsed = T.json_column(F.expr("CASE n_chars % 3 WHEN 0 THEN concat('{\"n\":', n_chars, ',\"x\":[]}') WHEN 1 THEN concat('{\"n\":', n_chars) END"), "n bigint")
+    return t("documents").select("doc_id", parsed.alias("p")).select("doc_id", F.col("p.value.n").alias("n"), F.col("p.error").alias("error"))
+
+
+@query("SELECT l_suppkey || '::' || l_returnflag || '::' || l_orderkey || '::' || l_partkey || '::' || l_linestatus AS node, coalesce(l_shipmode, '') || '--' || 'fallthrough' || '-->' || l_partkey AS edge FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem)")
+def signatures(t):
+    rows = t("lineitem").selectExpr("cast(l_suppkey AS string) AS file", "l_returnflag AS function", "l_orderkey AS start_line", "l_partkey AS end_line", "l_linestatus AS code_hash", "l_returnflag AS src", "cast(NULL AS string) AS kind", "cast(l_partkey AS string) AS dst")
+    return rows.select(graphdiff.signature("node").alias("node"), graphdiff.signature("edge").alias("edge"))

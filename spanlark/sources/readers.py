@@ -115,3 +115,9 @@ def load_settings(path: str) -> dict:
     if not isinstance(value, dict):
         raise ValueError(f"{path} holds no mapping")
     return value
+
+
+def envelopes(spark: SparkSession, path: str, payload: str = "payload") -> DataFrame:
+    """Hashed envelopes with ``valid``: whether the payload still has the hash that was written with it."""
+    rows = spark.read.schema(f"{payload} string, payload_sha256 string, config_hash string").json(path)
+    return rows.withColumn("valid", F.sha2(F.col(payload), 256).eqNullSafe(F.col("payload_sha256")))

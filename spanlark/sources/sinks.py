@@ -34,3 +34,9 @@ def write_patches(df: DataFrame, path: str, patches: tuple[str, ...] = ("ori_pat
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).json(path)
+
+
+def write_transcripts(turns: DataFrame, key: str, turn: str, path: str) -> None:
+    """One line for each key: its turns as a JSON array in order."""
+    lines = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(turn), F.struct(*[c for c in turns.columns if c != key]).alias("row")))).alias("turns"))
+    lines.select(key, F.transform("turns", lambda t: t["row"]).alias("turns")).write.mode("overwrite").json(path)

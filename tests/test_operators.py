@@ -275,6 +275,17 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.toy(spark).count() == 1 and readers.toy(spark, limit=0).count() == 0
 
 
+def test_envelopes_and_transcripts(spark, tmp_path):
+    sinks.write_envelopes(frame(spark, [("é", 1), ("b", None)], "x string, y int"), ["x", "y"], "c", f"{tmp_path}/e")
+    rows = readers.envelopes(spark, f"{tmp_path}/e").collect()
+    assert len(rows) == 2 and all(r["valid"] and r["config_hash"] == "c" for r in rows)
+    (tmp_path / "bad.json").write_text(json.dumps({"payload": "{}", "payload_sha256": "0", "config_hash": "c"}))
+    assert [r["valid"] for r in readers.envelopes(spark, f"{tmp_path}/bad.json").collect()] == [False]
+    sinks.write_transcripts(frame(spark, [("k", 2, "b"), ("k", 1, "a")], "id string, turn int, reply string"), "id", "turn", f"{tmp_path}/t")
+    line = json.loads(next(p for p in (tmp_path / "t").glob("part-*") if p.stat().st_size).read_text())
+    assert line == {"id": "k", "turns": [{"turn": 1, "reply": "a"}, {"turn": 2, "reply": "b"}]}
+
+
 def test_registry():
     own = Registry("linker")
     own.register("Mine")(len)
