@@ -143,7 +143,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.line = self.ask("\n")
-        self.first, self.later, self.signs = Pieces(self, ""), Pieces(self, " "), Memo(4 << 20)
+        self.first, self.later, self.signs = Pieces(self, "", 24 << 20), Pieces(self, " ", 256 << 20), Memo(4 << 20)
 
     def ask(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -172,8 +172,8 @@ class PieceEncoder:
 class Pieces(Memo):
     """Ids of pieces; ``lead`` is what stands before them."""
 
-    def __init__(self, owner: PieceEncoder, lead: str) -> None:
-        super().__init__(40 << 20)
+    def __init__(self, owner: PieceEncoder, lead: str, room: int) -> None:
+        super().__init__(room)
         self.owner, self.lead = owner, lead
 
     def __missing__(self, piece: str) -> bytes:
