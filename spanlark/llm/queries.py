@@ -9,13 +9,17 @@ from spanlark.llm.pii import op9_pii
 from spanlark.llm.pitman_yor import op7_pitman_yor
 from spanlark.llm.prefix_bpe import op6_bpe
 from spanlark.llm.quality import op8_quality
+from spanlark.llm.sharding import op13_jump_shards
+from spanlark.llm.spelling import op12_spelling_variants
 from spanlark.llm.substring_dedup import op3_substring_dedup
 from spanlark.llm.token_output import op10_token_files
 from spanlark.llm.toxicity import op4_toxicity
+from spanlark.llm.whitening import op11_whitening
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_dedup, op6_bpe, op7_pitman_yor, op8_quality, op9_pii, op10_token_files)}
+    first = (op1_mixing, op2_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_dedup, op6_bpe, op7_pitman_yor, op8_quality, op9_pii)
+    return {f.__name__: f for f in (*first, op10_token_files, op11_whitening, op12_spelling_variants, op13_jump_shards)}
 
 
 EXACT_SQL = r"""
