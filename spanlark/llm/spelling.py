@@ -44,7 +44,7 @@ COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 KEYS = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("kind", pa.int8()), ("place", pa.int32()), ("wid", pa.int64())])
 MET = "bucket int, key long, kind byte, place int, wid long"
 FOUND = "wid long, n_near long, best_n long, best string"
-PER_BUCKET = 1 << 19
+PER_BUCKET = 1 << 15
 
 
 def utf8(run: bytes) -> bytes:
