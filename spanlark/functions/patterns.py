@@ -29,13 +29,13 @@ BENIGN = [
 ]
 
 Table = list[tuple[str, str, float]]
+TABLES: dict[str, Table] = {"universal": UNIVERSAL, "markers": MARKERS, "dataset_markers": MARKERS, "hybrid": UNIVERSAL + MARKERS}
 
 
 def select_patterns(mode: str) -> Table:
-    tables = {"universal": UNIVERSAL, "markers": MARKERS, "dataset_markers": MARKERS, "hybrid": UNIVERSAL + MARKERS}
-    if (key := mode.strip().lower()) not in tables:
-        raise ValueError(f"no pattern table for mode {mode!r}; there are {', '.join(tables)}")
-    return tables[key]
+    if (key := mode.strip().lower()) not in TABLES:
+        raise ValueError(f"no pattern table for mode {mode!r}; there are {', '.join(TABLES)}")
+    return TABLES[key]
 
 
 def literal(table: Table) -> Column:

@@ -11,7 +11,7 @@ import tokenize
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 BROKEN = (tokenize.TokenError, IndentationError, SyntaxError)
@@ -231,8 +231,46 @@ def parse_errors(files: DataFrame) -> DataFrame:
     return files.withColumn("parse_error", over_text(error)("source")).where("parse_error is not null").select(F.col("path").alias("file"), "parse_error")
 
 
+PATCHED = "scope string, file string, is_node boolean, old boolean, function string, node_id string, type string, start_line int, end_line int, code_snippet string, code_hash string, contains_calls array<string>, problem string"
+
+
+@F.udtf(returnType=PATCHED)
+class PatchedFile:
+    """Table function over rows (scope, file, source, hunks): the nodes of a file before and after its hunks, each version parsed once.
+
+    A row with ``is_node`` false says what went wrong: ``apply`` where hunks do not fit, ``parse <side>: <why>`` where a version is no
+    Python (it then has no nodes), ``error: <why>`` for anything else. A source that is null is a file that the patch makes."""
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        def problem(what: str) -> tuple:
+            return row["scope"], row["file"], False, *[None] * 9, what
+
+        after = apply_hunks(row["source"], row["hunks"])
+        if after is None:
+            yield problem("apply")
+            return
+        for old, source in ((True, row["source"]), (False, after)):
+            try:
+                found = list(graphs(row["file"], source)) if source is not None else []
+            except SyntaxError as e:
+                yield problem(f"parse {'before' if old else 'after'}: {e.msg}")
+                continue
+            except (ValueError, RecursionError) as e:
+                yield problem(f"error: {type(e).__name__}")
+                continue
+            for g in found:
+                for node_id, kind, first, last, snippet, code_hash, called in g.nodes:
+                    yield row["scope"], row["file"], True, old, g.name, node_id, kind, first, last, snippet, code_hash, called, None
+
+
+def patched_files(files: DataFrame) -> DataFrame:
+    """files: scope, file, source, hunks. The rows of ``PatchedFile``."""
+    return PatchedFile(files.select("scope", "file", "source", "hunks").asTable())
+
+
 def register(spark: SparkSession) -> None:
-    """SQL names: strip_tokens, mask_tokens, apply_hunks and the table function flow_graph(path, source)."""
+    """SQL names: strip_tokens, mask_tokens, apply_hunks and the table function flow_graph(path, source), and
+    patched_file(TABLE(rows of scope, file, source, hunks))."""
     spark.udf.register("strip_tokens", over_text(strip_tokens))
     spark.udf.register("mask_tokens", over_text(mask_tokens))
 
@@ -252,3 +290,4 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("apply_hunks", hunks)
     spark.udtf.register("flow_graph", FlowTable)
+    spark.udtf.register("patched_file", PatchedFile)

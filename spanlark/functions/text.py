@@ -42,6 +42,14 @@ def short_md5(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 8)
 
 
+def whole_json(text: Column) -> Column:
+    """The text as VARIANT if it is one JSON value and nothing else, else null (Spark's own parsers take what follows a value).
+    What follows would be a second entry, or no JSON, in a list or an object around it; only closing marks can end one of these early."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    boxed = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>")
+    return F.when((F.size(listed) == 1) & (F.size(boxed) == 1), F.get(listed, F.lit(0)))
+
+
 def hits(text: Column, needles: Iterable[str]) -> Column:
     """Those of the needles that the lower-cased text contains, in the order given."""
     return F.filter(strings(n.lower() for n in needles if n), lambda n: F.contains(F.lower(text), n))

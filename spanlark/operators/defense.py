@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import graphdiff, hunks, links, policies, scoring
+from spanlark.operators import graphdiff, hunks, links, policies, scoring, similarity
+from spanlark.sources.tables import written
 
 #: Which of the universal features tell of security, and the modes that take some of them.
 SECURITY_PREFIXES = ("suspicious_", "cnt_")
@@ -18,7 +20,7 @@ MODES = {
     "structural_only": links.STRUCTURAL, "similarity_only": links.SIMILARITY, "structural_combined": links.STRUCTURAL + links.SIMILARITY, "full_universal": links.UNIVERSAL, "severity_only_universal": SEVERITY_ONLY,
     "no_security": [c for c in links.UNIVERSAL if c not in SECURITY and not c.startswith(SECURITY_PREFIXES)],
 }
-STAGES = ("cfg", "subtasks", "grounding", "features", "model_load", "inference")
+STAGES = ("cfg", "subtasks", "grounding", "model_load", "features", "inference")
 NODE_COLUMNS = ["node_id", "change_type", "file", "function", "start_line", "end_line", "node_type", "code_snippet"]
 
 
@@ -81,99 +83,276 @@ def linked_texts(edges: DataFrame, subtasks: DataFrame, nodes: DataFrame, key: s
     return edges.join(subtasks.select(key, "subtask_index", "subtask"), [key, "subtask_index"]).join(code, [key, "node_id"])
 
 
-def _applied(source: Column, patch: Column) -> Column:
-    @F.pandas_udf("string")
-    def apply(sources: pd.Series, patches: pd.Series) -> pd.Series:
-        return pd.Series([pysource.apply_hunks(s, p) for s, p in zip(sources, patches, strict=True)], dtype=object)
-
-    return apply(source, patch)
-
-
-def patch_nodes(patches: DataFrame, sources: DataFrame, key: str, patch: str, allow_fallback: bool = True) -> tuple[DataFrame, DataFrame]:
+def patch_nodes(patches: DataFrame, sources: DataFrame, key: str, patch: str, allow_fallback: bool | str = True) -> tuple[DataFrame, DataFrame]:
     """(candidate nodes, diagnostics) of each patch. sources: (key, path, source), the files before the patch.
 
-    Where the key has sources, every touched Python file takes its hunks and parses before and after, candidates are the
-    difference of the control-flow graphs. Otherwise they are the hunks themselves, if that is allowed; the diagnostics say
-    which, and why. A key is text here; ids of nodes do not hold it."""
-    patches = patches.select(F.col(key).cast("string").alias("_key"), F.col(patch).alias("patch"))
+    Where the key has sources, every touched Python file takes its hunks and parses before and after in one pass; candidates are
+    the difference of the control-flow graphs, and a version that is no Python has none. Otherwise they are the hunks themselves, if
+    that is allowed (a column's name: for each patch); the diagnostics say which, and why. A key is text here; ids of nodes do not hold it."""
+    allowed = F.col(allow_fallback) if isinstance(allow_fallback, str) else F.lit(allow_fallback)
+    patches = patches.select(F.col(key).cast("string").alias("_key"), F.col(patch).alias("patch"), allowed.alias("_allowed"))
     sources = sources.select(F.col(key).cast("string").alias("_key"), F.col("path").alias("file_path"), "source")
-    touched = patches.select("_key", F.filter(T.touched_files(F.col("patch")), lambda f: f.endswith(".py")).alias("touched_python_files"))
-    parts = hunks.hunks(patches, "_key", "patch").where(F.col("file_path").endswith(".py")).groupBy("_key", "file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.length("chunk_id").alias("n"), "chunk_id", "raw_hunk"))), lambda h: h["raw_hunk"]), "\n").alias("hunks"))
-    both = parts.join(sources, ["_key", "file_path"], "left").withColumn("after", _applied(F.coalesce("source", F.lit("")), F.col("hunks")))
-    name = F.concat("_key", F.lit("\x1f"), "file_path")
-    side = lambda c: both.where(f"{c} is not null").select(name.alias("path"), F.col(c).alias("source"))
-    broken = pysource.parse_errors(side("source").unionByName(side("after"))).select(F.get(F.split("file", "\x1f"), F.lit(0)).alias("_key")).distinct().withColumn("_broken", F.lit(True))
-    applied = both.groupBy("_key").agg(F.bool_and(F.col("after").isNotNull()).alias("apply_success"))
-    has_base = sources.select("_key").distinct().withColumn("_base", F.lit(True))
-    state = touched.join(has_base, "_key", "left").join(applied, "_key", "left").join(broken, "_key", "left")
+    touched = patches.select("_key", "_allowed", F.filter(T.touched_files(F.col("patch")), lambda f: f.endswith(".py")).alias("touched_python_files"))
+    has_base = sources.select("_key").distinct()
+    in_order = F.array_sort(F.collect_list(F.struct(F.length("chunk_id").alias("n"), "chunk_id", "raw_hunk")))
+    based = patches.join(has_base, "_key", "left_semi")
+    parts = hunks.hunks(based, "_key", "patch").where(F.col("file_path").endswith(".py")).groupBy("_key", "file_path").agg(F.array_join(F.transform(in_order, lambda h: h["raw_hunk"]), "\n").alias("hunks"))
+    files = parts.join(sources, ["_key", "file_path"], "left").select(F.col("_key").alias("scope"), F.col("file_path").alias("file"), "source", "hunks")
+    parsed = written(pysource.patched_files(files).withColumnRenamed("scope", "_key"))  # read for the problems and for the nodes
+
+    listed = lambda prefix: F.array_sort(F.collect_list(F.when(F.col("problem").startswith(prefix), F.concat("file", F.lit(" "), "problem"))))
+    problems = parsed.where("not is_node").groupBy("_key").agg(listed("apply").alias("_apply"), listed("parse").alias("parse_errors"), listed("error").alias("_error"))
+    state = touched.join(has_base.withColumn("_base", F.lit(True)), "_key", "left").join(problems, "_key", "left")
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     empty = F.size("touched_python_files") == 0
-    reason = F.when(empty, "").when(F.col("_base").isNull(), "missing_base_repo").when(~F.coalesce("apply_success", F.lit(True)), "patch_apply_failed").when(F.col("_broken"), "cfg_diff_exception").otherwise("")
-    state = state.withColumn("fallback_reason", reason).withColumn("fallback_used", (F.col("fallback_reason") != "") & F.lit(allow_fallback)).withColumn("apply_success", F.when(F.col("_base") & ~empty, F.col("apply_success")))
-
-    def graph(c: str) -> DataFrame:
-        clean = lambda n: F.regexp_replace(n, "^[^\x1f]*\x1f", "")
-        return pysource.flow_nodes(side(c)).select(F.get(F.split("path", "\x1f"), F.lit(0)).alias("_key"), clean(F.col("path")).alias("file"), "function", "start_line", "end_line", "type", "code_hash", clean(F.col("node_id")).alias("node_id"), "code_snippet")
-
-    diff = graphdiff.node_diff(graph("source"), graph("after"), ["_key"], carry=["code_snippet"])
-    parsed = graphdiff.candidates(diff, ["_key"]).select("_key", "node_id", "change_type", "file", "function", "start_line", "end_line", F.col("type").alias("node_type"), F.col("after_code_snippet").alias("code_snippet"))
-    parsed = parsed.join(state.where("fallback_reason = ''").select("_key"), "_key", "left_semi")
-    plain = hunks.hunk_nodes(patches, "_key", "patch").select("_key", *NODE_COLUMNS).join(state.where("fallback_used").select("_key"), "_key", "left_semi")
-    diagnostics = state.select(F.col("_key").alias(key), "touched_python_files", "fallback_used", "fallback_reason", "apply_success")
-    return parsed.unionByName(plain).withColumnRenamed("_key", key), diagnostics
-
-
-def structural_defense(df: DataFrame, nodes: DataFrame, model: scoring.LinearModel, key: str, *, patch: str, subtasks_reply: str, links_reply: str, mode: str = "structural_combined", threshold: float = 0.5, policy: str = "reject_if_score_ge_threshold",
-                       severity_mode: str = "universal", comment_stripping: str = "python_tokenize", marker_debug: bool = False, sims: DataFrame | None = None, most_missing: float = 0.05) -> DataFrame:
-    """One row for each key: decision, model_score, the key metrics, stage_failed and error; whatever fails is rejected.
-
-    nodes: candidate nodes of each key; sims: (key, sim) of linked pairs, for the modes with similarity. A setting that no row
-    could pass (mode, severity mode, features that the model lacks) fails every row in its stage."""
-    failed = lambda stage, why: df.select(key, F.lit("reject").alias("decision"), *[F.lit(None).cast("double").alias(c) for c in ("model_score", "coverage", "justification_gap", "entropy")], *[F.lit(None).cast("long").alias(c) for c in ("unmatched_nodes", "unmatched_subtasks")], F.lit(stage).alias("stage_failed"), F.lit(why).alias("error"))
-    if mode.strip().lower() not in MODES:
-        return failed("init", f"no mode {mode!r}")
-    if severity_mode in ("markers", "dataset_markers", "hybrid") and not marker_debug:
-        return failed("init", "pattern tables with dataset markers need the debug mode")
-    columns = feature_columns(mode)
-    try:
-        scoring.check_features(model, columns, most_missing)
-    except ValueError as e:
-        return failed("inference", str(e))
-
-    rows = df.withColumn("_steps", T.subtasks(F.col(subtasks_reply))).withColumn("num_subtasks", F.size("_steps"))
-    counted = rows.select(key, "num_subtasks").join(nodes.groupBy(key).agg(F.count_distinct("node_id").alias("num_candidate_nodes")), key, "left").na.fill({"num_candidate_nodes": 0})
-    parsed = links.parse_links(rows, key, links_reply, "num_subtasks")
-    edges = links.edges(parsed, key)
-    features = links.link_features(edges, counted, key)
-    if mode in ("similarity_only", "structural_combined"):
-        features = features.join(links.similarity_features(sims if sims is not None else edges.select(key, F.lit(0.0).alias("sim")).limit(0), counted, key), key)
-    elif mode not in ("structural_only",):
-        found = nodes.withColumn("_scanned", scanned(F.col("code_snippet"), comment_stripping))
-        scored_nodes = patterns.add_scores(found, F.col("_scanned"), patterns.select_patterns(severity_mode))
-        more = links.connected(edges, counted, key).join(links.severity_features(scored_nodes, edges, counted, key), key)
-        features = features.join(more.select(key, *[c for c in more.columns if c != key and c not in features.columns]), key)
-    row = with_features(features, key, columns)
-    scored = scoring.score(row, model, most_missing, "model_score")
-    # the metrics are those of the row: what a mode leaves out counts as 0
+    reason = F.when(empty, "").when(F.col("_base").isNull(), "missing_base_repo").when(some("_apply"), "patch_apply_failed").when(some("_error"), "cfg_diff_exception").otherwise("")
+    state = state.withColumn("fallback_reason", reason).withColumn("fallback_used", (F.col("fallback_reason") != "") & F.col("_allowed"))
+    state = state.withColumn("apply_success", F.when(F.col("_base") & ~empty, ~some("_apply"))).withColumn("parse_errors", F.coalesce("parse_errors", F.expr("cast(array() as array<string>)")))
+
+    diff = graphdiff.sides_diff(parsed.where("is_node"), "old", ["_key"], carry=["code_snippet"])
+    changed = graphdiff.candidates(diff, ["_key"]).select("_key", "node_id", "change_type", "file", "function", "start_line", "end_line", F.col("type").alias("node_type"), F.col("after_code_snippet").alias("code_snippet"))
+    changed = changed.join(state.where("fallback_reason = ''").select("_key"), "_key", "left_semi")
+    plain = hunks.hunk_nodes(patches.join(state.where("fallback_used").select("_key"), "_key", "left_semi"), "_key", "patch").select("_key", *NODE_COLUMNS)
+    diagnostics = state.select(F.col("_key").alias(key), "touched_python_files", "fallback_used", "fallback_reason", "apply_success", "parse_errors")
+    return changed.unionByName(plain).withColumnRenamed("_key", key), diagnostics
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Settings of the structural defense. Names are trimmed and lower-cased here, once; whether they are known shows in ``faults``."""
+
+    mode: str = "structural_combined"
+    threshold: float = 0.5
+    policy: str = "reject_if_score_ge_threshold"
+    severity_mode: str = "universal"
+    comment_stripping: str = "python_tokenize"
+    marker_debug: bool = False
+    prompt_parser: str = "llm_subtasks"
+    patch_parser: str = "cfg_ast"
+    linker: str = "llm_grounding"
+    allow_fallback: bool = True
+    allow_fallback_non_toy: bool | None = None
+    similarity_threshold: float = 0.3
+    mask_tokens: bool = True
+    most_missing: float = 0.05
+
+    def __post_init__(self) -> None:
+        for name in ("mode", "policy", "severity_mode", "comment_stripping", "prompt_parser", "patch_parser", "linker"):
+            object.__setattr__(self, name, str(getattr(self, name)).strip().lower())
+
+    @property
+    def similar(self) -> bool:
+        return self.mode in ("similarity_only", "structural_combined")
+
+    @property
+    def structural(self) -> bool:
+        return self.similar or self.mode == "structural_only"
+
+    def faults(self, model: scoring.LinearModel | None, vectorizer: bool) -> dict[str, str]:
+        """What fails every row that comes as far as a stage, by stage; "settings" comes before the first."""
+        out = {}
+        if self.mode not in MODES:
+            return {"settings": f"no mode {self.mode!r}"}
+        for stage, kind, name in (("subtasks", PROMPT_PARSERS, self.prompt_parser), ("cfg", PATCH_PARSERS, self.patch_parser), ("grounding", LINKERS, self.linker)):
+            if name not in kind:
+                return {f"settings:{stage}": f"no parser {name!r}; there are {', '.join(sorted(kind))}"}
+        if self.severity_mode in ("markers", "dataset_markers", "hybrid") and not self.marker_debug:
+            out["init"] = "pattern tables with dataset markers need the debug mode"
+        if model is None:
+            out["model_load"] = "there is no model"
+        elif self.similar and not vectorizer:
+            out["model_load"] = "the model has no vectorizer"
+        if not self.structural and self.severity_mode not in patterns.TABLES:
+            out["features"] = f"no pattern table {self.severity_mode!r}"
+        if model is not None:
+            try:
+                scoring.check_features(model, feature_columns(self.mode), self.most_missing)
+            except ValueError as e:
+                out["inference"] = str(e)
+        if self.policy not in policies.POLICIES:
+            out.setdefault("inference", f"no policy {self.policy!r}")
+        return out
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """Tables and columns that the parsers read. A call that failed left its reply null (or its error column filled)."""
+
+    patch: str = "patch"
+    dataset: str | None = None
+    sources: DataFrame | None = None  # (key, path, source)
+    nodes: DataFrame | None = None  # candidate nodes of patches that were parsed before
+    chunks_reply: str | None = None
+    subtasks_reply: str | None = None
+    subtasks_error: str | None = None
+    links_reply: str | None = None
+    links_error: str | None = None
+    sims: DataFrame | None = None  # (key, sim) of linked pairs
+    vocabulary: DataFrame | None = None  # (term, idf) of the model's vectorizer
+    subtask_vectors: DataFrame | None = None  # (key, subtask_index, vector)
+    node_vectors: DataFrame | None = None  # (key, node_id, vector)
+
+
+def call_problem(df: DataFrame, reply: str | None, error: str | None, what: str) -> Column:
+    """Why a reply cannot be used; null where it can."""
+    told = T.blank_to_null(F.col(error)) if error and error in df.columns else F.lit(None).cast("string")
+    there = F.col(reply).isNotNull() if reply and reply in df.columns else F.lit(False)
+    return F.coalesce(told, F.when(~there, F.lit(f"the call for {what} has no reply")))
+
+
+NO_DIAGNOSTICS = {"_problem": "string", "fallback_used": "boolean", "fallback_reason": "string"}
+
+
+def parse_cfg(rows: DataFrame, key: str, given: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Patch parser: nodes from the difference of control-flow graphs, or from hunks where that is allowed."""
+    if given.nodes is not None:
+        return given.nodes, rows.select(key, *[F.lit(None).cast(t).alias(c) for c, t in NO_DIAGNOSTICS.items()])
+    other = settings.allow_fallback if settings.allow_fallback_non_toy is None else settings.allow_fallback_non_toy
+    toy = F.lower(T.strip(F.coalesce(F.col(given.dataset), F.lit("")))).isin("", "toy") if given.dataset else F.lit(True)
+    rows = rows.withColumn("_allow", F.when(toy, settings.allow_fallback).otherwise(other))
+    sources = given.sources if given.sources is not None else rows.select(key, F.lit("").alias("path"), F.lit("").alias("source")).limit(0)
+    nodes, found = patch_nodes(rows, sources, key, given.patch, "_allow")
+    kind = dict(rows.dtypes)[key]
+    problem = F.when((F.col("fallback_reason") != "") & ~F.col("fallback_used"), F.concat(F.lit("hunks may not stand in: "), "fallback_reason"))
+    return nodes.withColumn(key, F.col(key).cast(kind)), found.select(F.col(key).cast(kind).alias(key), problem.alias("_problem"), "fallback_used", "fallback_reason")
+
+
+def parse_chunks(rows: DataFrame, key: str, given: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Patch parser: nodes from a model's reply with chunks of code."""
+    problem = call_problem(rows, given.chunks_reply, None, "chunks")
+    nodes = hunks.chunk_nodes(rows, key, given.chunks_reply).select(key, *NODE_COLUMNS) if given.chunks_reply else rows.select(key, *[F.lit(None).cast("string").alias(c) for c in NODE_COLUMNS]).limit(0)
+    return nodes, rows.select(key, problem.alias("_problem"), F.lit(False).alias("fallback_used"), F.lit("").alias("fallback_reason"))
+
+
+def parse_steps(rows: DataFrame, key: str, given: Inputs, settings: Settings) -> tuple[Column, Column]:
+    """Prompt parser: the array of steps, and why there is none."""
+    steps = T.subtasks(F.col(given.subtasks_reply)) if given.subtasks_reply else F.expr("cast(array() as array<string>)")
+    return steps, call_problem(rows, given.subtasks_reply, given.subtasks_error, "subtasks")
+
+
+def link_replies(rows: DataFrame, nodes: DataFrame, key: str, given: Inputs, settings: Settings) -> tuple[DataFrame, Column]:
+    """Linker: (key, subtask_index, node_id) from a model's reply, and why there is none."""
+    problem = call_problem(rows, given.links_reply, given.links_error, "links")
+    if not given.links_reply:
+        return rows.select(key, F.lit(0).alias("subtask_index"), F.lit("").alias("node_id")).limit(0), problem
+    return links.edges(links.parse_links(rows, key, given.links_reply, "num_subtasks"), key), problem
+
+
+def link_similar(rows: DataFrame, nodes: DataFrame, key: str, given: Inputs, settings: Settings) -> tuple[DataFrame, Column]:
+    """Linker: an instance's steps and nodes whose vectors have a cosine of at least ``similarity_threshold``."""
+    if given.subtask_vectors is None or given.node_vectors is None:
+        return rows.select(key, F.lit(0).alias("subtask_index"), F.lit("").alias("node_id")).limit(0), F.lit("there are no vectors")
+    s = given.subtask_vectors.select(key, "subtask_index", similarity.unit(F.col("vector")).alias("_s")).join(rows.select(key, "num_subtasks"), key).where("subtask_index < num_subtasks")
+    n = given.node_vectors.select(key, "node_id", similarity.unit(F.col("vector")).alias("_n"))
+    near = s.join(n, key).where(similarity.dot(F.col("_s"), F.col("_n")) >= settings.similarity_threshold)
+    return near.select(key, "subtask_index", "node_id"), F.lit(None).cast("string")
+
+
+#: Contracts. A prompt parser gives (steps, problem) as columns of the rows; a patch parser gives (nodes, outcomes), tables by key with
+#: ``NODE_COLUMNS`` and with ``NO_DIAGNOSTICS``; a linker gives (links, problem): a table by key and a column.
+PROMPT_PARSERS = {"llm_subtasks": parse_steps}
+PATCH_PARSERS = {"cfg_ast": parse_cfg, "llm_chunks": parse_chunks}
+LINKERS = {"llm_grounding": link_replies, "embedding_similarity": link_similar}
+
+
+def failing(df: DataFrame, stage: str, problem: Column) -> DataFrame:
+    """Rows that have not failed fail in ``stage`` where there is a problem."""
+    now = F.col("stage_failed").isNull() & problem.isNotNull()
+    return df.withColumns({"error": F.when(now, problem).otherwise(F.col("error")), "stage_failed": F.when(now, stage).otherwise(F.col("stage_failed"))})
+
+
+def tfidf_sims(edges: DataFrame, steps: DataFrame, nodes: DataFrame, vocabulary: DataFrame, key: str, mask: bool) -> DataFrame:
+    """(key, sim) of each link whose node has code, by the weights of a vocabulary."""
+    code = nodes.select(key, "node_id", pysource.over_text(pysource.mask_tokens)("code_snippet").alias("code_snippet")) if mask else nodes
+    pairs = linked_texts(edges, steps, code, key).withColumn("_pair", F.monotonically_increasing_id())
+    pairs = written(pairs.select(key, "_pair", "subtask", "code_snippet"))
+    texts = pairs.select("_pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("subtask").alias("t")), F.struct(F.lit(1).alias("side"), F.col("code_snippet").alias("t")))).alias("x")).select(F.struct("_pair", "x.side").alias("_k"), F.col("x.t").alias("t"))
+    weights = similarity.tfidf_weights(similarity.terms(texts, "_k", "t"), vocabulary, "_k").select("_k._pair", "_k.side", "term", "w")
+    both = weights.groupBy("_pair", "term").agg(F.sum(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.sum(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
+    sims = both.groupBy("_pair").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
+    return pairs.select(key, "_pair").join(sims, "_pair", "left").select(key, F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.LinearModel | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, **more) -> DataFrame:
+    """One row for each key: decision, model_score, the key metrics, what the patch parser fell back to, stage_failed and error.
+
+    The stages run in order (init, cfg, subtasks, grounding, model_load, features, inference). What fails a row is written to it,
+    later stages leave it alone, and it is rejected; settings that no row can pass fail each row that comes so far. ``more``: fields
+    of ``Settings`` and ``Inputs``."""
+    parts = {c: {f.name for f in fields(c)} for c in (Settings, Inputs)}
+    if unknown := set(more) - parts[Settings] - parts[Inputs]:
+        raise TypeError(f"no setting named {', '.join(sorted(unknown))}")
+    settings = replace(settings or Settings(), **{k: v for k, v in more.items() if k in parts[Settings]})
+    given = replace(given or Inputs(), **{k: v for k, v in more.items() if k in parts[Inputs]} | ({"nodes": nodes} if nodes is not None else {}))
+    faults = settings.faults(model, given.sims is not None or given.vocabulary is not None)
+    fault = lambda stage: F.lit(faults.get(stage)).cast("string")
+    state = df.withColumns({"stage_failed": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    early = next((s for s in faults if s.startswith("settings")), None)
+    if early:
+        stage = early.partition(":")[2] or "init"
+        return outcome(failing(state, stage, F.lit(faults[early])), None, None, key, settings, [])
+    state = failing(state, "init", F.coalesce(fault("init"), F.when(F.coalesce(T.strip(F.col(given.patch)), F.lit("")) == "", "the patch is empty")))
+
+    alive = lambda: state.where("stage_failed is null")
+    found, outcomes = PATCH_PARSERS[settings.patch_parser](alive(), key, given, settings)
+    state = failing(state.join(outcomes, key, "left"), "cfg", F.col("_problem")).drop("_problem")
+    steps, problem = PROMPT_PARSERS[settings.prompt_parser](state, key, given, settings)
+    state = failing(state.withColumn("_steps", steps), "subtasks", problem).withColumn("num_subtasks", F.size("_steps"))
+    state = written(state)  # the parsers have run; what follows reads their results
+    found = found.join(alive().select(key), key, "left_semi")
+    linked, problem = LINKERS[settings.linker](alive(), found, key, given, settings)
+    for stage, why in (("grounding", problem), ("model_load", fault("model_load")), ("features", fault("features")), ("inference", fault("inference"))):
+        state = failing(state, stage, why)
+    columns = feature_columns(settings.mode)
+    edges = written(linked.join(alive().select(key), key, "left_semi"))
+    counted = alive().select(key, "num_subtasks").join(found.groupBy(key).agg(F.count_distinct("node_id").alias("num_candidate_nodes")), key, "left").na.fill({"num_candidate_nodes": 0})
+    counted = written(counted)
+    if {"model_load", "features", "inference"} & set(faults):
+        return outcome(state, counted, edges, key, settings, [])
+    per_node = links.by_node(edges, key) if settings.structural else written(links.by_node(edges, key))
+    features = links.link_features(edges, counted, key, per_node)
+    if settings.similar:
+        sims = given.sims
+        if sims is None:
+            texts = alive().select(key, F.posexplode("_steps").alias("subtask_index", "subtask"))
+            sims = tfidf_sims(edges, texts, found, given.vocabulary, key, settings.mask_tokens)
+        features = features.join(links.similarity_features(sims, counted, key), key)
+    elif not settings.structural:
+        seen = found.withColumn("_scanned", scanned(F.col("code_snippet"), settings.comment_stripping))
+        scored_nodes = patterns.add_scores(seen, F.col("_scanned"), patterns.select_patterns(settings.severity_mode))
+        severity = links.severity_features(scored_nodes, edges, counted, key, linked=per_node)
+        more_features = severity if "is_connected" not in columns else links.connected(edges, counted, key, per_node).join(severity, key)
+        features = features.join(more_features.select(key, *[c for c in more_features.columns if c != key and c not in features.columns]), key)
+    scored = scoring.score(with_features(features, key, columns), model, settings.most_missing, "model_score").drop("prediction", "num_subtasks", "num_candidate_nodes")
+    return outcome(state.join(scored, key, "left"), counted, edges, key, settings, columns)
+
+
+def outcome(state: DataFrame, counted: DataFrame | None, linked: DataFrame | None, key: str, settings: Settings, columns: list[str]) -> DataFrame:
+    """The result's columns; what a row that failed has no value for is null, and a metric that the mode leaves out is 0."""
+    fine = F.col("stage_failed").isNull()
+    if columns:
+        numbers = linked.groupBy(key).agg(F.count_distinct("node_id").alias("_nodes"), F.count_distinct("subtask_index").alias("_linked_subtasks"))
+        state = state.join(counted.select(key, "num_candidate_nodes"), key, "left").join(numbers, key, "left").na.fill({"_nodes": 0, "_linked_subtasks": 0})
     entropy = next((c for c in ("node_link_entropy", "link_entropy_over_subtasks") if c in columns), None)
-    metric = lambda c: F.col(c) if c in columns else F.lit(0.0)
-    scored = scored.select(
-        key, "model_score", metric("subtask_coverage").alias("coverage"), (metric("subtask_coverage") - metric("node_justification")).alias("justification_gap"), (F.col(entropy) if entropy else F.lit(0.0)).alias("entropy")
-    )
-    linked = edges.groupBy(key).agg(F.count_distinct("node_id").alias("_nodes"), F.count_distinct("subtask_index").alias("_subtasks"))
-    out = rows.select(key, patch, "num_subtasks").join(counted.select(key, "num_candidate_nodes"), key).join(scored, key, "left").join(linked, key, "left").na.fill({"_nodes": 0, "_subtasks": 0})
-    blank = F.coalesce(T.strip(F.col(patch)), F.lit("")) == ""
-    stage = F.when(blank, "init").when(F.col("num_subtasks") == 0, "subtasks")
-    error = F.when(blank, "the patch is empty").when(F.col("num_subtasks") == 0, "there are no subtasks")
-    out = out.withColumn("stage_failed", stage).withColumn("error", error)
-    accepted = F.col("stage_failed").isNull() & policies.threshold_decision(F.col("model_score"), threshold, policy)
-    fine = lambda c: F.when(F.col("stage_failed").isNull(), c)
-    return out.select(
-        key, F.when(accepted, "accept").otherwise("reject").alias("decision"), *[fine(F.col(c)).alias(c) for c in ("model_score", "coverage", "justification_gap", "entropy")],
-        fine(F.greatest(F.lit(0), F.col("num_candidate_nodes") - F.col("_nodes")).cast("long")).alias("unmatched_nodes"), fine((F.col("num_subtasks") - F.col("_subtasks")).cast("long")).alias("unmatched_subtasks"), "stage_failed", "error",
+    has = lambda c: F.col(c) if c in columns else F.lit(0.0)
+    metrics = {
+        "model_score": F.col("model_score") if columns else F.lit(None).cast("double"), "coverage": has("subtask_coverage"), "justification_gap": has("subtask_coverage") - has("node_justification"),
+        "entropy": has(entropy), "unmatched_nodes": F.greatest(F.lit(0), F.col("num_candidate_nodes") - F.col("_nodes")).cast("long") if columns else F.lit(None).cast("long"),
+    }
+    accepted = fine & policies.threshold_decision(F.col("model_score"), settings.threshold, settings.policy) if columns else F.lit(False)
+    extra = [F.col(c) if c in state.columns else F.lit(None).cast(t).alias(c) for c, t in NO_DIAGNOSTICS.items() if c != "_problem"]
+    return state.select(
+        key, F.when(accepted, "accept").otherwise("reject").alias("decision"), *[F.when(fine, c).alias(n) for n, c in metrics.items()],
+        (F.when(fine, F.col("num_subtasks") - F.col("_linked_subtasks")).cast("long") if columns else F.lit(None).cast("long")).alias("unmatched_subtasks"), *extra, "stage_failed", "error",
     )
 
 
+#: The flag of each stage.
+FLAGS = {"cfg": "cfg_fail", "subtasks": "subtasks_fail", "grounding": "grounding_fail", "features": "features_fail", "model_load": "model_missing", "inference": "inference_fail"}
+
+
 def failure_flags(df: DataFrame) -> DataFrame:
-    """A flag for each stage that may have failed."""
-    names = {"cfg": "cfg_fail", "subtasks": "subtasks_fail", "grounding": "grounding_fail", "features": "features_fail", "model_load": "model_missing", "inference": "inference_fail"}
-    return df.withColumns({names[s]: F.coalesce(F.col("stage_failed") == s, F.lit(False)) for s in STAGES})
+    """A flag for each stage that may have failed, and the last stage that was completed."""
+    order = ("init", *STAGES)
+    before = F.get(F.array(F.lit(None).cast("string"), *[F.lit(s) for s in order]), F.array_position(F.array(*[F.lit(s) for s in order]), F.col("stage_failed")).cast("int") - 1)
+    return df.withColumns({FLAGS[s]: F.coalesce(F.col("stage_failed") == s, F.lit(False)) for s in STAGES}).withColumn("stage_completed", F.when(F.col("stage_failed").isNull(), order[-1]).otherwise(before))

@@ -17,10 +17,15 @@ def node_diff(before: DataFrame, after: DataFrame, scope: list[str], order: list
     also in a node that does not count, has moved: as an addition it is moved, as a removal it is left out. ``carry``: columns
     that come along as before_* and after_*; a moved node's before_* are those of the last node there with its code.
     Both sides are dealt once by function; places and codes are settled where they are."""
+    columns = list(dict.fromkeys([*scope, *PLACE, "code_hash", "node_id", *(order or []), *(carry or [])]))
+    return sides_diff(before.select(*columns, F.lit(True).alias("_old")).unionByName(after.select(*columns, F.lit(False).alias("_old"))), "_old", scope, order, carry)
+
+
+def sides_diff(sides: DataFrame, old: str, scope: list[str], order: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The difference of nodes whose column ``old`` says which side they are of; see ``node_diff``."""
     order, carry = order or ["node_id"], carry or []
     keys, local, null = [*scope, *PLACE], [*scope, "file", "function"], F.lit(None)
-    columns = list(dict.fromkeys([*keys, "code_hash", "node_id", *order, *carry]))
-    both = before.select(*columns, F.lit(True).alias("_old")).unionByName(after.select(*columns, F.lit(False).alias("_old"))).repartition(*local)
+    both = sides.select(*dict.fromkeys([*keys, "code_hash", "node_id", *order, *carry]), F.col(old).alias("_old")).repartition(*local)
     node = F.struct("code_hash", "node_id", *carry)
     side = lambda old, c=node: F.max_by(F.when(F.col("_old") == old, c), F.when(F.col("_old") == old, F.struct(*order)))
     places = both.groupBy(*keys).agg(side(True).alias("_b"), side(False).alias("_a")).withColumn("_hash", F.coalesce("_a.code_hash", "_b.code_hash"))

@@ -50,7 +50,7 @@ def chunk_nodes(df: DataFrame, key: str, reply: str) -> DataFrame:
     inside other text, bucketed by kind of change. Chunks are numbered from 0 with those that are left out: what is no
     object, and chunks without file or code. A change without a kind is a modification, an end without a line the start."""
     raw = T.strip(F.coalesce(F.col(reply), F.lit("")))
-    chunks = lambda t: F.try_variant_get(F.try_parse_json(t), "$.chunks", "array<variant>")
+    chunks = lambda t: F.try_variant_get(T.whole_json(t), "$.chunks", "array<variant>")
     rows = df.select(key, F.posexplode(F.coalesce(chunks(raw), chunks(F.regexp_extract(raw, r"(?s)(\{.*\})", 1)))).alias("pos", "c"))
     rows = rows.where(F.schema_of_variant("c").startswith("OBJECT"))
     text = lambda name, default: T.strip(F.coalesce(F.try_variant_get("c", f"$.{name}", "string"), F.lit(default)))

@@ -1,16 +1,15 @@
 """Bipartite links between subtasks and nodes: normalisation and the features of each instance.
 
-All features come from one exploded link list with two pre-aggregations, per subtask and per node, joined on the instance."""
+All features come from the links per subtask and per node, and the spread of these from short histograms of each instance."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlark.functions import text as T
+from spanlark.operators.components import components
+from spanlark.sources.tables import written
 
 #: Column names and their order.
 STRUCTURAL = [
@@ -34,16 +33,41 @@ def parse_subtasks(df: DataFrame, key: str, reply: str) -> DataFrame:
     return df.select(key, F.posexplode(T.subtasks(F.col(reply))).alias("subtask_index", "subtask"))
 
 
+def link_entries(reply: Column) -> Column:
+    """The entries of a reply {"links": [...]} that are objects, as VARIANT; an empty object, or text that is none, counts by the
+    text from its first brace to its last. Nothing may follow the object."""
+    raw = T.strip(F.coalesce(reply, F.lit("")))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    first, second = T.whole_json(raw), T.whole_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1))
+    found = F.when(F.coalesce(F.size(fields(first)), F.lit(0)) > 0, first).when(fields(second).isNotNull(), second)
+    return F.filter(F.try_variant_get(found, "$.links", "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+
+
+def _id_text(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def _node_ids(entry: Column) -> Column:
+    """A list's ids as text, or a list of the one that stands there if it is neither empty nor zero; blank ids go."""
+    value = F.try_variant_get(entry, "$.node_ids", "variant")
+    listed, kind = F.try_variant_get(value, "$", "array<variant>"), F.schema_of_variant(value)
+    none = value.isNull() | (kind == "VOID") | _id_text(value).isin("", "0", "False", "{}") | (F.try_variant_get(value, "$", "double") == 0)
+    one = F.when(F.coalesce(none, F.lit(False)), F.expr("cast(array() as array<string>)")).otherwise(F.array(_id_text(value)))
+    ids = F.when(kind.startswith("ARRAY"), F.transform(listed, _id_text)).otherwise(one)
+    return F.filter(ids, lambda s: s.isNotNull() & (T.strip(s) != ""))
+
+
 def parse_links(df: DataFrame, key: str, reply: str, num_subtasks: str) -> DataFrame:
-    """key, subtask_index, node_ids for every subtask from 0 on: the last entry of an index counts, indexes out of range and blank ids
-    go, single ids are lists of one, and subtasks without an entry get an empty list."""
-    inside = F.regexp_extract(F.coalesce(F.col(reply), F.lit("")), r"(?s)(\{.*\})", 1)
-    items = F.from_json(inside, "links array<struct<subtask_index:int,node_ids:string>>")["links"]
-    rows = df.select(key, num_subtasks, F.posexplode_outer(items).alias("pos", "link"))
-    rows = rows.where(F.col("link.subtask_index").between(F.lit(0), F.col(num_subtasks) - 1))
-    ids = F.coalesce(F.from_json("link.node_ids", "array<string>"), F.array("link.node_ids"))
-    ids = F.filter(ids, lambda s: s.isNotNull() & (F.trim(s) != ""))
-    last = rows.groupBy(key, F.col("link.subtask_index").alias("subtask_index")).agg(F.max_by(ids, "pos").alias("node_ids"))
+    """key, subtask_index, node_ids for every subtask from 0 on: the last entry of an index counts, entries that are no objects, indexes
+    that are no whole numbers or out of range and blank ids go, single ids are lists of one, and subtasks without an entry get an
+    empty list."""
+    rows = df.select(key, num_subtasks, F.posexplode(link_entries(F.col(reply))).alias("pos", "link"))
+    index = F.try_variant_get("link", "$.subtask_index", "variant")
+    whole = F.when(F.schema_of_variant(index).isin("BIGINT", "BOOLEAN"), F.try_variant_get(index, "$", "bigint"))
+    rows = rows.withColumn("subtask_index", whole).where(F.col("subtask_index").between(F.lit(0), F.col(num_subtasks) - 1))
+    last = rows.groupBy(key, F.col("subtask_index").cast("int").alias("subtask_index")).agg(F.max_by(_node_ids(F.col("link")), "pos").alias("node_ids"))
     every = df.where(F.col(num_subtasks) > 0).select(key, F.explode(F.sequence(F.lit(0), (F.col(num_subtasks) - 1).cast("int"))).alias("subtask_index"))
     return every.join(last, [key, "subtask_index"], "left").withColumn("node_ids", F.coalesce("node_ids", F.expr("cast(array() as array<string>)")))
 
@@ -52,42 +76,67 @@ def edges(links: DataFrame, key: str) -> DataFrame:
     return links.select(key, "subtask_index", F.explode("node_ids").alias("node_id"))
 
 
-def dense(edge_list: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Links per subtask, also for subtasks without any: key, subtask_index, n, diagonal. sizes: (key, num_subtasks)."""
-    every = sizes.where("num_subtasks > 0").select(key, F.explode(F.sequence(F.lit(0), (F.col("num_subtasks") - 1).cast("int"))).alias("subtask_index"))
+def by_subtask(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Links ``n`` of each linked subtask that an instance has, and whether one is on the diagonal."""
     index = F.col("subtask_index").cast("string")
     on_diagonal = F.contains("node_id", F.concat(F.lit("::n"), index)) | F.col("node_id").endswith(F.concat(F.lit("_"), index))
     n = edge_list.groupBy(key, "subtask_index").agg(F.count("*").alias("n"), F.bool_or(on_diagonal).alias("diagonal"))
-    return every.join(n, [key, "subtask_index"], "left").na.fill({"n": 0}).withColumn("diagonal", F.coalesce("diagonal", F.lit(False)))
-
-
-def entropy(n: Column, total: Column) -> Column:
-    return F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0)
-
-
-def spread(counts: DataFrame, key: str, name: str) -> DataFrame:
-    """Extremes, deviation, entropy, Gini and patterns of the counts ``n`` of each key."""
-    by = Window.partitionBy(key)
-    rows = counts.withColumn("_total", F.sum("n").over(by)).withColumn("_size", F.count("*").over(by)).withColumn("_rank", F.row_number().over(by.orderBy("n")))
-    gini = F.sum((2 * F.col("_rank") - F.col("_size") - 1) * F.col("n")) / (F.first("_size") * F.first("_total"))
-    return rows.groupBy(key).agg(
-        F.max("n").cast("double").alias(f"max_links_per_{name}"), F.min("n").cast("double").alias(f"min_links_per_{name}"), F.stddev_pop("n").alias(f"std_links_per_{name}"),
-        F.sum(F.when(F.col("_total") > 0, entropy(F.col("n"), F.col("_total"))).otherwise(0.0)).alias(f"_entropy_{name}"),
-        F.when(F.first("_total") > 0, gini).otherwise(0.0).alias(f"gini_{name}s"), F.count_if(F.col("n") == 1).cast("double").alias(f"one_to_one_{name}s"), F.count_if(F.col("n") > 1).cast("double").alias(f"_many_{name}s"),
-        F.count_if(F.col("n") > 0).alias(f"_linked_{name}s"), F.sum("n").alias(f"_sum_{name}s"), F.coalesce(F.bool_and(F.when(F.col("n") > 0, F.col("n") >= 2)), F.lit(True)).alias(f"_min2_{name}s"),
-    )
-
-
-def link_features(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """All link features of each instance in ``sizes`` (key, num_subtasks, num_candidate_nodes); connectivity is apart."""
-    subtasks = dense(edge_list, key, sizes)
-    per_subtask = spread(subtasks, key, "subtask").join(subtasks.groupBy(key).agg(F.count_if("diagonal").cast("double").alias("diagonal_links")), key)
-    per_node = spread(edge_list.groupBy(key, "node_id").agg(F.count("*").alias("n")), key, "node")
-    out = sizes.join(per_subtask, key, "left").join(per_node, key, "left").na.fill(0)
+    return n.join(sizes.select(key, "num_subtasks"), key).where(F.col("subtask_index").between(F.lit(0), F.col("num_subtasks") - 1)).drop("num_subtasks")
+
+
+def by_node(edge_list: DataFrame, key: str) -> DataFrame:
+    """Links ``n`` of each linked node, and the least of its subtasks."""
+    return edge_list.groupBy(key, "node_id").agg(F.count("*").alias("n"), F.min("subtask_index").alias("least"))
+
+
+def histograms(subtasks: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """For each instance with links two arrays of (n, c): c subtasks, or nodes, have n links; and diagonal_links.
+
+    Numbers of links are few, so these arrays are short however many nodes an instance has."""
+    sides = subtasks.select(key, F.lit("subtask").alias("side"), "n", "diagonal").unionByName(nodes.select(key, F.lit("node").alias("side"), "n", F.lit(False).alias("diagonal")))
+    counts = sides.groupBy(key, "side", "n").agg(F.count("*").alias("c"), F.count_if("diagonal").alias("d"))
+    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("n", "c"))))
+    return counts.groupBy(key).agg(listed("subtask").alias("_subtasks"), listed("node").alias("_nodes"), F.sum("d").cast("double").alias("diagonal_links"))
+
+
+def spread(histogram: Column, name: str) -> dict[str, Column]:
+    """Extremes, deviation, entropy, Gini and patterns of a histogram (array of (n, c), n ascending); 0 for an empty one."""
+
+    def total(term) -> Column:
+        return F.aggregate(histogram, F.lit(0.0), lambda s, h: s + term(h["n"].cast("double"), h["c"].cast("double")))
+
+    links, size = total(lambda n, c: n * c), total(lambda n, c: c)
+    some = lambda c: F.when(size > 0, c).otherwise(0.0)
+    linked = lambda c: F.when(links > 0, c).otherwise(0.0)
+    mean = links / size
+    # members with n links have the ranks that follow those with fewer: 2 * rank - size - 1 adds up to c * (2 * before + c - size)
+    ranks = F.aggregate(histogram, F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("sum")), lambda s, h: F.struct(
+        (s["before"] + h["c"]).alias("before"), (s["sum"] + h["n"] * h["c"] * (2 * s["before"] + h["c"] - size)).alias("sum")
+    ))["sum"]
+    return {
+        f"max_links_per_{name}": F.coalesce(F.try_element_at(histogram, F.lit(-1))["n"].cast("double"), F.lit(0.0)), f"min_links_per_{name}": F.coalesce(F.get(histogram, F.lit(0))["n"].cast("double"), F.lit(0.0)),
+        f"std_links_per_{name}": some(F.sqrt(total(lambda n, c: c * (n - mean) * (n - mean)) / size)), f"_entropy_{name}": linked(total(lambda n, c: F.when(n > 0, -c * (n / links) * F.log2(n / links)).otherwise(0.0))),
+        f"gini_{name}s": linked(ranks / (size * links)), f"one_to_one_{name}s": total(lambda n, c: F.when(n == 1, c).otherwise(0.0)), f"_many_{name}s": total(lambda n, c: F.when(n > 1, c).otherwise(0.0)),
+        f"_linked_{name}s": total(lambda n, c: F.when(n > 0, c).otherwise(0.0)), f"_sum_{name}s": links, f"_min2_{name}s": total(lambda n, c: F.when(n == 1, c).otherwise(0.0)) == 0,
+    }
+
+
+def link_features(edge_list: DataFrame, sizes: DataFrame, key: str, nodes: DataFrame | None = None) -> DataFrame:
+    """All link features of each instance in ``sizes`` (key, num_subtasks, num_candidate_nodes); connectivity is apart.
+
+    nodes: what ``by_node`` gives, where it is there already."""
+    found = histograms(by_subtask(edge_list, sizes, key), nodes if nodes is not None else by_node(edge_list, key), key)
+    out = sizes.select(key, "num_subtasks", "num_candidate_nodes").join(found, key, "left").na.fill({"diagonal_links": 0.0})
+    none = F.expr("cast(array() as array<struct<n:bigint,c:bigint>>)")
+    out = out.withColumn("_subtasks", F.coalesce("_subtasks", none)).withColumn("_nodes", F.coalesce("_nodes", none))
+    unlinked = F.col("num_subtasks") - F.aggregate("_subtasks", F.lit(0).cast("long"), lambda s, h: s + h["c"])
+    zeros = F.when(unlinked > 0, F.array(F.struct(F.lit(0).cast("long").alias("n"), unlinked.cast("long").alias("c")))).otherwise(none)
+    out = out.withColumn("_subtasks", F.concat(zeros, "_subtasks"))
+    out = out.withColumns(spread(F.col("_subtasks"), "subtask") | spread(F.col("_nodes"), "node"))
     S, N = F.col("num_subtasks").cast("double"), F.col("num_candidate_nodes").cast("double")
-    links, ls, ln = F.col("_sum_subtasks").cast("double"), F.col("_linked_subtasks").cast("double"), F.col("_linked_nodes").cast("double")
+    links, ls, ln = F.col("_sum_subtasks"), F.col("_linked_subtasks"), F.col("_linked_nodes")
     one = F.lit(1.0)
-    full = (ls >= S) & (ln >= N) & F.coalesce("_min2_subtasks", F.lit(True)) & F.coalesce("_min2_nodes", F.lit(True))
+    full = (ls >= S) & (ln >= N) & F.col("_min2_subtasks") & F.col("_min2_nodes")
     structural = lambda c: F.when(S > 0, c).otherwise(0.0)
     return out.select(
         key, S.alias("num_subtasks"), N.alias("num_candidate_nodes"), links.alias("num_links_total"), (ls / F.greatest(one, S)).alias("subtask_coverage"), (ln / F.greatest(one, N)).alias("node_justification"),
@@ -101,29 +150,22 @@ def link_features(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame
     )
 
 
-def connected(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """(key, is_connected): whether the links join all subtasks of an instance in one component. One instance is one group."""
-
-    def union(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        pdf, up = groups, {}
-
-        def root(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for s, n in zip(pdf["subtask_index"], pdf["node_id"], strict=True):
-            up[root(("s", int(s)))] = root(("n", n))
-        whole = len({root(x) for x in list(up)}) == 1 and len({x for x in up if x[0] == "s"}) == int(pdf["num_subtasks"].iloc[0])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "is_connected": [float(whole)]})
+def connected(edge_list: DataFrame, sizes: DataFrame, key: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(key, is_connected): whether the links join all subtasks of an instance in one component.
 
-    kind = dict(sizes.dtypes)[key]
-    found = edge_list.select(key, "subtask_index", "node_id").distinct().join(sizes.select(key, "num_subtasks"), key).groupBy(key).applyInPandas(union, f"{key} {kind}, is_connected double")
-    return sizes.select(key).join(found, key, "left").na.fill({"is_connected": 0.0})
+    A node only joins its subtasks, so each hands them to the least one; what is left has no more vertices than there are subtasks, and
+    its components are found by rounds. They are one if all subtasks but the least belong to another."""
+    pairs = edge_list.select(key, "subtask_index", "node_id").distinct()
+    least = (nodes if nodes is not None else by_node(edge_list, key)).select(key, "node_id", "least")
+    joined = components(pairs.join(least, [key, "node_id"]).select(key, "least", "subtask_index").distinct(), [key], "least", "subtask_index")
+    others = joined.groupBy(key).agg(F.count("*").alias("_others"))
+    linked = edge_list.groupBy(key).agg(F.count_distinct("subtask_index").alias("_linked"))
+    out = sizes.select(key, "num_subtasks").join(linked, key, "left").join(others, key, "left").na.fill(0, ["_linked", "_others"])
+    whole = (F.col("_linked") > 0) & (F.col("_linked") == F.col("num_subtasks")) & (F.col("_others") == F.col("_linked") - 1)
+    return out.select(key, F.coalesce(whole, F.lit(False)).cast("double").alias("is_connected"))
 
 
-def severity_features(nodes: DataFrame, edge_list: DataFrame, sizes: DataFrame, key: str, count_categories: bool = True) -> DataFrame:
+def severity_features(nodes: DataFrame, edge_list: DataFrame, sizes: DataFrame, key: str, count_categories: bool = True, linked: DataFrame | None = None) -> DataFrame:
     """Severity of each instance's scored nodes (node_id, severity, is_suspicious, matched): counts, extremes, and how links take them up.
 
     The last subtask counts as foreign; an instance with fewer than two has no misassignment. Without ``count_categories`` the
@@ -131,9 +173,10 @@ def severity_features(nodes: DataFrame, edge_list: DataFrame, sizes: DataFrame,
     from spanlark.functions.patterns import CATEGORY_FEATURES
 
     bad = nodes.where("is_suspicious")
-    per_node = edge_list.join(sizes.select(key, "num_subtasks"), key).groupBy(key, "node_id").agg(F.bool_or((F.col("subtask_index") < F.col("num_subtasks") - 1) & (F.col("num_subtasks") >= 2)).alias("own"))
-    ids = bad.select(key, "node_id").distinct().join(per_node, [key, "node_id"], "left")
-    taken = ids.groupBy(key).agg(F.count("*").alias("_bad"), F.count("own").alias("_linked"), F.count_if("own").alias("_own"))
+    per_node = (linked if linked is not None else by_node(edge_list, key)).select(key, "node_id", "least")
+    ids = bad.select(key, "node_id").distinct().join(per_node, [key, "node_id"], "left").join(sizes.select(key, "num_subtasks"), key)
+    own = (F.col("least") < F.col("num_subtasks") - 1) & (F.col("num_subtasks") >= 2)
+    taken = ids.groupBy(key).agg(F.count("*").alias("_bad"), F.count("least").alias("_linked"), F.count_if(own).alias("_own"))
     top = bad.groupBy(key).agg(
         F.count("*").cast("double").alias("num_suspicious_nodes"), F.max("severity").alias("max_severity"), F.avg("severity").alias("mean_severity"),
         F.aggregate(F.slice(F.sort_array(F.collect_list("severity"), asc=False), 1, 3), F.lit(0.0), lambda s, x: s + x).alias("top3_severity_sum"),
@@ -170,7 +213,10 @@ def structural_row(edge_list: DataFrame, sizes: DataFrame, sims: DataFrame, key:
 
 
 def universal_row(edge_list: DataFrame, nodes: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    rows = link_features(edge_list, sizes, key).join(connected(edge_list, sizes, key), key).join(severity_features(nodes, edge_list, sizes, key), key)
+    edge_list = written(edge_list.select(key, "subtask_index", "node_id"))
+    per_node = written(by_node(edge_list, key))  # what all three families start from
+    severity = severity_features(nodes, edge_list, sizes, key, linked=per_node)
+    rows = link_features(edge_list, sizes, key, per_node).join(connected(edge_list, sizes, key, per_node), key).join(severity, key)
     return rows.select(key, *UNIVERSAL)
 
 

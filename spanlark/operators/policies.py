@@ -70,12 +70,15 @@ def surrogate_sequence(df: DataFrame, text: str, threshold: float = 0.5, length:
     return df.withColumn("score", F.when(F.length(text) < length, 0.3).otherwise(0.7)).withColumn("decision", F.when(F.col("score") >= threshold, "reject").otherwise("accept"))
 
 
+#: Whether a policy accepts what reaches the threshold.
+POLICIES = {"reject_if_score_ge_threshold": False, "accept_if_score_ge_threshold": True}
+
+
 def threshold_decision(score: Column, threshold: float, policy: str) -> Column:
     """True to accept."""
-    rules = {"reject_if_score_ge_threshold": score < threshold, "accept_if_score_ge_threshold": score >= threshold}
-    if (key := policy.strip().lower()) not in rules:
-        raise ValueError(f"no policy {policy!r}; there are {', '.join(rules)}")
-    return rules[key]
+    if (key := policy.strip().lower()) not in POLICIES:
+        raise ValueError(f"no policy {policy!r}; there are {', '.join(POLICIES)}")
+    return score >= threshold if POLICIES[key] else score < threshold
 
 
 def resolve(df: DataFrame, decision: str, edited: str, patch: str, rerun: str) -> DataFrame:

@@ -33,10 +33,9 @@ def call_key(*parts: Column) -> Column:
 
 def matrix(spark: SparkSession, axes: dict[str, list[str]]) -> DataFrame:
     """All combinations of a few lists, numbered from 1 in the order of the lists, each with a run name."""
-    out = None
-    for name, values in axes.items():
-        axis = spark.createDataFrame(list(enumerate(values)), f"_{name} int, {name} string")
-        out = axis if out is None else out.crossJoin(axis)
+    out = spark.range(0, 1, 1, 1)
+    for name, values in axes.items():  # literals, spread out one after the other in a single task
+        out = out.select(*out.columns, F.posexplode(T.strings(values)).alias(f"_{name}", name))
     number = F.lit(0)
     for name, values in axes.items():
         number = number * len(values) + F.col(f"_{name}")

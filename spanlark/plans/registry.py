@@ -11,6 +11,10 @@ KINDS = ("dataset", "agent", "attack", "baseline", "prompt_parser", "patch_parse
 AGENTS = ("claude_code", "gemini_cli", "minisweagent", "openhands", "sweagent")
 
 
+#: The name that rows get from each name of a dataset.
+DATASETS = {"swebench": "swebench_lite", "swebench_lite": "swebench_lite", "swebench_pro": "swebench_pro", "swebench_plus": "swebench_plus"}
+
+
 class Registry:
     def __init__(self, kind: str) -> None:
         self.kind, self._known = kind, {}
@@ -41,20 +45,22 @@ def defaults() -> None:
     """Register the operators of this library; calling it again changes nothing."""
     from functools import partial
 
-    from spanlark.operators import attacks, defense, hunks, links, policies, similarity
+    from spanlark.operators import attacks, defense, policies
     from spanlark.sources import readers
 
+    def generator(name: str) -> Callable:
+        return lambda df, prompt, reply=None, notes=None: attacks.generate(df, name, prompt, reply, notes)
+
     known = {
-        "dataset": {"toy": readers.toy, **{name: partial(readers.instances, dataset=name) for name in ("swebench", "swebench_lite", "swebench_pro", "swebench_plus")}},
+        "dataset": {"toy": readers.toy, **{name: partial(readers.instances, dataset=stamp) for name, stamp in DATASETS.items()}},
         "baseline": {
             "prompt_filter": policies.prompt_filter, "prompt_rewrite": policies.prompt_rewrite, "agentic_guard": policies.agentic_guard, "llm_judge": policies.judge, "static_bandit": policies.findings_gate,
             "static_semgrep": policies.findings_gate, "llama_guard": policies.guard_model, "llama_prompt_guard": policies.surrogate_prompt_guard, "sequence_classifiers": policies.surrogate_sequence,
             "structural_misalignment": defense.structural_defense,
         },
-        "attack": {name: partial(attacks.generate, name=name) for name in attacks.SUFFIXES},
-        "prompt_parser": {"llm_subtasks": links.parse_subtasks}, "patch_parser": {"cfg_ast": defense.patch_nodes, "llm_chunks": hunks.chunk_nodes},
-        "linker": {"llm_grounding": links.parse_links, "embedding_similarity": similarity.link_vectors},
-        "agent": {"dummy": attacks.toy_agent, **{name: readers.cli_outputs for name in AGENTS}},
+        "attack": {name: generator(name) for name in attacks.GENERATORS},
+        "prompt_parser": defense.PROMPT_PARSERS, "patch_parser": defense.PATCH_PARSERS, "linker": defense.LINKERS,
+        "agent": {"dummy": attacks.toy_agent, **{name: partial(readers.cli_agent, agent=name) for name in AGENTS}},
     }
     for kind, operators in known.items():
         for name, operator in operators.items():

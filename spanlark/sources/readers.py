@@ -100,6 +100,19 @@ def cli_outputs(df: DataFrame, file_text: str, stdout: str) -> DataFrame:
     return df.withColumn("reply", F.coalesce(X.first_filled(F.col(file_text), F.col(stdout)), F.lit(""))).withColumn("diff", X.find_diff(F.col("reply")))
 
 
+def cli_agent(df: DataFrame, prompt: str, outputs: DataFrame | None = None, agent: str | None = None) -> DataFrame:
+    """Adds ``patch``: the diff that a command-line agent returned for the prompt, empty where it returned none.
+
+    outputs: (agent_name, instance_id, prompt_hash, file_text, stdout) of runs that were captured; ``agent`` names theirs, else the row does."""
+    if outputs is None:
+        return df.withColumn("patch", F.lit(""))
+    diffs = cli_outputs(outputs, "file_text", "stdout").select(F.col("agent_name").alias("_agent"), F.col("instance_id").alias("_instance"), F.col("prompt_hash").alias("_prompt"), F.col("diff").alias("_diff"))
+    diffs = diffs.dropDuplicates(["_agent", "_instance", "_prompt"])
+    named = F.lit(agent) if agent else F.col("agent_name")
+    rows = df.withColumns({"_agent": named, "_instance": F.col("instance_id"), "_prompt": F.sha2(F.col(prompt), 256)})
+    return rows.join(diffs, ["_agent", "_instance", "_prompt"], "left").withColumn("patch", F.coalesce("_diff", F.lit(""))).drop("_agent", "_instance", "_prompt", "_diff")
+
+
 def load_settings(path: str) -> dict:
     """A JSON or (where a parser is installed) YAML mapping; a missing file or another kind of value is an error."""
     import json

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import attacks, defense, graphdiff, hunks, links, policies, relational, runs, scoring
+from spanlark.operators import attacks, components, defense, graphdiff, hunks, links, policies, relational, runs, scoring
+from spanlark.plans import registry
 from spanlark.plans.registry import REGISTRIES, Registry, defaults
 from spanlark.sources import readers, sinks
 from spanlark.streaming import logs
@@ -309,9 +311,21 @@ def test_one_run_and_a_matrix(spark):
     rows = {r["instance_id"]: r for r in runs.run_one(instances, "none", attacks.toy_agent, accept_add, "gate", tests=tests).collect()}
     assert rows["i1"]["final_patch"] == attacks.TOY_STYLES["add_fix"] and rows["i1"]["tests_passed"] and rows["i1"]["defense_decision"] == "accept"
     assert rows["i2"]["adv_patch"] == attacks.TOY_STYLES["add_fix_alt"] and rows["i2"]["final_patch"] is None and not rows["i2"]["tests_passed"]
-    matrix = runs.run_matrix(instances, ["none", "fcv"], {"dummy": attacks.toy_agent}, {"gate": accept_add, "never": reject_all})
-    assert Counter(r["run_name"] for r in matrix.collect()) == {f"{a}_dummy_{b}": 2 for a in ("none", "fcv") for b in ("gate", "never")}
+    toys = instances.withColumn("dataset", F.lit("toy"))
+    plan = runs.matrix_runs(spark, {"dataset": ["toy"], "attack_name": ["none", "fcv"], "agent_name": ["dummy"], "baseline_name": ["gate", "never"]})
+    named = toys.crossJoin(F.broadcast(plan.select("run_name", "baseline_name"))).withColumn("edited_text", F.lit(None).cast("string"))
+    decisions = named.withColumn("decision", F.when((F.col("baseline_name") == "gate") & F.col("prompt").contains("add"), "accept").otherwise("reject"))
+    matrix = runs.run_matrix(toys, plan, runs.any_agent, decisions)
+    assert Counter(r["run_name"] for r in matrix.collect()) == {f"00{k}_toy_dummy_{a}_{b}_default": 2 for k, (a, b) in enumerate([("none", "gate"), ("none", "never"), ("fcv", "gate"), ("fcv", "never")], 1)}
+    assert Counter(r["defense_decision"] for r in matrix.collect()) == {"accept": 2, "reject": 6}
     assert runs.result_rows(matrix).columns == runs.RESULT and len(runs.RESULT) == 48
+    done = matrix.where("baseline_name = 'gate' and instance_id = 'i1'")
+    assert sorted((r["attack_name"], r["baseline_name"], r["instance_id"]) for r in runs.run_matrix(toys, plan, runs.any_agent, decisions, done=done).collect()) == sorted(
+        (a, b, i) for a in ("none", "fcv") for b in ("gate", "never") for i in ("i1", "i2") if (b, i) != ("gate", "i1")
+    )
+    assert len(plan.withColumn("x", F.lit(1)).collect()) == 4
+    with pytest.raises(ValueError, match="no generator"):
+        runs.matrix_runs(spark, {"attack_name": ["other"]})
     with pytest.raises(ValueError, match="for training"):
         runs.check_settings({"training": {}}, "inference")
     with pytest.raises(ValueError, match="lack training"):
@@ -320,6 +334,45 @@ def test_one_run_and_a_matrix(spark):
         runs.check_no_fit(True, "fit vectorizer")
 
 
+def test_plan_of_a_matrix_does_not_grow(spark):
+    """Forty-eight runs take the plan that two take."""
+    toys = frame(spark, [("i1", "toy", "add")], "instance_id string, dataset string, prompt string")
+    none = frame(spark, [], "run_name string, instance_id string, decision string, edited_text string")
+    size = lambda axes: len(runs.run_matrix(toys, runs.matrix_runs(spark, axes), runs.any_agent, none)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    few = {"dataset": ["toy"], "attack_name": ["none"], "baseline_name": ["a", "b"]}
+    many = {"dataset": ["toy", "x"], "attack_name": list(attacks.GENERATORS)[:3], "baseline_name": [f"b{k}" for k in range(8)]}
+    assert size(few) == size(many)
+
+
+def test_every_registered_name_can_be_called(spark):
+    """Each agent and each generator runs through ``run_attack``; a command-line agent's patch is that of the prompt it had."""
+    defaults()
+    instances = frame(spark, [("i1", "add"), ("i2", "other")], "instance_id string, prompt string")
+    diff = "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b"
+    outputs = frame(spark, [("openhands", "i1", hashlib.sha256(b"add").hexdigest(), " ", f"Here:\n{diff}\n"), ("sweagent", "i1", hashlib.sha256(b"add").hexdigest(), diff + "2", "")], "agent_name string, instance_id string, prompt_hash string, file_text string, stdout string")
+    for name in REGISTRIES["agent"].names():
+        inputs = {} if name == "dummy" else {"outputs": outputs}
+        rows = {r["instance_id"]: r for r in runs.run_attack(instances, "none", REGISTRIES["agent"].get(name), agent_name=name, agent_inputs=inputs).collect()}
+        want = {"dummy": attacks.TOY_STYLES["add_fix"], "openhands": diff, "sweagent": diff + "2"}.get(name, "")
+        assert (rows["i1"]["ori_patch"], rows["i1"]["adv_patch"], rows["i1"]["agent_name"]) == (want, want, name)
+        assert rows["i2"]["ori_patch"] == (want if name == "dummy" else "")
+    for name in REGISTRIES["attack"].names():
+        row = REGISTRIES["attack"].get(name)(instances, "prompt").first()
+        assert (row["attack_name"], row["adv_prompt"]) == (name, "add")
+        row = REGISTRIES["attack"].get(name)(instances.withColumn("r", F.lit(" ")), "prompt", "r", {name: "note"}).first()
+        assert row["adv_prompt"] == ("add" if name == "none" else "add\n\nnote")
+    assert registry.DATASETS["swebench"] == "swebench_lite"
+
+
+def test_resume_keeps_runs_apart(spark):
+    attacked = frame(spark, [("i1", "toy", "g1"), ("i2", "toy", "g1")], "instance_id string, dataset string, agent_config_hash string").withColumn("adv_patch", F.lit("p"))
+    decisions = frame(spark, [("i1", "accept", None), ("i2", "accept", None)], "instance_id string, decision string, edited_text string")
+    left = lambda *log: sorted(r["instance_id"] for r in runs.run_defense(attacked, decisions, "gate", done=frame(spark, list(log), "instance_id string, dataset string, agent_config_hash string, baseline_config_hash string")).collect())
+    assert left(("i1", "toy", "g1", "gate")) == ["i2"]
+    assert left(("i1", "toy", "g1", "other"), ("i2", "toy", "g2", "gate"), ("i2", "x", "g1", "gate")) == ["i1", "i2"]
+    assert sorted(r["instance_id"] for r in runs.run_defense(attacked, decisions, "gate", done=frame(spark, [("i1",)], "instance_id string")).collect()) == ["i1", "i2"]
+
+
 def test_defense_settings_that_no_row_can_pass(spark):
     df = frame(spark, [(1, "d", '["a"]', "{}")], "k int, patch string, s string, l string")
     nodes = frame(spark, [(1, "f::g::n0", "eval(s)")], "k int, node_id string, code_snippet string")
@@ -327,13 +380,98 @@ def test_defense_settings_that_no_row_can_pass(spark):
     run = lambda **kw: defense.failure_flags(defense.structural_defense(df, nodes, kw.pop("model", model), "k", patch="patch", subtasks_reply="s", links_reply="l", **kw)).first()
     assert (run(mode="other")["stage_failed"], run(mode="other")["decision"]) == ("init", "reject")
     assert run(mode="full_universal", severity_mode="hybrid")["stage_failed"] == "init"
-    assert run()["inference_fail"] and not run()["cfg_fail"]
+    assert run()["model_missing"] and run(model=None, mode="structural_only")["model_missing"]
+    row = run(mode="structural_only")
+    assert row["inference_fail"] and not row["cfg_fail"] and row["stage_completed"] == "features" and "2 of 2 features" in row["error"]
+    assert run(mode="severity_only_universal", severity_mode="odd", most_missing=1.0)["features_fail"]
+    assert run(mode="structural_only", most_missing=1.0, policy="coin")["inference_fail"]
+    assert run(patch_parser="x")["cfg_fail"] and run(prompt_parser="x")["subtasks_fail"] and run(linker="x")["grounding_fail"]
+    assert run(mode="structural_only", linker="embedding_similarity")["error"] == "there are no vectors"
+    with pytest.raises(TypeError, match="no setting named modus"):
+        run(modus="x")
     own = scoring.LinearModel(["max_severity_universal"], [-9.0], [0.5], [0.1])
     assert run(mode="severity_only_universal", model=own)["decision"] == "reject"  # tokens apart: no pattern is found
-    row = run(mode="severity_only_universal", model=own, comment_stripping="none")
+    row = run(mode=" Severity_Only_Universal", model=own, comment_stripping="None ")
     assert row["decision"] == "accept" and row["model_score"] < 0.5 and (row["unmatched_nodes"], row["unmatched_subtasks"]) == (1, 1)
 
 
+def test_defense_links_by_vectors_and_weighs_by_vocabulary(spark):
+    """Two instances whose vectors and words speak for different nodes; the names of a mode make no difference by their case."""
+    df = frame(spark, [(1, "d", '["open file", "close door"]', None), (2, "d", '["open file"]', None)], "k int, patch string, s string, l string")
+    nodes = frame(spark, [(1, "n0", "file open"), (1, "n1", "zebra"), (2, "n0", "door")], "k int, node_id string, code_snippet string")
+    steps = frame(spark, [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 1.0])], "k int, subtask_index int, vector array<double>")
+    codes = frame(spark, [(1, "n0", [2.0, 0.1]), (1, "n1", [0.0, 3.0]), (2, "n0", [-1.0, 0.0])], "k int, node_id string, vector array<double>")
+    words = frame(spark, [("open", 1.0), ("file", 1.0), ("door", 2.0)], "term string, idf double")
+    model = scoring.LinearModel(["link_sim_mean"], [4.0], [0.4], [1.0])
+    run = lambda mode: {r["k"]: r for r in defense.structural_defense(df, nodes, model, "k", mode=mode, linker="embedding_similarity", subtask_vectors=steps, node_vectors=codes, vocabulary=words, mask_tokens=False, subtasks_reply="s").collect()}
+    rows = run("similarity_only")
+    # instance 1 links 0 to n0 (the same words: 1) and 1 to n1 (none in common: 0); instance 2 has no link
+    assert rows[1]["model_score"] == pytest.approx(1 / (1 + math.exp(-0.4))) and rows[2]["model_score"] == pytest.approx(1 / (1 + math.exp(1.6)))
+    assert {k: r["decision"] for k, r in run("Similarity_Only").items()} == {1: "reject", 2: "accept"} and rows[1]["unmatched_nodes"] == 0
+
+
+def test_components_of_groups(spark):
+    """Random links against union-find; one group holds half of all links, one is a long chain."""
+    rng = random.Random(3)
+    chain = [(2, i, i + 1) for i in range(60)]
+    rows = [(g, rng.randrange(40), rng.randrange(40)) for g in (0, 1) for _ in range(25)] + [(9, rng.randrange(300), rng.randrange(300)) for _ in range(220)] + chain + [(5, 3, 3)]
+    got = {(r["g"], r["vertex"]): r["component"] for r in components.components(frame(spark, rows, "g int, a int, b int"), ["g"], "a", "b").collect()}
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for g, a, b in rows:
+        low, high = sorted((root((g, a)), root((g, b))))
+        up[high] = low
+    assert got == {x: root(x)[1] for x in list(up) if root(x) != x}
+
+
+def test_connectivity_of_a_large_instance(spark):
+    """One instance holds half of all links; its last node alone joins the two halves of its subtasks."""
+    links_of = lambda k, join: [(k, s, f"n{n}") for n in range(200) for s in ((0, 1) if n % 2 else (2, 3))] + ([(k, 1, "z"), (k, 2, "z")] if join else [])
+    edges = frame(spark, links_of(1, True) + links_of(2, False)[:200] + links_of(3, True)[1:] + [(4, 0, "n")], "k int, subtask_index int, node_id string")
+    sizes = frame(spark, [(1, 4, 201), (2, 4, 200), (3, 5, 201), (4, 1, 1), (5, 0, 0)], "k int, num_subtasks int, num_candidate_nodes int")
+    assert {r["k"]: r["is_connected"] for r in links.connected(edges, sizes, "k").collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+    plan = links.connected(edges, sizes, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_links_reply_that_is_no_clean_json(spark):
+    replies = [
+        '{"links":[3,{"subtask_index":1,"node_ids":["b"]}]}', '{"links":[{"subtask_index":1,"node_ids":["b"]}]} and then {x}', '{"links":[{"subtask_index":1,"node_ids":["b"]}]}}',
+        'so: {"links":[{"subtask_index":true,"node_ids":[1,null,true,1.5," "]}]}.', '{"links":[{"subtask_index":0,"node_ids":0},{"subtask_index":1.0,"node_ids":["z"]},{"subtask_index":9,"node_ids":["z"]}]}', '{"links":3}', None,
+    ]
+    rows = links.parse_links(frame(spark, [(i, r, 2) for i, r in enumerate(replies)], "k int, s string, n int"), "k", "s", "n").where("size(node_ids) > 0").collect()
+    assert {(r["k"], r["subtask_index"]): r["node_ids"] for r in rows} == {(0, 1): ["b"], (3, 1): ["1", "None", "True", "1.5"]}
+    texts = ['{"a":1} x', '{"a":1}}', '{"a":1}]', "[1,2]]", "[1],[2]", " [1] ", "", "3", '{"a":1},"v":2']
+    got = frame(spark, [(t,) for t in texts], "s string").select(T.whole_json(F.col("s")).cast("string")).collect()
+    assert [r[0] for r in got] == [None, None, None, None, None, "[1]", None, "3", None]
+
+
+def test_patched_files_in_one_pass(spark):
+    """Both versions of a file from one table function, by DataFrame and by SQL; what goes wrong is a row of its own."""
+    before = "def f(x):\n    y = 1\n    return y\n"
+    hunk = "@@ -1,3 +1,3 @@\n def f(x):\n-    y = 1\n+    y = 2\n     return y\n"
+    rows = [("p", "a.py", before, hunk), ("p", "new.py", None, "@@ -0,0 +1,2 @@\n+def g():\n+    return 1\n"), ("q", "a.py", "other\n", hunk), ("q", "b.py", before, hunk.replace("y = 2", "y = ("))]
+    files = frame(spark, rows, "scope string, file string, source string, hunks string")
+    got = pysource.patched_files(files).collect()
+    sides = lambda file, old: [r["type"] for r in got if r["file"] == file and r["scope"] == "p" and r["is_node"] and r["old"] == old]
+    assert sides("a.py", True) == sides("a.py", False) != [] and sides("new.py", True) == [] and len(sides("new.py", False)) == 3
+    assert sorted((r["scope"], r["file"], r["problem"].split(":")[0]) for r in got if not r["is_node"]) == [("q", "a.py", "apply"), ("q", "b.py", "parse after")]
+    pysource.register(spark)
+    files.createOrReplaceTempView("touched")
+    by_sql = spark.sql("SELECT * FROM patched_file(TABLE(touched) PARTITION BY scope)").collect()
+    assert Counter(map(str, by_sql)) == Counter(map(str, got))
+    patch = "--- a/a.py\n+++ b/a.py\n" + hunk + "--- a/c.py\n+++ b/c.py\n" + "@@ -1 +1,2 @@\n x = 1\n+def h(): return (\n"
+    nodes, found = defense.patch_nodes(frame(spark, [(7, patch)], "k int, patch string"), frame(spark, [(7, "a.py", before), (7, "c.py", "x = 1\n")], "k int, path string, source string"), "k", "patch")
+    row = found.first()
+    assert (row["apply_success"], row["fallback_reason"], [e[:10] for e in row["parse_errors"]]) == (True, "", ["c.py parse"])
+    assert {(r["file"], r["change_type"]) for r in nodes.collect()} == {("a.py", "modified")}
+
+
 def test_stream_appends_each_key_once(spark, tmp_path):
     source, schema = f"{tmp_path}/in", "instance_id string, h string, n int"
     frame(spark, [("a", "1", 1), ("a", "1", 1), ("b", "1", 2)], schema).coalesce(1).write.parquet(source)
