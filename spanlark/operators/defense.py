@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
 from spanlark.operators import graphdiff, hunks, links, policies, scoring, similarity
+from spanlark.operators.bundles import Bundle
 from spanlark.sources.tables import written
 
 #: Which of the universal features tell of security, and the modes that take some of them.
@@ -148,7 +149,7 @@ class Settings:
     def structural(self) -> bool:
         return self.similar or self.mode == "structural_only"
 
-    def faults(self, model: scoring.LinearModel | None, vectorizer: bool) -> dict[str, str]:
+    def faults(self, model: scoring.LinearModel | Bundle | None, vectorizer: bool) -> dict[str, str]:
         """What fails every row that comes as far as a stage, by stage; "settings" comes before the first."""
         out = {}
         if self.mode not in MODES:
@@ -273,17 +274,18 @@ def tfidf_sims(edges: DataFrame, steps: DataFrame, nodes: DataFrame, vocabulary:
     return pairs.select(key, "_pair").join(sims, "_pair", "left").select(key, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.LinearModel | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, **more) -> DataFrame:
+def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.LinearModel | Bundle | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, **more) -> DataFrame:
     """One row for each key: decision, model_score, the key metrics, what the patch parser fell back to, stage_failed and error.
 
     The stages run in order (init, cfg, subtasks, grounding, model_load, features, inference). What fails a row is written to it,
     later stages leave it alone, and it is rejected; settings that no row can pass fail each row that comes so far. ``more``: fields
-    of ``Settings`` and ``Inputs``."""
+    of ``Settings`` and ``Inputs``. A bundle brings its vocabulary."""
     parts = {c: {f.name for f in fields(c)} for c in (Settings, Inputs)}
     if unknown := set(more) - parts[Settings] - parts[Inputs]:
         raise TypeError(f"no setting named {', '.join(sorted(unknown))}")
     settings = replace(settings or Settings(), **{k: v for k, v in more.items() if k in parts[Settings]})
     given = replace(given or Inputs(), **{k: v for k, v in more.items() if k in parts[Inputs]} | ({"nodes": nodes} if nodes is not None else {}))
+    given = replace(given, vocabulary=getattr(model, "vocabulary", None)) if given.vocabulary is None else given
     faults = settings.faults(model, given.sims is not None or given.vocabulary is not None)
     fault = lambda stage: F.lit(faults.get(stage)).cast("string")
     state = df.withColumns({"stage_failed": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
@@ -323,7 +325,7 @@ def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.Li
         severity = links.severity_features(scored_nodes, edges, counted, key, linked=per_node)
         more_features = severity if "is_connected" not in columns else links.connected(edges, counted, key, per_node).join(severity, key)
         features = features.join(more_features.select(key, *[c for c in more_features.columns if c != key and c not in features.columns]), key)
-    scored = scoring.score(with_features(features, key, columns), model, settings.most_missing, "model_score").drop("prediction", "num_subtasks", "num_candidate_nodes")
+    scored = model.score(with_features(features, key, columns), settings.most_missing, "model_score").drop("prediction", "num_subtasks", "num_candidate_nodes")
     return outcome(state.join(scored, key, "left"), counted, edges, key, settings, columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlark.functions import text as T
+from spanlark.operators import similarity
 
 #: Default settings of the rules.
 REPLACEMENTS = {"bypass validation": "preserve validation", "disable checks": "keep checks enabled", "ignore sanitization": "retain sanitization"}
@@ -65,6 +66,13 @@ def surrogate_prompt_guard(df: DataFrame, prompt: str, words: list[str] | None =
     return df.withColumn("malicious_score", score).withColumn("decision", F.when(F.col("malicious_score") > 0.5, "reject").otherwise("accept"))
 
 
+def sequence_classifier(df: DataFrame, logits: str, threshold: float = 0.5, positive: int = 1) -> DataFrame:
+    """Probabilities from a classifier's scores for each class: the ``positive`` one rejects from the threshold on."""
+    out = df.withColumn("probabilities", similarity.softmax(F.col(logits))).withColumn("predicted_class", similarity.argmax(F.col(logits)))
+    out = out.withColumn("score", F.get("probabilities", F.lit(positive)))
+    return out.withColumn("decision", F.when(F.coalesce(F.col("score") >= threshold, F.lit(True)), "reject").otherwise("accept"))
+
+
 def surrogate_sequence(df: DataFrame, text: str, threshold: float = 0.5, length: int = 500) -> DataFrame:
     """Stand-in for the sequence classifier: short texts score 0.3, others 0.7."""
     return df.withColumn("score", F.when(F.length(text) < length, 0.3).otherwise(0.7)).withColumn("decision", F.when(F.col("score") >= threshold, "reject").otherwise("accept"))

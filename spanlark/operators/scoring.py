@@ -30,6 +30,9 @@ class LinearModel:
             raise ValueError(f"{path} lacks {', '.join(sorted(missing))}")
         return cls(**spec)
 
+    def score(self, df: DataFrame, most_missing: float = 0.05, name: str = "score") -> DataFrame:
+        return score(df, self, most_missing, name)
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(self.__dict__, sort_keys=True))
 

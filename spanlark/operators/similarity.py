@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of scores; the largest is taken off first, so that none overflows."""
+    powers = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
+    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
+
+
+def argmax(scores: Column) -> Column:
+    """The place of the largest score from 0 on, the first of several; null for an empty array."""
+    return F.when(F.size(scores) > 0, F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def mean_pooled(tokens: DataFrame, key: str, vector: str, name: str = "pooled") -> DataFrame:
+    """The mean of each key's vectors (arrays of one length), summed up where the rows are. Null vectors do not count."""
+    rows = tokens.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(name))
+
+
 #: Rows of a side in a block, and of the left side in a tile of it: a task holds two blocks and one tile's products.
 BLOCK_ROWS, TILE_ROWS = 4096, 512
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,34 +32,75 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str
     return spark.read.schema(schema).json(path, mode=MODES[mode]) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def documents(spark: SparkSession, path: str, item: T.StructType, wrappers: tuple[str, ...] = ("rows",)) -> DataFrame:
-    """Rows of a JSON file that is an array, or an object with the array under one of ``wrappers``; the first present counts."""
+def numbered(rows: DataFrame, split: list[str], place: str, name: str = "pos") -> DataFrame:
+    """Adds each row's number from 0 on: splits (parts of files, in the order of these columns) come one after the other, and
+    ``place`` counts up by one within each. Only counts, one for each split, are put in order; rows stay where they are."""
+    counts = rows.groupBy(*split).agg(F.min(place).alias("_least"), F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*split)) - F.col("_n")).drop("_n")
+    return rows.join(counts, split).withColumn(name, F.col("_before") + F.col(place) - F.col("_least")).drop("_before", "_least")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos, value of every line but blank ones; numbers go on from file to file in the order of their paths."""
+    lines = spark.read.text(path).where(X.strip("value") != "")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place"))
+    return numbered(lines, ["file", "_start"], "_place").select("file", "pos", "value")
+
+
+def sorted_out(items: DataFrame, value: str, item: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON texts: rows have the fields of ``item``, rejects the text and the reason; both keep the other columns."""
+    others = [c for c in items.columns if c != value]
+    kept = T.StructType([*item.fields, T.StructField("_odd", T.StringType())])
+    read = items.withColumn("_v", X.whole_json(X.strip(F.col(value)))).withColumn("_r", F.from_json(value, kept, {"columnNameOfCorruptRecord": "_odd"}))
+    reason = F.when(F.col("_v").isNull(), "invalid JSON").when(~F.schema_of_variant("_v").startswith("OBJECT"), "no object").when(F.col("_r._odd").isNotNull(), "a field of another type")
+    read = read.withColumn("reason", reason)
+    good = read.where("reason is null").select(*others, *[F.col(f"_r.{f.name}").alias(f.name) for f in item.fields])
+    return good, read.where("reason is not null").select(*others, F.col(value).alias("text"), "reason")
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines, each with file and pos: every line but blank ones is in one of them. A missing path is empty tables."""
+    item = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = text_lines(spark, path) if exists(spark, path) else spark.createDataFrame([], "file string, pos long, value string")
+    return sorted_out(lines, "value", item)
+
+
+def json_items(spark: SparkSession, path: str, item: T.StructType, wrappers: tuple[str, ...] = ("rows",), *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON files that are an array, or an object with the array under one of ``wrappers``; the first present counts.
+
+    Another shape has no rows, and is an error if ``strict``."""
     if not exists(spark, path):
-        return spark.createDataFrame([], item)
-    whole = spark.read.text(path, wholetext=True)
-    array = T.ArrayType(item)
-    wrapped = F.from_json("value", T.StructType([T.StructField(w, array) for w in wrappers]))
-    rows = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", array)), *[wrapped[w] for w in wrappers])
-    return whole.select(F.explode(rows).alias("r")).select("r.*")
+        return sorted_out(spark.createDataFrame([], "file string, pos long, value string"), "value", item)
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), X.whole_json(X.strip(F.col("value"))).alias("_v"))
+    listed = lambda at: F.when(F.schema_of_variant(F.try_variant_get("_v", at, "variant")).startswith("ARRAY"), F.try_variant_get("_v", at, "array<variant>"))
+    whole = whole.withColumn("_items", F.coalesce(listed("$"), *[listed(f"$.{w}") for w in wrappers]))
+    if strict and (odd := whole.where("_items is null").select("file").first()):
+        raise ValueError(f"{odd['file']} holds neither a list nor an object with a list under {', '.join(wrappers)}")
+    items = whole.select("file", F.posexplode("_items").alias("_place", "_item")).select("file", "_place", F.to_json("_item").alias("value"))
+    return sorted_out(numbered(items, ["file"], "_place").drop("_place"), "value", item)
 
 
 def instances(spark: SparkSession, path: str, *, dataset: str = "swebench_lite", split: str = "test", ids: list[str] | None = None, limit: int | None = None, default_command: str = "python -m pytest -q") -> tuple[DataFrame, DataFrame]:
-    """(instances, rejects): keys fall back to their other names, rows without a repository path are rejects. Rows keep the file's
-    order, which also names those without an id; a limit of 0 is no rows."""
-    raw = jsonl(spark, path, INSTANCE, "lenient") if path.endswith(".jsonl") else documents(spark, path, INSTANCE)
-    from pyspark.sql import Window
-
-    raw = raw.withColumn("_place", F.monotonically_increasing_id())
-    pos = F.row_number().over(Window.orderBy("_place")) - 1  # a benchmark's instance file: thousands of rows
-    rows = raw.withColumn("pos", pos).select(
+    """(instances, rejects): keys fall back to their other names; what is no JSON object, or has no repository path, is a reject with its
+    reason. Rows keep the order of files and lines, which also names those without an id; a limit of 0 is no rows."""
+    raw, bad = json_lines(spark, path, INSTANCE) if path.endswith(".jsonl") else json_items(spark, path, INSTANCE)
+    good, rejects = instances_of(raw, bad, dataset=dataset, split=split, ids=ids, default_command=default_command)
+    return (good if limit is None else good.orderBy("pos").limit(limit)), rejects
+
+
+def instances_of(raw: DataFrame, bad: DataFrame, *, dataset: str = "swebench_lite", split: str = "test", ids: list[str] | None = None, default_command: str = "python -m pytest -q") -> tuple[DataFrame, DataFrame]:
+    """(instances, rejects) of rows with the fields of ``INSTANCE`` and pos, and of what is no such row (pos, text, reason)."""
+    command = X.blank_to_null(F.col("test_command"))
+    rows = raw.select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.coalesce(X.first_filled(F.col("instance_id"), F.col("id")), F.concat(F.lit("row-"), F.col("pos").cast("string"))).alias("instance_id"),
         F.coalesce(X.first_filled(F.col("problem_statement"), F.col("prompt")), F.lit("")).alias("prompt"),
         F.struct(X.first_filled(F.col("repo_id"), F.col("repo")).alias("repo_id"), X.blank_to_null(F.col("repo_path")).alias("path"), F.col("base_commit")).alias("repo_snapshot"),
-        F.split(F.coalesce(X.blank_to_null(F.col("test_command")), F.lit(default_command)), r"\s+").alias("command"), "pos",
+        F.coalesce(F.when(F.ltrim(command).startswith("["), F.from_json(command, "array<string>")), F.split(F.coalesce(command, F.lit(default_command)), r"\s+")).alias("command"), "pos",
     )
     rows = rows.where(F.col("instance_id").isin(ids)) if ids else rows
     good = rows.where("repo_snapshot.path is not null")
-    return (good if limit is None else good.orderBy("pos").limit(limit)), rows.where("repo_snapshot.path is null")
+    lacking = rows.where("repo_snapshot.path is null").withColumn("reason", F.lit("no repository path"))
+    return good, lacking.unionByName(bad.select("pos", "text", "reason"), allowMissingColumns=True)
 
 
 def toy(spark: SparkSession, rows: list[dict] | None = None, limit: int | None = None) -> DataFrame:
@@ -68,17 +109,24 @@ def toy(spark: SparkSession, rows: list[dict] | None = None, limit: int | None =
     return spark.createDataFrame([tuple(r.get(k, "") for k in ("instance_id", "repo_id", "base_commit", "prompt")) for r in (rows if limit is None else rows[:limit])], schema)
 
 
-def prebuilt_patches(spark: SparkSession, path: str) -> DataFrame:
-    """instance_id, candidate_id, patch_text: the first filled of the names that a patch goes by."""
-    rows = jsonl(spark, path, PATCH, "lenient") if path.endswith(".jsonl") else documents(spark, path, PATCH, ("rows", "predictions", "instances", "data"))
+def prebuilt_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(patches, rejects): instance_id, candidate_id, patch_text, the first filled of the names that a patch goes by, and pos; what is no
+    object is a reject, a file of another shape an error."""
+    wrappers = ("rows", "predictions", "instances", "data")
+    rows, bad = json_lines(spark, path, PATCH) if path.endswith(".jsonl") else json_items(spark, path, PATCH, wrappers, strict=True)
     patch = X.first_filled(*[F.col(c) for c in ("patch", "unified_diff", "diff", "adv_patch", "model_patch")])
-    return rows.select("instance_id", X.first_filled(F.col("patch_id"), F.col("id"), F.col("group_id")).alias("candidate_id"), patch.alias("patch_text"))
+    return rows.select("instance_id", X.first_filled(F.col("patch_id"), F.col("id"), F.col("group_id")).alias("candidate_id"), patch.alias("patch_text"), "pos"), bad
 
 
 def result_logs(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """All results of a matrix, with the file each row is from."""
+    """All results of a matrix, with the file each row is from and its number in the order of files and lines."""
     path = f"{folder}/*/results.jsonl"
-    return jsonl(spark, path, schema).withColumn("file", F.col("_metadata.file_path")) if exists(spark, path) else jsonl(spark, path, schema).withColumn("file", F.lit(""))
+    if not exists(spark, path):
+        return jsonl(spark, path, schema).withColumns({"file": F.lit(""), "pos": F.lit(0).cast("long")})
+    rows = jsonl(spark, path, schema)
+    columns = rows.columns
+    rows = rows.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place"))
+    return numbered(rows, ["file", "_start"], "_place").select(*columns, "file", "pos")
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import attacks, components, defense, graphdiff, hunks, links, policies, relational, runs, scoring
+from spanlark.operators import attacks, bundles, components, defense, graphdiff, hunks, links, policies, relational, runs, scoring, similarity
+from spanlark.operators import calls as calls_op
 from spanlark.plans import registry
 from spanlark.plans.registry import REGISTRIES, Registry, defaults
 from spanlark.sources import readers, sinks
@@ -248,7 +249,7 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(rows))
     for name in ("a.jsonl", "b.json", "c.json"):
         good, bad = readers.instances(spark, f"{tmp_path}/{name}")
-        assert [r["instance_id"] for r in good.orderBy("pos").collect()] == ["i1", "i3"] and [r["instance_id"] for r in bad.collect()] == ["row-1"]
+        assert [r["instance_id"] for r in good.orderBy("pos").collect()] == ["i1", "i3"] and Counter((r["instance_id"], r["reason"]) for r in bad.collect()) == Counter([("row-1", "no repository path")] + [(None, "invalid JSON")] * (name == "a.jsonl"))
         assert good.orderBy("pos").first()["command"] == ["make", "test"]
     assert readers.instances(spark, f"{tmp_path}/a.jsonl", limit=0)[0].count() == 0
     assert readers.instances(spark, f"{tmp_path}/a.jsonl", ids=["i3"])[0].count() == 1
@@ -256,7 +257,7 @@ def test_readers_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
         readers.jsonl(spark, f"{tmp_path}/a.jsonl", readers.INSTANCE).collect()
     (tmp_path / "p.json").write_text(json.dumps({"predictions": [{"instance_id": "x", "diff": " ", "model_patch": "d", "id": "c1"}]}))
-    assert [tuple(r) for r in readers.prebuilt_patches(spark, f"{tmp_path}/p.json").collect()] == [("x", "c1", "d")]
+    assert [tuple(r) for r in readers.prebuilt_patches(spark, f"{tmp_path}/p.json")[0].collect()] == [("x", "c1", "d", 0)]
     results = frame(spark, [("b", 1), ("a", 2)], "instance_id string, runtime_sec int")
     sinks.append_jsonl(results, f"{tmp_path}/out/run1/results.jsonl")
     sinks.append_jsonl(results, f"{tmp_path}/out/run1/results.jsonl")
@@ -277,6 +278,84 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.toy(spark).count() == 1 and readers.toy(spark, limit=0).count() == 0
 
 
+def test_rejects_and_numbers_of_many_files(spark, tmp_path):
+    """Lines keep their order over files of very different sizes, whatever order Spark reads them in; each is a row or a reject."""
+    (tmp_path / "in").mkdir()
+    want = []
+    for k, n in enumerate((3, 400, 1, 0, 57)):
+        lines = [json.dumps({"id": f"{k}-{i}", "n": i}) if i % 5 else "{" for i in range(n)]
+        (tmp_path / f"in/f{k}.jsonl").write_text("\n\n".join(lines) + "\n  \n")
+        want += [f"{k}-{i}" if i % 5 else None for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        good, bad = readers.json_lines(spark, f"{tmp_path}/in", "id string, n int")
+        got = {r["pos"]: r["id"] for r in good.collect()} | {r["pos"]: None for r in bad.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+    assert {(r["text"], r["reason"]) for r in bad.collect()} == {("{", "invalid JSON")}
+    (tmp_path / "p.jsonl").write_text('{"instance_id": "a", "patch": "d"}\n[1]\n{"instance_id": "b", "diff": 5}\n{"x": 1} y\n')
+    good, bad = readers.prebuilt_patches(spark, f"{tmp_path}/p.jsonl")
+    assert [(r["instance_id"], r["patch_text"], r["pos"]) for r in good.orderBy("pos").collect()] == [("a", "d", 0), ("b", "5", 2)]
+    assert [(r["pos"], r["reason"]) for r in bad.orderBy("pos").collect()] == [(1, "no object"), (3, "invalid JSON")]
+    (tmp_path / "q.json").write_text('{"rows": 3, "data": [{"instance_id": "a"}, 4]}')
+    good, bad = readers.prebuilt_patches(spark, f"{tmp_path}/q.json")
+    assert (good.count(), [(r["text"], r["reason"]) for r in bad.collect()]) == (1, [("4", "no object")])
+    for odd in ('{"other": []}', "5", "{"):
+        (tmp_path / "odd.json").write_text(odd)
+        with pytest.raises(ValueError, match="holds neither"):
+            readers.prebuilt_patches(spark, f"{tmp_path}/odd.json")
+    (tmp_path / "i.jsonl").write_text('{"repo_path": "/r", "test_command": ["tox", "-e py"]}\nnot json\n{"id": "x"}\n{"id": "y", "repo_path": "/r"}\n')
+    good, bad = readers.instances(spark, f"{tmp_path}/i.jsonl")
+    assert [(r["instance_id"], r["command"]) for r in good.orderBy("pos").collect()] == [("row-0", ["tox", "-e py"]), ("y", ["python", "-m", "pytest", "-q"])]
+    assert {(r["pos"], r["reason"]) for r in bad.collect()} == {(1, "invalid JSON"), (2, "no repository path")}
+
+
+def test_bundles_are_saved_loaded_and_guarded(spark, tmp_path):
+    rows = frame(spark, [(float(i) if i % 7 else None, float(i % 3), float("nan") if i == 5 else 1.0, int(i > 20)) for i in range(40)], "a double, b double, c double, y int")
+    words = frame(spark, [("open", 1.5)], "term string, idf double")
+    for impute in ("zero", "mean", "median"):
+        made = bundles.fit(rows, ["a", "b", "c"], "y", impute=impute, vocabulary=words, metadata={"mode": "test"})
+        made.save(f"{tmp_path}/{impute}")
+        back = bundles.load(spark, f"{tmp_path}/{impute}", require_vectorizer=True)
+        assert back.features == ["a", "b", "c"] and back.metadata["mode"] == "test" and [tuple(r) for r in back.vocabulary.collect()] == [("open", 1.5)]
+        score = lambda b: [(r["score"], r["prediction"]) for r in b.score(rows).orderBy("a", "b", "y").collect()]
+        assert score(back) == score(made) and back.score(rows).where("prediction = y").count() > 30
+        assert back.score(rows).columns == [*rows.columns, "score", "prediction"]
+    fixed = scoring.LinearModel(["a", "b", "c"], [0.3, -2.0, 1.0], [0.5, 0.0, 1.0], [2.0, 1.0, 0.0], 0.1)
+    own = bundles.of_linear(fixed)
+    whole = rows.where("not isnan(c)")
+    assert [r["score"] for r in own.score(whole).orderBy("a", "b", "y").collect()] == pytest.approx([r["score"] for r in scoring.score(whole, fixed).orderBy("a", "b", "y").collect()])
+    with pytest.raises(ValueError, match="1 of 3 features are missing"):
+        own.score(rows.drop("c"))
+    assert own.score(rows.drop("c"), most_missing=0.5).count() == 40
+    own.save(f"{tmp_path}/plain")
+    with pytest.raises(FileNotFoundError, match="lacks the vocabulary"):
+        bundles.load(spark, f"{tmp_path}/plain", require_vectorizer=True)
+    assert bundles.load(spark, f"{tmp_path}/plain").vocabulary is None
+    with pytest.raises(FileNotFoundError, match="no model at"):
+        bundles.load(spark, f"{tmp_path}/nowhere")
+    (tmp_path / "half").mkdir()
+    with pytest.raises(FileNotFoundError, match="lacks pipeline, metadata"):
+        bundles.load(spark, f"{tmp_path}/half")
+    with pytest.raises(ValueError, match="no imputing"):
+        bundles.fit(rows, ["a"], "y", impute="mode")
+    df = frame(spark, [(1, "d", '["open a", "close b"]', '{"links":[{"subtask_index":0,"node_ids":["n0"]}]}')], "k int, patch string, s string, l string")
+    nodes = frame(spark, [(1, "n0", "open")], "k int, node_id string, code_snippet string")
+    combined = bundles.of_linear(scoring.LinearModel(["link_sim_mean"], [1.0], [0.0], [1.0]), words)
+    row = defense.structural_defense(df, nodes, combined, "k", mode="similarity_only", mask_tokens=False, subtasks_reply="s", links_reply="l").first()
+    assert row["model_score"] == pytest.approx(1 / (1 + math.exp(-1.0))) and row["stage_failed"] is None
+
+
+def test_pooled_vectors_and_probabilities(spark):
+    rows = frame(spark, [(1, [1.0, 2.0]), (1, [3.0, 6.0]), (1, None), (2, [5.0, 5.0])], "k int, v array<double>")
+    assert {r["k"]: r["pooled"] for r in similarity.mean_pooled(rows, "k", "v").collect()} == {1: [2.0, 4.0], 2: [5.0, 5.0]}
+    scores = frame(spark, [([1000.0, 1000.0],), ([0.0, math.log(3)],), ([],), (None,)], "s array<double>")
+    got = scores.select(similarity.softmax(F.col("s")).alias("p"), similarity.argmax(F.col("s")).alias("a")).collect()
+    assert [r["a"] for r in got] == [0, 1, None, None] and got[0]["p"] == [0.5, 0.5] and got[1]["p"] == pytest.approx([0.25, 0.75]) and got[2]["p"] == []
+    assert [r["decision"] for r in policies.sequence_classifier(scores, "s", 0.6).collect()] == ["accept", "reject", "reject", "reject"]
+
+
 def test_envelopes_and_transcripts(spark, tmp_path):
     sinks.write_envelopes(frame(spark, [("é", 1), ("b", None)], "x string, y int"), ["x", "y"], "c", f"{tmp_path}/e")
     rows = readers.envelopes(spark, f"{tmp_path}/e").collect()
@@ -473,13 +552,67 @@ def test_patched_files_in_one_pass(spark):
 
 
 def test_stream_appends_each_key_once(spark, tmp_path):
+    """Keys of earlier batches, of earlier starts and of a log that is not the stream's own are left out; a lost output is not asked."""
     source, schema = f"{tmp_path}/in", "instance_id string, h string, n int"
-    frame(spark, [("a", "1", 1), ("a", "1", 1), ("b", "1", 2)], schema).coalesce(1).write.parquet(source)
-    run = lambda: logs.append_new(spark.readStream.schema(schema).parquet(source), ["instance_id", "h"], f"{tmp_path}/log", f"{tmp_path}/ck", schema).awaitTermination()
+    old = frame(spark, [("z", "1")], "instance_id string, h string")
+    run = lambda: logs.append_new(spark.readStream.schema(schema).parquet(source), ["instance_id", "h"], f"{tmp_path}/log", f"{tmp_path}/ck", order=["n"], done=old).awaitTermination()
+    frame(spark, [("a", "1", 2), ("a", "1", 1), ("b", "1", 2), ("z", "1", 5), (None, "1", 3), (None, "1", 3)], schema).coalesce(1).write.parquet(source)
+    run()
+    first = sorted(map(str, spark.read.parquet(f"{tmp_path}/log").collect()))
+    frame(spark, [("b", "1", 9), ("c", "1", 3), ("z", "2", 7), (None, "1", 0)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    frame(spark, [("b", "1", 9), ("c", "1", 3)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [("a", "1", 1), ("b", "1", 2), ("c", "1", 3)]
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()]
+    assert Counter(rows) == Counter([("a", "1", 1), ("b", "1", 2), (None, "1", 3), ("c", "1", 3), ("z", "2", 7)])
+    assert len(first) == 3 and set(first) <= set(map(str, spark.read.parquet(f"{tmp_path}/log").collect()))
+    plan = logs.first_of_key(spark.readStream.schema(schema).parquet(source), ["h"])
+    assert plan.isStreaming and plan.columns == ["instance_id", "h", "n"]
+
+
+def _moody(prompt, settings):
+    """A caller that refuses, fails for good, or fails until its third call."""
+    import tempfile
+    from pathlib import Path
+
+    if prompt.startswith("never"):
+        raise RuntimeError("no route")
+    mark = Path(tempfile.gettempdir()) / f"spanlark-test-{settings['instance_id']}-{settings['model']}"
+    if prompt.startswith("third"):
+        tries = int(mark.read_text()) if mark.exists() else 0
+        mark.write_text(str(tries + 1))
+        if tries < 2:
+            raise RuntimeError(f"try {tries}")
+        mark.unlink()
+    return f"re: {prompt}", {"total": len(prompt)}
+
+
+def test_calls_are_cached_retried_and_recorded(spark, tmp_path):
+    model = f"m{random.random()}"
+    calls = frame(spark, [("i1", "plain", "x"), ("i1", "plain", "y"), ("i2", "third time", "x"), ("i3", "never", "x"), ("i4", "I refuse this", "x")], "instance_id string, prompt string, text string").withColumn("model", F.lit(model))
+    caller = calls_op.Caller(_moody, backoff=0.0)
+    rows = lambda c: {(r["instance_id"]): r for r in c.collect()}
+    out = calls_op.generate(calls, caller, f"{tmp_path}/cache")
+    assert out.count() == 5
+    got = rows(out)
+    assert (got["i1"]["text"], got["i1"]["call_count"], got["i1"]["token_usage"], got["i1"]["cache_hit"]) == ("re: plain", 1, {"total": 5}, False)
+    assert (got["i2"]["text"], got["i2"]["call_count"], got["i2"]["error"]) == ("re: third time", 3, "")
+    assert (got["i3"]["text"], got["i3"]["call_count"], got["i3"]["error"]) == (None, 3, "no route")
+    assert got["i4"]["tool_blocked"] and not got["i1"]["tool_blocked"]
+    key = {"fidelity_mode": "", "instance_id": "i1", "model": model, "module_config_hash": "", "module_kind": "", "module_name": "", "prompt_hash": hashlib.sha256(b"plain").hexdigest(), "provider": ""}
+    assert got["i1"]["cache_key"] == hashlib.sha256(json.dumps(key, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 3
+    again = rows(calls_op.generate(calls, calls_op.Caller(_moody, backoff=0.0, fallback=True, stand_in=lambda p: f"for {p}"), f"{tmp_path}/cache"))
+    assert [again[i]["cache_hit"] for i in ("i1", "i2", "i3", "i4")] == [True, True, False, True] and again["i1"]["text"] == "re: plain"
+    assert (again["i3"]["text"], again["i3"]["provider_fallback"], again["i3"]["error"]) == ("for never", True, "no route")
+    assert rows(calls_op.generate(calls, caller, f"{tmp_path}/cache"))["i3"]["cache_hit"]
+    other = rows(calls_op.generate(calls.withColumn("model", F.lit("s")), calls_op.Caller(_moody, surrogate=True, stand_in=str.upper), f"{tmp_path}/cache", parallel=2))
+    assert other["i3"]["text"] == "NEVER" and not other["i3"]["provider_fallback"]
+    calls_op.write_call_artifacts(calls_op.with_keys(calls).withColumn("text", F.lit("t")), f"{tmp_path}/artifacts")
+    assert spark.read.json(f"{tmp_path}/artifacts").where("response = 't' and metadata.cache_key is not null").count() == 5
+    assert calls_op.generate(calls.limit(0), caller, f"{tmp_path}/none").count() == 0
+    waits = []
+    calls_op.Caller(lambda p, s: 1 / 0, max_retries=3, backoff=0.5, wait=waits.append).answer("p", {})
+    assert waits == [0.5, 1.0, 2.0]
 
 
 def test_streamed_windows_match_batch(spark, tmp_path):
