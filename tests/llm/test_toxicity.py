@@ -70,13 +70,7 @@ def test_scores_match_brute_force(spark, odd):
         tool = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(tool.compress(block))
 
-    def saved(words, kind, level, behind=()):
-        if kind == "window" and not any(p in model["pairs"] for p in zip(words, [*words[1:], *behind])):  # noqa: B905
-            return 0
-        around = b" " + b" ".join(words) + b" "
-        segments = model["toxic"][len(model["ordinary"]) :]
-        if kind == "word" and len(around) >= toxicity.SHARED and not any(around[i : i + toxicity.SHARED] in segments for i in range(len(around) - toxicity.SHARED + 1)):
-            return 0
+    def saved(words, level):
         block = b" " + b" ".join(words) + b" "
         while len(block) < toxicity.LEAST_BYTES:
             block += b" " + b" ".join(words) + b" "
@@ -87,9 +81,9 @@ def test_scores_match_brute_force(spark, odd):
     for i, text in rows:
         words = text.encode().lower().split()
         features = []
-        for kind, level, windows in (("word", toxicity.WORD_LEVEL, [[w] for w in words]), ("window", toxicity.LEVEL, [words[k : k + toxicity.WORDS] for k in range(0, len(words), toxicity.WORDS)])):
-            s = [saved(w, kind, level, after[:1]) for w, after in zip(windows, [*windows[1:], []][: len(windows)], strict=True)]
-            features += [*(math.sqrt(sum(x >= k for x in s) / max(1, len(s))) for k in (1, 2, 3, 4, 5, 6)), min(8, max([0, *s]))]
+        for level, windows in ((toxicity.WORD_LEVEL, [[w] for w in words]), (toxicity.LEVEL, [words[k : k + toxicity.WORDS] for k in range(0, len(words), toxicity.WORDS)])):
+            s = [saved(w, level) for w in windows]
+            features += [*(math.sqrt(sum(x >= k for x in s) / max(1, len(s))) for k in (2, 3, 4, 5, 6)), min(8, max([0, *s]))]
         assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, model["line"][0] + np.dot(model["line"][1:], features)))))) < 1e-9
 
 
