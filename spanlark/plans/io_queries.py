@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlark.operators import bundles, calls, links, policies, similarity
+from spanlark.operators import bundles, calls, links, policies, similarity, training
 from spanlark.plans.queries import MODEL, ORACLES, _edges, _sizes, query, r6
 from spanlark.sources import readers
 from spanlark.sources.tables import shared_folder
@@ -98,3 +98,34 @@ def bundle_score(t):
     bundles.of_linear(MODEL).save(path)
     loaded = bundles.load(t("supplier").sparkSession, path)
     return loaded.score(links.link_features(_edges(t), _sizes(t), "instance")).select("instance", r6("score").alias("score"), "prediction")
+
+
+# ---- training data
+
+PREPARED_SQL = """WITH a AS (SELECT 'i' || (doc_id % 400) AS instance_id, n_chars % 2 AS label, CASE WHEN n_chars % 5 > 0 THEN source || ' ' || doc_id END AS prompt, doc_id FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS r FROM a), rows AS (SELECT * FROM k WHERE r <= 450 AND prompt IS NOT NULL) """
+
+
+def _prepared(t, strategy: str) -> DataFrame:
+    docs = t("documents")
+    results = docs.select(F.concat(F.lit("i"), F.col("doc_id") % 400).alias("instance_id"), F.col("doc_id").cast("string").alias("attack_artifact_path"), F.col("doc_id").alias("pos"), "n_chars", F.lit("toy").alias("dataset"), *[F.lit(None).cast("string").alias(c) for c in ("attack_name", "agent_name", "defense_decision", "adv_prompt_hash")], F.lit(True).alias("tests_passed"))
+    prompts = docs.where("n_chars % 5 > 0").select(F.col("doc_id").cast("string").alias("attack_artifact_path"), F.concat(F.lit(" "), "source", F.lit(" "), "doc_id").alias("prompt"))
+    return training.prepare(results.where("n_chars % 2 = 0"), results.where("n_chars % 2 = 1"), prompts, strategy=strategy, limit=450)
+
+
+@query(PREPARED_SQL + """, ids AS (SELECT DISTINCT label, instance_id FROM rows), cut AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42|' || instance_id), instance_id) AS p, count(*) OVER (PARTITION BY label) AS n FROM ids)
+SELECT instance_id, label::INT AS label, prompt, 'toy' AS dataset, '' AS attack_name, CASE WHEN p <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM rows JOIN cut USING (label, instance_id)""")
+def training_data(t):
+    return _prepared(t, "stratified_instance").select("instance_id", "label", "prompt", "metadata.dataset", "metadata.attack_name", "split")
+
+
+@query(PREPARED_SQL + """, s AS (SELECT count(*) AS n FROM rows) SELECT n AS total_instances, floor(n * 0.8)::BIGINT AS train_instances, n - floor(n * 0.8)::BIGINT AS test_instances FROM s""")
+def training_counts(t):
+    return training.statistics(_prepared(t, "random")).select("total_instances", "train_instances", "test_instances")
+
+
+@query("""WITH p AS (SELECT toxic AS y, CASE WHEN length(text) < 500 THEN 0.3 WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0.7 END AS p FROM documents JOIN labels USING (doc_id)), q AS (SELECT y, greatest(1e-7, least(1 - 1e-7, p)) AS p FROM p)
+SELECT round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS mean_loss, count(*)::BIGINT AS n FROM q""")
+def loss_of_scores(t):
+    rows = t("documents").join(t("labels"), "doc_id").withColumn("p", F.expr("CASE WHEN length(text) < 500 THEN 0.3D WHEN n_chars % 2 = 0 THEN 1.0D ELSE 0.7D END"))
+    return training.mean_loss(rows, "toxic", "p").select(r6("mean_loss").alias("mean_loss"), "n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
-from spanlark.operators import attacks, bundles, components, defense, graphdiff, hunks, links, policies, relational, runs, scoring, similarity
+from spanlark.operators import attacks, bundles, components, defense, graphdiff, hunks, links, policies, relational, runs, scoring, similarity, training
 from spanlark.operators import calls as calls_op
 from spanlark.plans import registry
 from spanlark.plans.registry import REGISTRIES, Registry, defaults
@@ -347,6 +347,33 @@ def test_bundles_are_saved_loaded_and_guarded(spark, tmp_path):
     assert row["model_score"] == pytest.approx(1 / (1 + math.exp(-1.0))) and row["stage_failed"] is None
 
 
+def test_training_data_from_files(spark, tmp_path):
+    """Logs and artifacts to split instances: blank prompts go, limits count before, rows split exactly, settings are checked first."""
+    for name, n in (("good", 30), ("bad", 20)):
+        rows = [{"instance_id": f"i{k % 10}", "attack_artifact_path": f"/run/{name}{k}", "dataset": "toy", "tests_passed": k % 2 == 0} for k in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+        for k in range(n):
+            (tmp_path / f"art/{name}{k}").mkdir(parents=True)
+            (tmp_path / f"art/{name}{k}/adv_prompt.txt").write_text(" \n" if k == 0 else f" p{k} \n")
+    run = lambda **kw: training.prepare_from_files(spark, f"{tmp_path}/good.jsonl", f"{tmp_path}/bad.jsonl", f"{tmp_path}/art", f"{tmp_path}/out", **kw)
+    meta = run(strategy="random", ratio=0.7)
+    assert (meta["total_instances"], meta["train_instances"], meta["test_instances"]) == (48, 33, 15) and meta["strategy"] == "random"
+    assert json.loads(spark.read.text(f"{tmp_path}/out/metadata").first()[0]) == json.loads(json.dumps(meta))
+    back = spark.read.json(f"{tmp_path}/out/instances")
+    assert back.count() == 48 and {r["prompt"] for r in back.collect()} == {f"p{k}" for k in range(1, 30)} and back.where("metadata.dataset = 'toy'").count() == 48
+    meta = run(strategy="instance_based", limit=5)
+    assert meta["total_instances"] == 8 and sum(meta["train_label_distribution"].values()) == meta["train_instances"]
+    groups = {}
+    for r in spark.read.json(f"{tmp_path}/out/instances").collect():
+        groups.setdefault(r["instance_id"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in groups.values())
+    for wrong, why in (({"ratio": 1.0}, "between 0 and 1"), ({"strategy": "x"}, "no split"), ({"limit": 0}, "at least 1")):
+        with pytest.raises(ValueError, match=why):
+            run(**wrong)
+    with pytest.raises(FileNotFoundError, match="no results at"):
+        training.prepare_from_files(spark, f"{tmp_path}/none.jsonl", f"{tmp_path}/bad.jsonl", f"{tmp_path}/art", f"{tmp_path}/out2")
+
+
 def test_pooled_vectors_and_probabilities(spark):
     rows = frame(spark, [(1, [1.0, 2.0]), (1, [3.0, 6.0]), (1, None), (2, [5.0, 5.0])], "k int, v array<double>")
     assert {r["k"]: r["pooled"] for r in similarity.mean_pooled(rows, "k", "v").collect()} == {1: [2.0, 4.0], 2: [5.0, 5.0]}
