@@ -84,9 +84,14 @@ def by_subtask(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return n.join(sizes.select(key, "num_subtasks"), key).where(F.col("subtask_index").between(F.lit(0), F.col("num_subtasks") - 1)).drop("num_subtasks")
 
 
+#: Subtasks that are held as bits of a number.
+BITS = 62
+
+
 def by_node(edge_list: DataFrame, key: str) -> DataFrame:
-    """Links ``n`` of each linked node, and the least of its subtasks."""
-    return edge_list.groupBy(key, "node_id").agg(F.count("*").alias("n"), F.min("subtask_index").alias("least"))
+    """Links ``n`` of each linked node, the least of its subtasks, and its first ``BITS`` subtasks as bits."""
+    bit = F.when(F.col("subtask_index").between(0, BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("subtask_index").cast("int"))).otherwise(F.lit(0).cast("long"))
+    return edge_list.groupBy(key, "node_id").agg(F.count("*").alias("n"), F.min("subtask_index").alias("least"), F.bit_or(bit).alias("bits"))
 
 
 def histograms(subtasks: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -151,15 +156,31 @@ def link_features(edge_list: DataFrame, sizes: DataFrame, key: str, nodes: DataF
 
 
 def connected(edge_list: DataFrame, sizes: DataFrame, key: str, nodes: DataFrame | None = None) -> DataFrame:
-    """(key, is_connected): whether the links join all subtasks of an instance in one component.
-
-    A node only joins its subtasks, so each hands them to the least one; what is left has no more vertices than there are subtasks, and
-    its components are found by rounds. They are one if all subtasks but the least belong to another."""
-    pairs = edge_list.select(key, "subtask_index", "node_id").distinct()
-    least = (nodes if nodes is not None else by_node(edge_list, key)).select(key, "node_id", "least")
+    """(key, is_connected): whether the links join all subtasks of an instance in one component; links of subtasks that it does not
+    have do not count.
+
+    A node only joins its subtasks. Those of up to ``BITS`` are bits of a number: the nodes of one least subtask are one number, so an
+    instance has as many numbers as subtasks, which are joined where they overlap. Instances with more go by rounds."""
+    nodes = nodes if nodes is not None else by_node(edge_list, key)
+    joined = nodes.where(F.col("bits") != 0).groupBy(key, "least").agg(F.bit_or("bits").alias("bits")).groupBy(key).agg(F.array_sort(F.collect_list("bits")).alias("_sets"))
+    grown = lambda s: F.aggregate("_sets", s, lambda r, x: F.when(r.bitwiseAND(x) != 0, r.bitwiseOR(x)).otherwise(r))
+    reached = F.aggregate("_sets", F.get("_sets", F.lit(0)), lambda r, _: grown(r))  # each pass takes in one more set, if any is left
+    all_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("num_subtasks").cast("int")) - 1
+    own = sizes.select(key, "num_subtasks")
+    few = own.where(F.col("num_subtasks") <= BITS).join(joined, key, "left")
+    out = few.select(key, F.coalesce((F.col("num_subtasks") > 0) & (reached == all_bits), F.lit(False)).cast("double").alias("is_connected"))
+    many = own.where(F.col("num_subtasks") > BITS)
+    return out.unionByName(connected_by_rounds(edge_list, many, key)) if many.limit(1).count() else out
+
+
+def connected_by_rounds(edge_list: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """The same for any number of subtasks: each node hands its subtasks to the least one; what is left has no more vertices than there
+    are subtasks, and its components are found by rounds. They are one if all subtasks but the least belong to another."""
+    pairs = edge_list.join(sizes.select(key, "num_subtasks"), key).where(F.col("subtask_index").between(F.lit(0), F.col("num_subtasks") - 1)).select(key, "subtask_index", "node_id").distinct()
+    least = pairs.groupBy(key, "node_id").agg(F.min("subtask_index").alias("least"))
     joined = components(pairs.join(least, [key, "node_id"]).select(key, "least", "subtask_index").distinct(), [key], "least", "subtask_index")
     others = joined.groupBy(key).agg(F.count("*").alias("_others"))
-    linked = edge_list.groupBy(key).agg(F.count_distinct("subtask_index").alias("_linked"))
+    linked = pairs.groupBy(key).agg(F.count_distinct("subtask_index").alias("_linked"))
     out = sizes.select(key, "num_subtasks").join(linked, key, "left").join(others, key, "left").na.fill(0, ["_linked", "_others"])
     whole = (F.col("_linked") > 0) & (F.col("_linked") == F.col("num_subtasks")) & (F.col("_others") == F.col("_linked") - 1)
     return out.select(key, F.coalesce(whole, F.lit(False)).cast("double").alias("is_connected"))

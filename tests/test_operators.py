@@ -535,12 +535,24 @@ def test_components_of_groups(spark):
     assert got == {x: root(x)[1] for x in list(up) if root(x) != x}
 
 
-def test_connectivity_of_a_large_instance(spark):
+def test_connectivity_of_a_large_instance(spark, monkeypatch):
     """One instance holds half of all links; its last node alone joins the two halves of its subtasks."""
     links_of = lambda k, join: [(k, s, f"n{n}") for n in range(200) for s in ((0, 1) if n % 2 else (2, 3))] + ([(k, 1, "z"), (k, 2, "z")] if join else [])
     edges = frame(spark, links_of(1, True) + links_of(2, False)[:200] + links_of(3, True)[1:] + [(4, 0, "n")], "k int, subtask_index int, node_id string")
     sizes = frame(spark, [(1, 4, 201), (2, 4, 200), (3, 5, 201), (4, 1, 1), (5, 0, 0)], "k int, num_subtasks int, num_candidate_nodes int")
-    assert {r["k"]: r["is_connected"] for r in links.connected(edges, sizes, "k").collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+    want = {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+    assert {r["k"]: r["is_connected"] for r in links.connected(edges, sizes, "k").collect()} == want
+    assert {r["k"]: r["is_connected"] for r in links.connected_by_rounds(edges, sizes, "k").collect()} == want
+    monkeypatch.setattr(links, "BITS", 4)  # instance 3 has more subtasks than bits
+    assert {r["k"]: r["is_connected"] for r in links.connected(edges, sizes, "k").collect()} == want
+    monkeypatch.undo()
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(62), f"n{rng.randrange(60)}") for k in range(30) for _ in range(60 + 12 * k)]
+    rows += [(90, s, f"c{s + d}") for s in range(62) for d in (0, 1)]  # a chain through all bits
+    sizes2 = frame(spark, [(k, 62, 60) for k in [*range(30), 90]], "k int, num_subtasks int, num_candidate_nodes int")
+    edges2 = frame(spark, rows, "k int, subtask_index int, node_id string")
+    both = [{r["k"]: r["is_connected"] for r in f(edges2, sizes2, "k").collect()} for f in (links.connected, links.connected_by_rounds)]
+    assert both[0] == both[1] and both[0][90] == 1.0 and set(both[0].values()) == {0.0, 1.0}
     plan = links.connected(edges, sizes, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
