@@ -6,13 +6,15 @@ same spans but keeps the matcher from recursion and from quadratic rescans on lo
 the pieces between matches, in code points.
 
 Information-theoretic sanitisation adds to these: an entity is the value of a base span, and a term is a run of letters
-and digits, lower-cased. Over the whole corpus, documents are counted with each term, with each entity, and with both.
-The information that a term gives about an entity is their pointwise mutual information, which can at most reach the
-entity's own information content -log2 p(entity). Every entity and term is weighed, however rare: the entity's rate among the
-documents with the term is estimated with ``smooth`` further documents at its rate in the corpus, so that few documents
-count for less than many. A term that gives at least ``generalise`` of the content is a span of kind ``term`` in every
-document of the corpus, with or without the entity, unless it overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is
-generalised to a placeholder.
+and digits, lower-cased. Over the whole corpus, documents are counted with each term, with each entity, and with both on one
+line, which is the context of an entity (no base span crosses a line's end). The information that a term gives about an entity
+is their pointwise mutual information, which can at most reach the entity's own information content -log2 p(entity). The
+entity's rate among the documents with the term is estimated with ``smooth`` further documents at its rate in the corpus, so
+that few documents count for less than many. Besides, term and entity have to meet on ``evidence`` lines that differ: a word
+that was seen once is next to something by necessity, and copies of a line say no more than the line. With ``evidence`` 1
+an entity that occurs once is revealed by all words that are nowhere else, which marks mostly chance. A term that gives at least
+``generalise`` of the content is a span of kind ``term`` in every document of the corpus, with or without the entity, unless it
+overlaps a base span; from ``remove`` on, sanitised texts lose it, below it is generalised to a placeholder.
 
 Counts are combined before every shuffle, and an entity or term in most documents is one row of the counts. Null texts
 are empty. Rows that repeat are counted as often as they occur. An empty table gives an empty result.
@@ -89,7 +91,7 @@ def written(spans: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, text, counts of each kind, base (ordered spans)."""
+    """doc_id, row (a number, told anew whenever this is computed), text, counts of each kind, base (ordered spans)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     none = F.expr(f"cast(array() as {NO_SPANS})")
@@ -97,33 +99,45 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = out.withColumn(f"_{kind}", F.when(may_have(kind, F.col("text")), places(F.col("text"), PATTERNS[kind], lambda h, kind=kind: passes(kind, h), k)).otherwise(none))
     counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS]
     base = F.array_sort(F.concat(*[F.col(f"_{kind}") for kind in KINDS]))
-    return out.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *counts, base.alias("base"))
+    return out.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", *counts, base.alias("base"))
 
 
 def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), TERM_GAP, -1)), "")
 
 
-def entities_of(found: DataFrame) -> DataFrame:
-    """row, entity, m: how often the row occurs."""
-    entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))))
-    return found.where(HOLDS).select("row", entity.alias("entity")).groupBy("row", "entity").agg(F.count("*").alias("m"))
+def contexts(found: DataFrame) -> DataFrame:
+    """row, line (its hash), entities, terms of each line that has a base span."""
+    lines = found.where(HOLDS).select("row", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
+    some = F.lit(False)
+    for kind in KINDS:
+        some = some | may_have(kind, F.col("line"))
+    spans = base_spans(lines.where(some), "row", "line").where(HOLDS)
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
+    return spans.select(F.col("doc_id").alias("row"), F.xxhash64("text").alias("line"), entities.alias("entities"), terms_of(F.col("text")).alias("terms"))
 
 
-def revealing(found: DataFrame, total: int, smooth: float, generalise: float) -> DataFrame:
+def revealing(found: DataFrame, total: int, smooth: float, generalise: float, evidence: int) -> DataFrame:
     """n_e, sig, term, n_t, n_held, share: of the information content of the entities of a class, what the term gives; n_t of
-    all rows have the term, n_held of those with entities. A class holds the entities that occur in the same rows, so a list
-    of thousands of addresses is weighed once."""
-    known = stash(entities_of(found))
-    entities = known.groupBy("entity").agg(F.sum("m").alias("n_e"), F.sum(F.col("row").cast("decimal(20,0)") * F.col("m")).cast("string").alias("sig"))
-    in_row = join_weighted(known, stash(entities.withColumn("weight", F.col("n_e"))), "entity", total).select("row", "m", "n_e", "sig").distinct()
-    terms = found.where(HOLDS).select("row", terms_of(F.col("text")).alias("terms")).dropDuplicates(["row"])
-    pairs = in_row.join(terms, "row").select("n_e", "sig", "m", F.explode("terms").alias("term")).groupBy("n_e", "sig", "term").agg(F.sum("m").alias("n_et"))
+    all rows have the term, n_held of those with entities. A class holds the entities that occur on the same lines, so a list
+    of thousands of addresses is weighed once. Classes with too few different lines are left out before their terms are told."""
+    met = stash(contexts(found))
+    known = stash(met.select("row", "line", F.explode("entities").alias("entity")))
+    sig = F.sum(F.xxhash64("row", "line").cast("decimal(20,0)")).cast("string")
+    entities = known.groupBy("entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("line").alias("lines"), sig.alias("sig"), F.count("*").alias("weight"))
+    entities = stash(entities.where((F.col("lines") >= evidence) & (F.col("n_e") < total)).drop("lines"))
+    on_line = join_weighted(known, entities, "entity", known.count()).select("row", "line", "n_e", "sig").distinct()
+    pairs = on_line.join(met.select("row", "line", "terms"), ["row", "line"]).select("n_e", "sig", "row", "line", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("n_e", "sig", "term").agg(F.count_distinct("row").alias("n_et"), F.count_distinct("line").alias("lines"))
+    pairs = stash(pairs.where(F.col("lines") >= evidence).drop("lines"))
+
     counts = found.select(F.expr(HOLDS).cast("long").alias("holds"), F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.sum("holds").alias("n_held"))
+    # a frequent word meets many classes: what is known of it goes to all tasks
+    counts = stash(counts.where("n_held > 0").join(pairs.groupBy("term").agg(F.count("*").alias("weight")), "term"))
     rate = F.col("n_e") / F.lit(float(total))
     given = (F.col("n_et") + smooth * rate) / (F.col("n_t") + smooth)
-    pairs = pairs.where(F.col("n_e") < total).join(counts.where("n_held > 0"), "term")
-    return pairs.select("n_e", "sig", "term", "n_t", "n_held", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
+    weighed = join_weighted(pairs, counts, "term", pairs.count())
+    return weighed.select("n_e", "sig", "term", "n_t", "n_held", (F.log2(given / rate) / -F.log2(rate)).alias("share")).where(F.col("share") >= generalise)
 
 
 def marked(rows: DataFrame, marks: DataFrame, total: int) -> DataFrame:
@@ -135,11 +149,11 @@ def marked(rows: DataFrame, marks: DataFrame, total: int) -> DataFrame:
     return inside.groupBy("row").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
 
 
-def detect(docs: DataFrame, *, smooth: float = 0.5, generalise: float = 0.9, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, *, smooth: float = 0.5, generalise: float = 0.9, remove: float = 0.97, evidence: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans, sanitised (null where nothing is found)."""
     found = stash(base_spans(docs, id_col, text_col))
     total = found.count()
-    reveals = revealing(found, total, smooth, generalise)
+    reveals = revealing(found, total, smooth, generalise, evidence)
     marks = stash(reveals.groupBy("term").agg((F.max("share") >= remove).alias("gone"), F.max("n_t").alias("weight"), F.max("n_held").alias("n_held")))
     holds, rest = found.where(HOLDS), found.where(f"not {HOLDS}")
     # most terms of a rare entity are nowhere else: rows without entities are only asked for those that are

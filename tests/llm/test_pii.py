@@ -3,6 +3,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from spanlark.llm import pii
 from tests.llm.conftest import SF
 
@@ -69,7 +71,7 @@ def test_entities_that_occur_once_and_twice_are_weighed(spark):
     rows = [(1, "the quick message from zorblax at zor@mail.org today"), (2, "the quick message from quillon at 10.1.2.3 today"), (3, "quillon and the message at 10.1.2.3")]
     rows += [(4, "the quick message today brindle " + " ".join(f"u{i}@h{i}.net" for i in range(3000)))]
     rows += [(10 + i, f"the quick message number m{i} from him and her at home today") for i in range(200)]
-    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), evidence=1).collect()}
     for i, name in ((1, "zorblax"), (2, "quillon"), (3, "quillon"), (4, "brindle")):
         at = rows[i - 1][1].index(name)
         assert f"term:{at}:{at + len(name)}" in got[i]["spans"].split(",") and name not in got[i]["sanitised"]
@@ -77,6 +79,42 @@ def test_entities_that_occur_once_and_twice_are_weighed(spark):
     assert all(got[10 + i]["spans"] == "" for i in range(200))
 
 
+def test_production_evidence_is_two_different_lines(spark):
+    """A word seen once with an address, or on copies of one line, is left; on two lines that differ it is revealing."""
+    rows = [(1, "the quick message from zorblax at zor@mail.org today"), (2, "message from quillon at 10.1.2.3 today"), (3, "quillon and the message at 10.1.2.3")]
+    rows += [(4 + i, "from brindle at b@c.net today\nthe quick message") for i in range(3)] + [(8, "wendeline\n10.1.2.3 today"), (9, "wendeline and\n10.1.2.3 message")]
+    rows += [(10 + i, f"the quick message number m{i} from him and her at home today") for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["n_terms"] == got[3]["n_terms"] == 1 and "quillon" not in got[2]["sanitised"]
+    assert [got[i]["n_terms"] for i in (1, 4, 5, 6, 8, 9)] == [0] * 6  # wendeline is on no line of the address
+    assert all(got[10 + i]["spans"] == "" for i in range(200))
+
+
+def test_precision_and_recall_on_planted_names(spark):
+    """Of 60 invented names, each in two to four documents beside its own address, all are marked; of the other words of real prose
+    that stand on the same lines, or in documents without any address, hardly any."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    name = lambda k: f"qz{chr(97 + k % 26)}{chr(97 + k // 26)}vx"
+    hosts = [text for _, text in docs if not brute(text)[-1]]  # a copy of a line with an address would be evidence of its own
+    rows, planted = list(docs), {}
+    for k in range(60):
+        for j in range(2 + k % 3):
+            i, text = 10**7 + k * 10 + j, hosts[(k * 7 + j * 211) % len(hosts)]
+            first, *rest = text.split("\n")
+            rows.append((i, "\n".join([f"{first} {'abcd'[j]} {name(k)} <{name(k)[:3]}{k}@host{k}.net>", *rest])))
+            planted[i] = name(k)
+    hits = chance = missed = clean = 0
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r["doc_id"]]
+        marked = [text[int(a) : int(b)].lower() for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s) if kind == "term"]
+        hits += sum(m == planted.get(r["doc_id"]) for m in marked)
+        chance += sum(m != planted.get(r["doc_id"]) for m in marked)
+        missed += r["doc_id"] in planted and planted[r["doc_id"]] not in marked
+        clean += r["doc_id"] not in planted and r["n_terms"] > 0
+    assert missed == 0, (hits, chance, missed, clean)
+    assert chance <= 0.05 * hits and clean <= 0.005 * len(docs), (hits, chance, missed, clean)
+
+
 def test_revealing_terms_are_marked_in_documents_without_the_entity(spark):
     rows = [(i, f"the quick message from Zorblax at zor@mail.org today and number {i % 3}") for i in range(9)] + [(9, "zorblax was at home"), (10, "nothing here")]
     rows += [(20 + i, f"the quick message from somebody at home today and number {i % 3}") for i in range(400)]
@@ -85,24 +123,26 @@ def test_revealing_terms_are_marked_in_documents_without_the_entity(spark):
     assert got[10]["spans"] == "" and got[10]["sanitised"] is None and len(got) == len(rows)
 
 
-def brute_terms(rows, smooth=0.5, generalise=0.9):
+def brute_terms(rows, evidence, smooth=0.5, generalise=0.9):
     """Spans of revealing terms by plain counts over all rows."""
-    total, term_rows, entity_rows = len(rows), {}, {}
+    total, term_rows, entity_rows, meetings = len(rows), {}, {}, {}
     words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "")]
     for n, (_, text) in enumerate(rows):
         for _, _, w in words(text):
             term_rows.setdefault(w, set()).add(n)
-        for span in brute(text)[-1]:
-            kind, a, b = span.rsplit(":", 2)
-            entity_rows.setdefault((kind, text[int(a) : int(b)].lower()), set()).add(n)
+        for line in (text or "").split("\n"):
+            own = {(s.split(":")[0], line[slice(*map(int, s.rsplit(":", 2)[1:]))].lower()) for s in brute(line)[-1]}
+            for e in own:
+                entity_rows.setdefault(e, set()).add(n)
+                for w in {w for _, _, w in words(line)}:
+                    meetings.setdefault((e, w), []).append((n, line))
     revealing = set()
-    for own in entity_rows.values():
-        rate = len(own) / total
-        if rate < 1:
-            for w in {w for n in own for _, _, w in words(rows[n][1])}:
-                given = (len(own & term_rows[w]) + smooth * rate) / (len(term_rows[w]) + smooth)
-                if math.log2(given / rate) / -math.log2(rate) >= generalise:
-                    revealing.add(w)
+    for (e, w), seen in meetings.items():
+        rate = len(entity_rows[e]) / total
+        if rate < 1 and len({line for _, line in seen}) >= evidence:
+            given = (len({n for n, _ in seen}) + smooth * rate) / (len(term_rows[w]) + smooth)
+            if math.log2(given / rate) / -math.log2(rate) >= generalise:
+                revealing.add(w)
     out = Counter()
     for i, text in rows:
         base = [tuple(map(int, s.rsplit(":", 2)[1:])) for s in brute(text)[-1]]
@@ -110,10 +150,12 @@ def brute_terms(rows, smooth=0.5, generalise=0.9):
     return out
 
 
-def test_added_spans_match_brute_force(spark):
+@pytest.mark.parametrize("evidence", [1, 2])
+def test_added_spans_match_brute_force(spark, evidence):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = Counter((r["doc_id"], r["n_terms"]) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == brute_terms(rows) and sum(n for _, n in got) > 0
+    rows += [(10**7 + i, f"a line of {i % 4}\nask trellick at tr@mail.org or {i % 3}") for i in range(9)] + rows[:5]
+    got = Counter((r["doc_id"], r["n_terms"]) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), evidence=evidence).collect())
+    assert got == brute_terms(rows, evidence) and sum(n for _, n in got) > 0
 
 
 def test_empty(empty):
