@@ -11,6 +11,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlark.functions import pysource
+from spanlark.functions.text import looks_like_code
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -117,3 +120,11 @@ def tfidf_cosine(pairs: DataFrame, weights: DataFrame, left: str, right: str, ke
     r = weights.select(F.col(key).alias(right), "term", F.col("w").alias("_wr"))
     sims = pairs.select(left, right).join(l, left).join(r, [right, "term"]).groupBy(left, right).agg(F.sum(F.col("_wl") * F.col("_wr")).alias("sim"))
     return pairs.join(sims, [left, right], "left").na.fill({"sim": 0.0})
+
+
+def masked(df: DataFrame, text: str) -> DataFrame:
+    """``text`` with its names, strings and numbers masked where it looks like code, for a vocabulary that tells the shape of code
+    rather than its names; prose stays as it is, and only what looks like code goes to Python."""
+    code = F.when(looks_like_code(F.col(text)), F.col(text))
+    shape = df.withColumn("_shape", pysource.over_text(pysource.mask_tokens)(code))
+    return shape.withColumn(text, F.when(looks_like_code(F.col(text)), F.col("_shape")).otherwise(F.col(text))).drop("_shape")

@@ -696,4 +696,4 @@ def rollup_summary(t):
     return t("documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
 
 
-from spanlark.plans import io_queries, run_queries  # noqa: E402, F401  (they add their queries to the same tables)
+from spanlark.plans import io_queries, run_queries, settings_queries  # noqa: E402, F401  (they add their queries to the same tables)

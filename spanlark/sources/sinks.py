@@ -26,10 +26,12 @@ def write_envelopes(df: DataFrame, payload: list[str], config_hash: str, path: s
     envelope(df, payload, config_hash).write.mode("overwrite").json(path)
 
 
-def write_patches(df: DataFrame, path: str, patches: tuple[str, ...] = ("ori_patch", "adv_patch", "final_patch")) -> None:
-    """Patch texts with their hashes, a folder for each instance."""
-    hashed = df.select("instance_id", *patches, *[F.sha2(F.coalesce(F.col(p), F.lit("")), 256).alias(f"{p}_hash") for p in patches])
-    hashed.write.mode("overwrite").partitionBy("instance_id").json(path)
+def write_patches(df: DataFrame, path: str, patches: tuple[str, ...] = ("ori_patch", "adv_patch", "final_patch"), applied: DataFrame | None = None) -> None:
+    """Patch texts with their hashes and how applying the last went, a folder for each instance."""
+    from spanlark.operators.settings import patch_records
+
+    records = patch_records(df.select("instance_id", *patches), ["instance_id"], applied, patches, keep=True)
+    records.write.mode("overwrite").partitionBy("instance_id").json(path)
 
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
