@@ -11,8 +11,8 @@ sampled by Gibbs, and predictive probabilities are averaged over the samples aft
 2. A sweep of the contexts: given the parent's probability p0 of each word, an auxiliary x ~ Gamma(theta / d + tables) makes
    the dishes of a restaurant independent of each other, so that all of them can be sampled at once and exactly. Customers
    leave and sit down again one by one: at an old table in proportion to its customers less d, at a new one to x * d * p0.
-   Of a pair with more than ``RESEAT`` customers that many, chosen at random, are reseated in each sweep, so frequent pairs
-   come to their posterior more slowly. All start at one table for each pair.
+   Of a pair with more than ``RESEAT`` customers the number of tables is drawn at once from its law given all others (nothing else of
+   a pair is asked for), so every customer of every pair is reseated in each sweep. All start at one table for each pair.
 3. The tables of each word are sent to the parent's buckets, which are by word. There they are seated and reseated in the
    same way, from one table anew in each sweep, since their number has changed. Given the seating, the parent's
    probabilities are drawn from their posterior (a Dirichlet by gamma variables; the share of tables yet unseen falls on all
@@ -31,8 +31,9 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+import math
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from spanlark.llm.common import bounded_batches, discard, held_out, in_chunks, m
 
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" end ", b" start "))  # no word has a space
 HEAVY, RESEAT, SURVEYED = 1000, 16, 20_000_000
+#: Customers up to which all numbers of tables are listed; proposals for more; points and angle of the path of Cauchy's integral.
+LISTED, PROPOSALS, POINTS, ANGLE = 1024, 6, 64, 0.6
 INDEX, MODEL, DOWN, ASK, TEXTS = -1, 0, 1, 2, 3
 #: Everything that travels: a block for a bucket, from a chunk or another bucket.
 BLOCK = pa.schema([("bucket", pa.int64()), ("at", pa.int32()), ("origin", pa.int64()), ("block", pa.binary()), ("sums", pa.list_(pa.int64())), ("gamma", pa.float64())])
@@ -194,28 +197,124 @@ def ask(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, buckets: int, chun
         yield rows_to_batch((name % buckets, TEXTS, name, info))
 
 
-def drawn(n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """For each of n, which are above ``RESEAT``, that many different numbers below it, all choices and orders alike."""
-    out = np.empty((len(n), RESEAT), dtype=np.int64)
-    for k in range(RESEAT):
-        top = n - RESEAT + k
-        new = (rng.random(len(n)) * (top + 1)).astype(np.int64)
-        out[:, k] = np.where((out[:, :k] == new[:, None]).any(axis=1), top, new)
-    return rng.permuted(out, axis=1)
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """By Stirling's series behind eight steps of the recursion."""
+    z = k + 9.0
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - sum(np.log(k + j) for j in range(1, 9))
+
+
+@cache
+def seatings(d: float, upto: int) -> list[np.ndarray]:
+    """For each n the logarithms of the weights of all seatings of n customers at 1 to n tables: (n - d * t) of t tables stay t, one more is new."""
+    out = [np.zeros(0), np.zeros(1)]
+    for n in range(1, upto):
+        out.append(np.logaddexp(np.append(out[n] + np.log(n - d * np.arange(1, n + 1)), -np.inf), np.append(-np.inf, out[n])))
+    return out
+
+
+def root(f: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """Where f, which falls as w goes from 0 to 1, changes its sign: the logarithms of w."""
+    low, high = np.full(n, -60.0), np.zeros(n)
+    for _ in range(24):
+        middle = (low + high) / 2
+        above = f(middle) > 0
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return (low + high) / 2
+
+
+def seating(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """What ``seatings`` tells, less log(n!), for many customers: t tables are t draws with the generating function
+    1 - (1 - z) ** d that add up to n, which Cauchy's integral counts through its saddle, along a hyperbola around the cut where that is
+    near and along the whole circle where it is not. The sums over their points converge geometrically; they agree with the recursion to rounding."""
+    out = -t * math.log(d) - log_factorial(t)
+    some = t < n
+    out[~some] += t[~some] * math.log(d)  # each draw is one
+    n, t = n[some].astype(float), t[some].astype(float)
+    lw = root(lambda x: math.log(d) + (d - 1) * x + np.log1p(-np.exp(x) + 1e-300) - np.log(-np.expm1(d * x) + 1e-300) - np.log(n / t), len(n))
+    lw = np.maximum(lw, np.log(2 / n))  # of few tables one has nearly all, and the saddle says little
+    w = np.exp(lw)
+    y, g, wd = -np.log1p(-w), -np.expm1(d * lw), np.exp(d * lw)
+    first = -d * wd / w * (1 - w) / g  # of log g by y
+    second = -first * (1 + (1 - d) * (1 - w) / w) - first * first  # the variance of a draw is what is left of this
+    sigma = np.sqrt(np.maximum(t * np.abs(second), 1e-12))
+    k, far = np.arange(POINTS), y > 0.5
+    size = 2 * np.ceil((12 * sigma + 64) / 2)
+    mu = y / (1 - math.sin(ANGLE))
+    step = np.where(far, 2 * np.pi / size, np.minimum(0.5 / (sigma * mu * math.cos(ANGLE)), 0.07))
+    u = k * step[:, None]
+    bent = 1j * np.minimum(u, 6.0) - ANGLE
+    at = np.where(far[:, None], y[:, None] + 1j * u, mu[:, None] * (1 + np.sin(bent)))
+    slope = np.where(far[:, None], 1.0, mu[:, None] * np.cos(bent))  # of the path, by i
+    weight = np.where(k == 0, 1.0, 2.0) * np.where(far[:, None], (u < np.pi - 1e-9) + 0.5 * (np.abs(u - np.pi) <= 1e-9), u < 6.0)
+    top = t * np.log(g) + n * y
+    draws, rest = t[:, None] * np.log(1 - (-np.expm1(-at)) ** d), n[:, None] * at - top[:, None]
+    # the integral of the rest alone is nothing; where little else is there, it is left out
+    few = (t * np.log(g) > -1) & ~far
+    value = np.empty_like(draws)
+    value[few], value[~few] = np.exp(rest[few]) * np.expm1(draws[few]), np.exp(draws[~few] + rest[~few])
+    total = (weight * (value * slope).real).sum(axis=1) * step / (2 * np.pi)
+    out[some] += top + np.log(np.maximum(total, 1e-300))
+    return out
+
+
+def tables_of(n: np.ndarray, t: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes whose n customers all stand up and sit down together: t tables weigh weight ** t times their seatings.
+
+    Up to ``LISTED`` customers these are listed and one is drawn; for more, proposals around the mode are taken or refused by
+    Metropolis' and Hastings' rule, ``PROPOSALS`` times, from the t that there are."""
+    out = t.copy()
+    listed = np.flatnonzero(n <= LISTED)
+    listed = listed[np.argsort(n[listed], kind="stable")]
+    for same in np.split(listed, np.flatnonzero(np.diff(n[listed])) + 1) if len(listed) else []:
+        size = int(n[same[0]])
+        for part in np.array_split(same, -(-len(same) * size // (1 << 20))):
+            law = seatings(d, LISTED)[size] + np.arange(1, size + 1) * np.log(weight[part])[:, None]
+            law = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
+            out[part] = 1 + (law < rng.random(len(part))[:, None] * law[:, -1:]).sum(axis=1)
+    for part in np.array_split(np.flatnonzero(n > LISTED), max(1, -(-int((n > LISTED).sum()) // 2048))):
+        if not len(part):
+            continue
+        m, a, now = n[part], weight[part], t[part].copy()
+        lw = root(lambda x: np.log(a) + (d - 1) * x + np.log1p(-np.exp(x) + 1e-300) - np.log(m), len(part))  # noqa: B023
+        middle = np.clip(np.round(1 + a / d * -np.expm1(d * lw)), 1, m)
+        scale = np.sqrt(middle) + 1
+        law = lambda t: t * np.log(a) + seating(m, t, d) + np.abs(t - middle) / scale  # noqa: B023, E731
+        held = law(now)
+        for _ in range(PROPOSALS):
+            q = np.exp(-1 / scale)
+            new = (middle + rng.geometric(1 - q) - rng.geometric(1 - q)).astype(np.int64)  # falls by q with each step from the middle
+            inside = (new >= 1) & (new <= m)
+            told = law(np.where(inside, new, 1))
+            takes = inside & (np.log(rng.random(len(part))) < told - held)
+            now, held = np.where(takes, new, now), np.where(takes, told, held)
+        out[part] = now
+    return out
 
 
 def reseat(n: np.ndarray, t: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Customers of each dish leave and sit down again: at an old table in proportion to its customers less d, at a new one to
+    """All customers of each dish leave and sit down again: at an old table in proportion to its customers less d, at a new one to
     ``weight``. n: customers of each dish; t: its tables; sizes: customers of the tables, dish by dish. Returns t and sizes.
 
-    Of n customers the least of n and ``RESEAT`` move, chosen and ordered at random. An old table is found by choosing another
-    customer, whose table is taken with probability 1 - d / its customers, else another choice is made."""
-    t, moves, two = t.copy(), np.minimum(n, RESEAT), n == 2  # of two customers both are drawn at once
+    Up to ``RESEAT`` customers move one by one, in random order. An old table is found by choosing another customer, whose table is taken
+    with probability 1 - d / its customers, else another choice is made. Of more customers the number of tables is drawn at once; as nothing
+    else of them is ever asked for, one table is given all but one customer of each other table."""
+    own, out = n <= RESEAT, t.copy()
+    if not own.all():
+        out[~own] = tables_of(n[~own], t[~own], weight[~own], d, rng)
+    out[own], few = one_by_one(n[own], t[own], sizes[np.repeat(own, t)], weight[own], d, rng)
+    full = np.ones(int(out.sum()), dtype=np.int64)
+    full[np.repeat(own, out)] = few
+    many = np.flatnonzero(~own)
+    full[(np.cumsum(out) - out)[many]] = n[many] - out[many] + 1
+    return out, full
+
+
+def one_by_one(n: np.ndarray, t: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    t, moves, two = t.copy(), n.copy(), n == 2  # of two customers both are drawn at once
     moves[n < 3] = 0
     busy = np.flatnonzero(moves)
     busy = busy[np.argsort(-n[busy], kind="stable")]
     m, nb, a, tb = moves[busy], n[busy], weight[busy], t[busy]
-    large = int(np.searchsorted(-nb, -RESEAT, side="left"))  # these come first
     old_at = (np.cumsum(t) - t)[busy]  # where the dish's tables begin
     seats = np.concatenate([[0], np.cumsum(sizes)])
     guests_at = seats[old_at]  # the number of the dish's first customer among all customers
@@ -227,13 +326,7 @@ def reseat(n: np.ndarray, t: np.ndarray, sizes: np.ndarray, weight: np.ndarray,
     pair = np.repeat(np.arange(len(busy)), m)
     mover = np.arange(len(pair)) - move_at[pair]
     turn = np.lexsort((rng.random(len(pair)), pair))  # the movers in the order in which they move
-    mover[: large * RESEAT] = drawn(nb[:large], rng).reshape(-1)
-
-    def table_of(dish: np.ndarray, customer: np.ndarray) -> np.ndarray:
-        """Where the customer sat before, as a number of the dish's tables."""
-        return np.searchsorted(seats, guests_at[dish] + customer, side="right") - 1 - old_at[dish]
-
-    sits = table_of(pair, mover)  # where each mover sits now
+    sits = np.searchsorted(seats, guests_at[pair] + mover, side="right") - 1 - old_at[pair]  # where each sits now, as a number of the dish's tables
     tables, free = tb.copy(), tb.copy()
     for j in range(int(m.max(initial=0))):
         live = int(np.searchsorted(-m, -j, side="left"))  # those with more than j movers
@@ -247,13 +340,7 @@ def reseat(n: np.ndarray, t: np.ndarray, sizes: np.ndarray, weight: np.ndarray,
         while len(rest):
             other = (rng.random(len(rest)) * (nb[rest] - 1)).astype(np.int64)
             other += other >= mover[now[rest]]
-            many = int(np.searchsorted(rest, large))
-            k = np.empty(len(rest), dtype=np.int64)
-            k[many:] = sits[move_at[rest[many:]] + other[many:]]  # all customers of these move
-            if many:
-                at = move_at[rest[:many], None] + np.arange(RESEAT)
-                same = mover[at] == other[:many, None]
-                k[:many] = np.where(same.any(axis=1), sits[at[np.arange(many), same.argmax(axis=1)]], table_of(rest[:many], other[:many]))
+            k = sits[move_at[rest] + other]
             size = own[new_at[rest] + k]
             takes = rng.random(len(rest)) * size < size - d
             chosen[rest[takes]] = k[takes]

@@ -141,6 +141,34 @@ def test_gibbs_reaches_the_posterior(n, weight):
     assert (t == 1).mean() == pytest.approx(want[0], abs=0.03)
 
 
+@pytest.mark.parametrize(("n", "weight", "d"), [(60, 8.0, 0.5), (1500, 40.0, 0.7), (3000, 0.4, 0.9), (2000, 900.0, 0.3)])
+def test_every_customer_of_a_frequent_pair_is_reseated(n, weight, d):
+    """Two sweeps reach the law of the tables, however many customers there are: no part of them is left where it began."""
+    rng = np.random.default_rng(8)
+    dishes = 600
+    t, sizes = np.ones(dishes, np.int64), np.full(dishes, n)
+    for _ in range(2):
+        t, sizes = pitman_yor.reseat(np.full(dishes, n), t, sizes, np.full(dishes, weight), d, rng)
+        assert (np.bincount(np.repeat(np.arange(dishes), t), weights=sizes) == n).all() and (sizes > 0).all()
+    logs = pitman_yor.seatings(d, n)[n] + np.arange(1, n + 1) * math.log(weight)
+    want = np.exp(logs - logs.max())
+    want /= want.sum()
+    mean = (want * np.arange(1, n + 1)).sum()
+    deviation = math.sqrt((want * (np.arange(1, n + 1) - mean) ** 2).sum())
+    assert t.mean() == pytest.approx(mean, abs=5 * deviation / math.sqrt(dishes))
+    assert t.std() == pytest.approx(deviation, rel=0.25)
+
+
+def test_seatings_of_many_customers_agree_with_the_recursion():
+    for d in (0.05, 0.5, 0.95):
+        for n in (1025, 2500):
+            t = np.unique(np.geomspace(1, n, 80).astype(np.int64))
+            want = pitman_yor.seatings(d, 2500)[n][t - 1] - math.lgamma(n + 1)
+            assert pitman_yor.seating(np.full(len(t), n), t, d) == pytest.approx(want, abs=1e-7)
+    small = exact_tables(12, 0.8, 0.6)
+    assert np.exp(pitman_yor.seatings(0.6, 12)[12]) * 0.8 ** np.arange(1, 13) / small == pytest.approx(np.full(12, (np.exp(pitman_yor.seatings(0.6, 12)[12]) * 0.8 ** np.arange(1, 13)).sum()))
+
+
 def test_reseating_dishes_of_all_sizes_together():
     rng = np.random.default_rng(5)
     n = np.concatenate([np.arange(1, 40), [5000, 1, 2, 70_000], np.zeros(3, np.int64), [3]])
