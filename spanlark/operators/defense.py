@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from spanlark.functions import patterns, pysource
 from spanlark.functions import text as T
 from spanlark.operators import graphdiff, hunks, links, policies, scoring, similarity
 from spanlark.operators.bundles import Bundle
-from spanlark.sources.tables import written
+from spanlark.sources.tables import shuffled, spread, written
 
 #: Which of the universal features tell of security, and the modes that take some of them.
 SECURITY_PREFIXES = ("suspicious_", "cnt_")
@@ -274,59 +275,131 @@ def tfidf_sims(edges: DataFrame, steps: DataFrame, nodes: DataFrame, vocabulary:
     return pairs.select(key, "_pair").join(sims, "_pair", "left").select(key, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.LinearModel | Bundle | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, **more) -> DataFrame:
-    """One row for each key: decision, model_score, the key metrics, what the patch parser fell back to, stage_failed and error.
+@dataclass
+class Parsed:
+    """Rows that the parsers and the linker have gone through, for all modes that read them: what several need is made once, when
+    the first asks for it."""
 
-    The stages run in order (init, cfg, subtasks, grounding, model_load, features, inference). What fails a row is written to it,
-    later stages leave it alone, and it is rejected; settings that no row can pass fail each row that comes so far. ``more``: fields
-    of ``Settings`` and ``Inputs``. A bundle brings its vocabulary."""
+    key: str
+    settings: Settings
+    given: Inputs
+    state: DataFrame
+    nodes: DataFrame
+    made: dict
+
+    def once(self, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = written(make())
+        return self.made[name]
+
+    @property
+    def alive(self) -> DataFrame:
+        return self.state.where("stage_failed is null")
+
+    @property
+    def keys(self) -> DataFrame:
+        return shuffled(self.alive.select(self.key))
+
+    def found(self) -> DataFrame:
+        return self.once(("found",), lambda: self.nodes.join(self.keys, self.key, "left_semi"))
+
+    def edges(self) -> DataFrame:
+        linked = lambda: LINKERS[self.settings.linker](spread(self.alive, self.key), self.found(), self.key, self.given, self.settings)[0]
+        return self.once(("edges",), lambda: linked().join(self.keys, self.key, "left_semi"))
+
+    def counted(self) -> DataFrame:
+        number = self.found().groupBy(self.key).agg(F.count_distinct("node_id").alias("num_candidate_nodes"))
+        return self.once(("counted",), lambda: self.alive.select(self.key, "num_subtasks").join(shuffled(number), self.key, "left").na.fill({"num_candidate_nodes": 0}))
+
+    def per_node(self) -> DataFrame:
+        return self.once(("per_node",), lambda: links.by_node(self.edges(), self.key))
+
+    def links(self) -> DataFrame:
+        return self.once(("links",), lambda: links.link_features(self.edges(), self.counted(), self.key, self.per_node()))
+
+    def similarity(self, mask: bool) -> DataFrame:
+        def make() -> DataFrame:
+            sims = self.given.sims
+            if sims is None:
+                texts = self.alive.select(self.key, F.posexplode("_steps").alias("subtask_index", "subtask"))
+                sims = tfidf_sims(self.edges(), texts, self.found(), self.given.vocabulary, self.key, mask)
+            return links.similarity_features(sims, self.counted(), self.key)
+
+        return self.once(("similarity", mask, self.given.sims, self.given.vocabulary), make)
+
+    def severity(self, table: str, stripping: str) -> DataFrame:
+        def make() -> DataFrame:
+            seen = self.found().withColumn("_scanned", scanned(F.col("code_snippet"), stripping))
+            return links.severity_features(patterns.add_scores(seen, F.col("_scanned"), patterns.select_patterns(table)), self.edges(), self.counted(), self.key, linked=self.per_node())
+
+        return self.once(("severity", table, stripping), make)
+
+    def connected(self) -> DataFrame:
+        return self.once(("connected",), lambda: links.connected(self.edges(), self.counted(), self.key, self.per_node()))
+
+
+def parse(df: DataFrame, nodes: DataFrame | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, **more) -> Parsed:
+    """The stages before the features. ``structural_defense`` takes the result as ``parsed`` for each mode, model and policy, which
+    no parser reads, so that several of them parse once."""
+    settings, given = _chosen(nodes, settings, given, more)
+    state = df.withColumns({"stage_failed": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    state = written(failing(state, "init", F.when(F.coalesce(T.strip(F.col(given.patch)), F.lit("")) == "", "the patch is empty")))
+    alive = state.where("stage_failed is null")
+    found, outcomes = PATCH_PARSERS[settings.patch_parser](spread(alive, key), key, given, settings)
+    state = failing(state.join(shuffled(outcomes), key, "left"), "cfg", F.col("_problem")).drop("_problem")
+    steps, problem = PROMPT_PARSERS[settings.prompt_parser](state, key, given, settings)
+    state = failing(state.withColumn("_steps", steps), "subtasks", problem).withColumn("num_subtasks", F.size("_steps"))
+    state = written(state)  # the parsers have run; what follows reads their results
+    _, problem = LINKERS[settings.linker](state.where("stage_failed is null"), found, key, given, settings)
+    return Parsed(key, settings, given, failing(state, "grounding", problem), found, {})
+
+
+def _chosen(nodes: DataFrame | None, settings: Settings | None, given: Inputs | None, more: dict) -> tuple[Settings, Inputs]:
     parts = {c: {f.name for f in fields(c)} for c in (Settings, Inputs)}
     if unknown := set(more) - parts[Settings] - parts[Inputs]:
         raise TypeError(f"no setting named {', '.join(sorted(unknown))}")
     settings = replace(settings or Settings(), **{k: v for k, v in more.items() if k in parts[Settings]})
-    given = replace(given or Inputs(), **{k: v for k, v in more.items() if k in parts[Inputs]} | ({"nodes": nodes} if nodes is not None else {}))
+    return settings, replace(given or Inputs(), **{k: v for k, v in more.items() if k in parts[Inputs]} | ({"nodes": nodes} if nodes is not None else {}))
+
+
+#: Settings that the parsers and the linker read.
+PARSING = ("patch_parser", "prompt_parser", "linker", "allow_fallback", "allow_fallback_non_toy", "similarity_threshold")
+
+
+def structural_defense(df: DataFrame, nodes: DataFrame | None, model: scoring.LinearModel | Bundle | None, key: str, *, settings: Settings | None = None, given: Inputs | None = None, parsed: Parsed | None = None, **more) -> DataFrame:
+    """One row for each key: decision, model_score, the key metrics, what the patch parser fell back to, stage_failed and error.
+
+    The stages run in order (init, cfg, subtasks, grounding, model_load, features, inference). What fails a row is written to it,
+    later stages leave it alone, and it is rejected; settings that no row can pass fail each row that comes so far, and nothing is made
+    for rows that cannot pass. ``more``: fields of ``Settings`` and ``Inputs``. A bundle brings its vocabulary. ``parsed``: what ``parse``
+    made of the same rows and inputs."""
+    settings, given = _chosen(nodes, settings, given, more)
     given = replace(given, vocabulary=getattr(model, "vocabulary", None)) if given.vocabulary is None else given
     faults = settings.faults(model, given.sims is not None or given.vocabulary is not None)
     fault = lambda stage: F.lit(faults.get(stage)).cast("string")
-    state = df.withColumns({"stage_failed": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-    early = next((s for s in faults if s.startswith("settings")), None)
+    early = next((s for s in faults if s.startswith("settings") or s == "init"), None)
     if early:
-        stage = early.partition(":")[2] or "init"
-        return outcome(failing(state, stage, F.lit(faults[early])), None, None, key, settings, [])
-    state = failing(state, "init", F.coalesce(fault("init"), F.when(F.coalesce(T.strip(F.col(given.patch)), F.lit("")) == "", "the patch is empty")))
-
-    alive = lambda: state.where("stage_failed is null")
-    found, outcomes = PATCH_PARSERS[settings.patch_parser](alive(), key, given, settings)
-    state = failing(state.join(outcomes, key, "left"), "cfg", F.col("_problem")).drop("_problem")
-    steps, problem = PROMPT_PARSERS[settings.prompt_parser](state, key, given, settings)
-    state = failing(state.withColumn("_steps", steps), "subtasks", problem).withColumn("num_subtasks", F.size("_steps"))
-    state = written(state)  # the parsers have run; what follows reads their results
-    found = found.join(alive().select(key), key, "left_semi")
-    linked, problem = LINKERS[settings.linker](alive(), found, key, given, settings)
-    for stage, why in (("grounding", problem), ("model_load", fault("model_load")), ("features", fault("features")), ("inference", fault("inference"))):
-        state = failing(state, stage, why)
-    columns = feature_columns(settings.mode)
-    edges = written(linked.join(alive().select(key), key, "left_semi"))
-    counted = alive().select(key, "num_subtasks").join(found.groupBy(key).agg(F.count_distinct("node_id").alias("num_candidate_nodes")), key, "left").na.fill({"num_candidate_nodes": 0})
-    counted = written(counted)
+        state = df.withColumns({"stage_failed": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+        return outcome(failing(state, early.partition(":")[2] or "init", F.lit(faults[early])), None, None, key, settings, [])
+    if parsed is None:
+        parsed = parse(df, nodes, key, settings=settings, given=given)
+    elif parsed.key != key or any(getattr(parsed.settings, n) != getattr(settings, n) for n in PARSING):
+        raise ValueError("the rows were parsed by another key or other settings")
+    parsed = replace(parsed, given=given) if parsed.given is not given else parsed  # what was made stays shared
+    state = parsed.state
+    for stage in ("model_load", "features", "inference"):
+        state = failing(state, stage, fault(stage))
     if {"model_load", "features", "inference"} & set(faults):
-        return outcome(state, counted, edges, key, settings, [])
-    per_node = links.by_node(edges, key) if settings.structural else written(links.by_node(edges, key))
-    features = links.link_features(edges, counted, key, per_node)
+        return outcome(state, None, None, key, settings, [])
+    columns, features = feature_columns(settings.mode), parsed.links()
     if settings.similar:
-        sims = given.sims
-        if sims is None:
-            texts = alive().select(key, F.posexplode("_steps").alias("subtask_index", "subtask"))
-            sims = tfidf_sims(edges, texts, found, given.vocabulary, key, settings.mask_tokens)
-        features = features.join(links.similarity_features(sims, counted, key), key)
+        features = features.join(shuffled(parsed.similarity(settings.mask_tokens)), key)
     elif not settings.structural:
-        seen = found.withColumn("_scanned", scanned(F.col("code_snippet"), settings.comment_stripping))
-        scored_nodes = patterns.add_scores(seen, F.col("_scanned"), patterns.select_patterns(settings.severity_mode))
-        severity = links.severity_features(scored_nodes, edges, counted, key, linked=per_node)
-        more_features = severity if "is_connected" not in columns else links.connected(edges, counted, key, per_node).join(severity, key)
-        features = features.join(more_features.select(key, *[c for c in more_features.columns if c != key and c not in features.columns]), key)
+        severity = parsed.severity(settings.severity_mode, settings.comment_stripping)
+        more_features = severity if "is_connected" not in columns else parsed.connected().join(shuffled(severity), key)
+        features = features.join(shuffled(more_features.select(key, *[c for c in more_features.columns if c != key and c not in features.columns])), key)
     scored = model.score(with_features(features, key, columns), settings.most_missing, "model_score").drop("prediction", "num_subtasks", "num_candidate_nodes")
-    return outcome(state.join(scored, key, "left"), counted, edges, key, settings, columns)
+    return outcome(state.drop("_steps").join(shuffled(scored), key, "left"), parsed.counted(), parsed.edges(), key, settings, columns)
 
 
 def outcome(state: DataFrame, counted: DataFrame | None, linked: DataFrame | None, key: str, settings: Settings, columns: list[str]) -> DataFrame:
@@ -334,7 +407,7 @@ def outcome(state: DataFrame, counted: DataFrame | None, linked: DataFrame | Non
     fine = F.col("stage_failed").isNull()
     if columns:
         numbers = linked.groupBy(key).agg(F.count_distinct("node_id").alias("_nodes"), F.count_distinct("subtask_index").alias("_linked_subtasks"))
-        state = state.join(counted.select(key, "num_candidate_nodes"), key, "left").join(numbers, key, "left").na.fill({"_nodes": 0, "_linked_subtasks": 0})
+        state = state.join(shuffled(counted.select(key, "num_candidate_nodes")), key, "left").join(shuffled(numbers), key, "left").na.fill({"_nodes": 0, "_linked_subtasks": 0})
     entropy = next((c for c in ("node_link_entropy", "link_entropy_over_subtasks") if c in columns), None)
     has = lambda c: F.col(c) if c in columns else F.lit(0.0)
     metrics = {

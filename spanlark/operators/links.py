@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlark.functions import text as T
 from spanlark.operators.components import components
-from spanlark.sources.tables import written
+from spanlark.sources.tables import shuffled, written
 
 #: Column names and their order.
 STRUCTURAL = [
@@ -69,7 +69,7 @@ def parse_links(df: DataFrame, key: str, reply: str, num_subtasks: str) -> DataF
     rows = rows.withColumn("subtask_index", whole).where(F.col("subtask_index").between(F.lit(0), F.col(num_subtasks) - 1))
     last = rows.groupBy(key, F.col("subtask_index").cast("int").alias("subtask_index")).agg(F.max_by(_node_ids(F.col("link")), "pos").alias("node_ids"))
     every = df.where(F.col(num_subtasks) > 0).select(key, F.explode(F.sequence(F.lit(0), (F.col(num_subtasks) - 1).cast("int"))).alias("subtask_index"))
-    return every.join(last, [key, "subtask_index"], "left").withColumn("node_ids", F.coalesce("node_ids", F.expr("cast(array() as array<string>)")))
+    return every.join(shuffled(last), [key, "subtask_index"], "left").withColumn("node_ids", F.coalesce("node_ids", F.expr("cast(array() as array<string>)")))
 
 
 def edges(links: DataFrame, key: str) -> DataFrame:
@@ -131,7 +131,7 @@ def link_features(edge_list: DataFrame, sizes: DataFrame, key: str, nodes: DataF
 
     nodes: what ``by_node`` gives, where it is there already."""
     found = histograms(by_subtask(edge_list, sizes, key), nodes if nodes is not None else by_node(edge_list, key), key)
-    out = sizes.select(key, "num_subtasks", "num_candidate_nodes").join(found, key, "left").na.fill({"diagonal_links": 0.0})
+    out = sizes.select(key, "num_subtasks", "num_candidate_nodes").join(shuffled(found), key, "left").na.fill({"diagonal_links": 0.0})
     none = F.expr("cast(array() as array<struct<n:bigint,c:bigint>>)")
     out = out.withColumn("_subtasks", F.coalesce("_subtasks", none)).withColumn("_nodes", F.coalesce("_nodes", none))
     unlinked = F.col("num_subtasks") - F.aggregate("_subtasks", F.lit(0).cast("long"), lambda s, h: s + h["c"])
@@ -193,19 +193,20 @@ def severity_features(nodes: DataFrame, edge_list: DataFrame, sizes: DataFrame,
     category counts are 0, as where a pipeline drops them."""
     from spanlark.functions.patterns import CATEGORY_FEATURES
 
-    bad = nodes.where("is_suspicious")
+    features = sorted(set(CATEGORY_FEATURES.values()))
+    of = lambda name: F.greatest(F.lit(0), F.size(F.filter("matched", lambda p: p["category"].isin([c for c, f in CATEGORY_FEATURES.items() if f == name]))))
+    # written, so that each node is scanned once: filters on what the scan finds would otherwise be pushed below whatever makes nodes distinct
+    nodes = written(nodes.select(key, "node_id", "severity", "is_suspicious", *[(of(name) if count_categories else F.lit(0)).alias(name) for name in features]))
     per_node = (linked if linked is not None else by_node(edge_list, key)).select(key, "node_id", "least")
-    ids = bad.select(key, "node_id").distinct().join(per_node, [key, "node_id"], "left").join(sizes.select(key, "num_subtasks"), key)
+    ids = nodes.where("is_suspicious").select(key, "node_id").distinct().join(shuffled(per_node), [key, "node_id"], "left").join(sizes.select(key, "num_subtasks"), key)
     own = (F.col("least") < F.col("num_subtasks") - 1) & (F.col("num_subtasks") >= 2)
     taken = ids.groupBy(key).agg(F.count("*").alias("_bad"), F.count("least").alias("_linked"), F.count_if(own).alias("_own"))
-    top = bad.groupBy(key).agg(
-        F.count("*").cast("double").alias("num_suspicious_nodes"), F.max("severity").alias("max_severity"), F.avg("severity").alias("mean_severity"),
-        F.aggregate(F.slice(F.sort_array(F.collect_list("severity"), asc=False), 1, 3), F.lit(0.0), lambda s, x: s + x).alias("top3_severity_sum"),
+    bad = F.when(F.col("is_suspicious"), F.col("severity"))
+    top = nodes.groupBy(key).agg(
+        F.count_if("is_suspicious").cast("double").alias("num_suspicious_nodes"), F.max(bad).alias("max_severity"), F.avg(bad).alias("mean_severity"),
+        F.aggregate(F.slice(F.sort_array(F.collect_list(bad), asc=False), 1, 3), F.lit(0.0), lambda s, x: s + x).alias("top3_severity_sum"), *[F.sum(name).cast("double").alias(name) for name in features],
     )
-    categories = sorted(set(CATEGORY_FEATURES.values()))
-    exploded = nodes.select(key, F.explode(F.transform("matched", lambda p: p["category"])).alias("category"))
-    by_category = exploded.groupBy(key).agg(*[F.count_if(F.col("category").isin([c for c, f in CATEGORY_FEATURES.items() if f == name]) & F.lit(count_categories)).cast("double").alias(name) for name in categories])
-    out = sizes.join(top, key, "left").join(taken, key, "left").join(by_category, key, "left").na.fill(0)
+    out = sizes.join(shuffled(top), key, "left").join(shuffled(taken), key, "left").na.fill(0)
     N = F.greatest(F.lit(1), F.col("num_candidate_nodes"))
     share = lambda a: a / F.greatest(F.lit(1), F.col("_bad"))
     plain = ["num_suspicious_nodes", "max_severity", "mean_severity", "top3_severity_sum"]
@@ -213,7 +214,7 @@ def severity_features(nodes: DataFrame, edge_list: DataFrame, sizes: DataFrame,
     frac = F.col("num_suspicious_nodes") / N
     return out.select(
         key, *plain, *[F.col(a).alias(b) for a, b in twins.items()], frac.alias("frac_suspicious_nodes"), frac.alias("frac_suspicious_nodes_universal"), share(F.col("_linked")).alias("suspicious_acceptance"),
-        share(F.col("_bad") - F.col("_linked")).alias("suspicious_unlinked"), share(F.col("_own")).alias("suspicious_misassignment"), *categories,
+        share(F.col("_bad") - F.col("_linked")).alias("suspicious_unlinked"), share(F.col("_own")).alias("suspicious_misassignment"), *features,
     )
 
 
@@ -225,7 +226,7 @@ def similarity_features(sims: DataFrame, sizes: DataFrame, key: str) -> DataFram
         below(0.2).alias("link_sim_frac_below_tau_0_2"), below(0.3).alias("link_sim_frac_below_tau_0_3"),
     )
     empty = dict(zip(SIMILARITY, (0.0, 0.0, 0.0, 0.0, 1.0, 1.0), strict=True))
-    return sizes.select(key).join(stats, key, "left").na.fill(empty)
+    return sizes.select(key).join(shuffled(stats), key, "left").na.fill(empty)
 
 
 def structural_row(edge_list: DataFrame, sizes: DataFrame, sims: DataFrame, key: str, mode: str = "structural_combined") -> DataFrame:

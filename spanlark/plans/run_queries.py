@@ -218,9 +218,10 @@ FAULTS_SQL = " UNION ALL ".join(
  stage_failed = 'model_load' AS model_missing, stage_failed = 'inference' AS inference_fail, CASE stage_failed WHEN 'cfg' THEN 'init' WHEN 'subtasks' THEN 'cfg' WHEN 'grounding' THEN 'subtasks' WHEN 'model_load' THEN 'grounding' WHEN 'features' THEN 'model_load' WHEN 'inference' THEN 'features' END AS stage_completed FROM r""")
 def defense_stages(t):
     rows, out = _defended(t), None
+    parsed = defense.parse(rows, None, "instance", **DEFENDED)  # no setting below is a parser's but those that fail before it
     for run, settings in FAULTY.items():
         model = scoring.LinearModel(["gini_nodes"], [1.0], [0.0], [1.0]) if run in ("table", "mismatch", "markers") else STRUCTURAL_MODEL
-        one = defense.structural_defense(rows, None, model, "instance", **DEFENDED | settings).withColumn("run", F.lit(run))
+        one = defense.structural_defense(rows, None, model, "instance", parsed=parsed, **DEFENDED | settings).withColumn("run", F.lit(run))
         out = one if out is None else out.unionByName(one)
     return defense.failure_flags(out).select("run", "instance", "decision", "stage_failed", *defense.FLAGS.values(), "stage_completed")
 
@@ -239,9 +240,10 @@ MODE_MODELS = {
 def defense_modes(t):
     rows, out = _defended(t), None
     sims = t("lineitem").select(F.col("l_suppkey").alias("instance"), (F.col("l_discount") * 5).alias("sim"))
+    parsed = defense.parse(rows, None, "instance", **DEFENDED)
     for mode, (feature, mean, _) in MODE_MODELS.items():
         model = scoring.LinearModel([feature], [2.0], [mean], [1.0])
-        one = defense.structural_defense(rows, None, model, "instance", mode=mode.title(), policy="Accept_If_Score_GE_Threshold", comment_stripping="None", sims=sims, **DEFENDED).withColumn("mode", F.lit(mode))
+        one = defense.structural_defense(rows, None, model, "instance", mode=mode.title(), policy="Accept_If_Score_GE_Threshold", comment_stripping="None", sims=sims, parsed=parsed, **DEFENDED).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out.select("mode", "instance", r6("model_score").alias("model_score"), "decision", "stage_failed")
 

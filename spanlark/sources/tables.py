@@ -30,6 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by key into as many parts as a shuffle has: few bytes of a table that was written may be long texts, which are much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: it is never sent to the driver to be broadcast, however small its files are."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
     for table in tables:
