@@ -31,3 +31,12 @@ def test_modes_share_what_is_parsed(spark, monkeypatch):
     monkeypatch.setattr(defense, "written", lambda df: made.append(df.columns) or plain(df))
     out = QUERIES["defense_modes"](spark, SF)
     assert len(made) == 10 and "Broadcast" not in plan(out)  # state twice, nodes, links, sizes, nodes' links, and four families of features
+
+
+def test_nodes_are_scanned_once(spark):
+    nodes = spark.createDataFrame([(1, "a", "eval(x)"), (1, "b", "open(p)"), (2, "a", "return")], "k int, node_id string, code string").distinct()
+    sizes = spark.createDataFrame([(1, 2, 2), (2, 2, 1)], "k int, num_subtasks int, num_candidate_nodes int")
+    edges = spark.createDataFrame([(1, 0, "a")], "k int, subtask_index int, node_id string")
+    rows = links.severity_features(patterns.add_scores(nodes, F.col("code"), patterns.UNIVERSAL), edges, sizes, "k")
+    assert "eval(" not in plan(rows)
+    assert [(r["k"], r["num_suspicious_nodes"], r["cnt_code_execution"], r["cnt_file_access"]) for r in rows.orderBy("k").collect()] == [(1, 1.0, 1.0, 1.0), (2, 0.0, 0.0, 0.0)]
