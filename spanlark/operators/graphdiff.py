@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlark.operators.relational import first_wins
@@ -16,7 +16,7 @@ def node_diff(before: DataFrame, after: DataFrame, scope: list[str], order: list
     Of several nodes at a place the last in ``order`` counts. A node whose code is anywhere on the other side of its function,
     also in a node that does not count, has moved: as an addition it is moved, as a removal it is left out. ``carry``: columns
     that come along as before_* and after_*; a moved node's before_* are those of the last node there with its code.
-    Both sides are dealt once by function; places and codes are settled where they are."""
+    Both sides are dealt once by function; codes (by windows) and places are settled where they are."""
     columns = list(dict.fromkeys([*scope, *PLACE, "code_hash", "node_id", *(order or []), *(carry or [])]))
     return sides_diff(before.select(*columns, F.lit(True).alias("_old")).unionByName(after.select(*columns, F.lit(False).alias("_old"))), "_old", scope, order, carry)
 
@@ -26,20 +26,27 @@ def sides_diff(sides: DataFrame, old: str, scope: list[str], order: list[str] |
     order, carry = order or ["node_id"], carry or []
     keys, local, null = [*scope, *PLACE], [*scope, "file", "function"], F.lit(None)
     both = sides.select(*dict.fromkeys([*keys, "code_hash", "node_id", *order, *carry]), F.col(old).alias("_old")).repartition(*local)
-    node = F.struct("code_hash", "node_id", *carry)
-    side = lambda old, c=node: F.max_by(F.when(F.col("_old") == old, c), F.when(F.col("_old") == old, F.struct(*order)))
-    places = both.groupBy(*keys).agg(side(True).alias("_b"), side(False).alias("_a")).withColumn("_hash", F.coalesce("_a.code_hash", "_b.code_hash"))
-    codes = both.where("code_hash <> ''").groupBy(*local, F.col("code_hash").alias("_hash")).agg(side(True).alias("_there_before"), F.bool_or(~F.col("_old")).alias("_there_after"))
-    joined = places.join(codes, [*local, "_hash"], "left")
-    moved = F.col("_b").isNull() & F.col("_there_before").isNotNull()
+    by_code, known = Window.partitionBy(*local, "code_hash"), F.col("code_hash") != ""
+    for c in local:  # what has no function has no other side
+        known = known & F.col(c).isNotNull()
+    last = lambda old, c: F.max_by(F.when(F.col("_old") == old, c), F.when(F.col("_old") == old, F.struct(*order)))
+    there = lambda old: F.coalesce(F.max(F.col("_old") == old).over(by_code) & known, F.lit(False))
+    both = both.withColumns({"_there_before": there(True), "_there_after": there(False)})
+    if carry:
+        both = both.withColumn("_from", F.when(known, last(True, F.struct(*carry)).over(by_code)))
+    sides = {"_b": True, "_a": False}
+    parts = {n: last(old, F.struct("code_hash", "_there_before", "_there_after")) for n, old in sides.items()} | {f"{n}_id": last(old, F.struct("node_id")) for n, old in sides.items()}
+    parts |= {f"{n}_carry": last(old, F.struct(*carry, "_from")) for n, old in sides.items() if carry}
+    places = both.groupBy(*keys).agg(*[c.alias(n) for n, c in parts.items()])  # columns apart, so that what a caller leaves out is not made
+    moved = F.col("_b").isNull() & F.col("_a._there_before")
     kind = (
         F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.when(F.col("_b.code_hash").eqNullSafe(F.col("_a.code_hash")), "same").otherwise("modified"))
-        .when(F.col("_b").isNull(), F.when(moved, "moved").otherwise("added")).when(~F.coalesce("_there_after", F.lit(False)), "removed")
+        .when(F.col("_b").isNull(), F.when(moved, "moved").otherwise("added")).when(~F.col("_b._there_after"), "removed")
     )
-    origin = lambda c: F.coalesce(f"_b.{c}", F.when(moved, F.col(f"_there_before.{c}")).otherwise(null))
-    return joined.withColumn("change_type", kind).where("change_type is not null").select(
-        *keys, F.col("_b.code_hash").alias("before_hash"), F.col("_b.node_id").alias("before_id"), F.col("_a.code_hash").alias("after_hash"), F.col("_a.node_id").alias("after_id"), "change_type",
-        *[x for c in carry for x in (origin(c).alias(f"before_{c}"), F.col(f"_a.{c}").alias(f"after_{c}"))],
+    origin = lambda c: F.coalesce(f"_b_carry.{c}", F.when(moved, F.col(f"_a_carry._from.{c}")).otherwise(null))
+    return places.withColumn("change_type", kind).where("change_type is not null").select(
+        *keys, F.col("_b.code_hash").alias("before_hash"), F.col("_b_id.node_id").alias("before_id"), F.col("_a.code_hash").alias("after_hash"), F.col("_a_id.node_id").alias("after_id"), "change_type",
+        *[x for c in carry for x in (origin(c).alias(f"before_{c}"), F.col(f"_a_carry.{c}").alias(f"after_{c}"))],
     )
 
 
@@ -57,8 +64,9 @@ def diff_summary(diff: DataFrame, before: DataFrame, after: DataFrame, scope: li
 
     def totals(old: DataFrame, new: DataFrame, name: str, *more: Column) -> DataFrame:
         columns = list(dict.fromkeys([*scope, *(["file", "function"] if more else [])]))
-        rows = old.select(*columns, F.lit(True).alias("_old")).unionByName(new.select(*columns, F.lit(False).alias("_old")))
-        return rows.groupBy(*scope).agg(F.count_if("_old").alias(f"{name}_before"), F.count_if(~F.col("_old")).alias(f"{name}_after"), *more)
+        rows = old.select(*columns, F.lit(1).alias("_o"), F.lit(0).alias("_n")).unionByName(new.select(*columns, F.lit(0).alias("_o"), F.lit(1).alias("_n")))
+        few = rows.groupBy(*columns).agg(F.sum("_o").alias("_o"), F.sum("_n").alias("_n"))  # what is counted once is one row before it is
+        return few.groupBy(*scope).agg(F.sum("_o").alias(f"{name}_before"), F.sum("_n").alias(f"{name}_after"), *more)
 
     out = totals(before, after, "nodes", F.count_distinct("file").alias("files_compared"), F.count_distinct("file", "function").alias("functions_compared")).join(by_kind, scope, "left")
     if edges_before is not None:

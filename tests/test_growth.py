@@ -40,3 +40,12 @@ def test_nodes_are_scanned_once(spark):
     rows = links.severity_features(patterns.add_scores(nodes, F.col("code"), patterns.UNIVERSAL), edges, sizes, "k")
     assert "eval(" not in plan(rows)
     assert [(r["k"], r["num_suspicious_nodes"], r["cnt_code_execution"], r["cnt_file_access"]) for r in rows.orderBy("k").collect()] == [(1, 1.0, 1.0, 1.0), (2, 0.0, 0.0, 0.0)]
+
+
+def test_sides_are_dealt_once(spark):
+    row = "string file, string function, int start_line, int end_line, string type, string code_hash, string node_id"
+    nodes = spark.createDataFrame([("f", "g", 1, 2, "b", "h", "i"), (None, "g", 1, 2, "b", "h", "i")], ", ".join(" ".join(reversed(c.split())) for c in row.split(", ")))
+    after = nodes.withColumn("start_line", F.lit(5))
+    diff = graphdiff.node_diff(nodes, after, [], carry=["code_hash"])
+    assert plan(diff).count("Exchange hashpartitioning") == 1
+    assert sorted((r["file"] or "", r["change_type"]) for r in diff.collect()) == [("", "added"), ("", "removed"), ("f", "moved")]
