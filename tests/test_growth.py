@@ -49,3 +49,9 @@ def test_sides_are_dealt_once(spark):
     diff = graphdiff.node_diff(nodes, after, [], carry=["code_hash"])
     assert plan(diff).count("Exchange hashpartitioning") == 1
     assert sorted((r["file"] or "", r["change_type"]) for r in diff.collect()) == [("", "added"), ("", "removed"), ("f", "moved")]
+
+
+def test_graphs_are_handed_on_in_pieces():
+    files = pd.DataFrame({"path": [str(k) for k in range(3000)], "source": ["def f(x):\n    return x\n"] * 3000})
+    frames = list(pysource._rows(lambda g: iter(g.nodes), ["path", "function", "node_id", "type", "start_line", "end_line", "code_snippet", "code_hash", "contains_calls"])(iter([files])))
+    assert sum(map(len, frames)) == 9000 and max(map(len, frames)) < 1100
