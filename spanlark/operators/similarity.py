@@ -42,11 +42,12 @@ def mean_pooled(tokens: DataFrame, key: str, vector: str, name: str = "pooled")
 
 
 #: Rows of a side in a block, and of the left side in a tile of it: a task holds two blocks and one tile's products.
-BLOCK_ROWS, TILE_ROWS = 4096, 512
+BLOCK_ROWS, TILE_ROWS = 4096, 128
 
 
-def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids of some left rows, ids of the right rows, and the products of their vectors."""
+    pdf = pd.concat(list(batches))
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if len(left) and len(right):
         columns = np.stack(right["v"].to_numpy()).T
@@ -70,12 +71,10 @@ def link_vectors(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     both are dealt into blocks, a task multiplies one pair of blocks tile by tile, and only pairs that reach ``tau`` are written."""
     names = [f"left_{left_id}", f"right_{right_id}"]
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for own, other, sims in _tiles(pdf):
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, other, sims in _tiles(batches):
             i, j = np.nonzero(sims >= tau)
-            found.append(pd.DataFrame({names[0]: own[i], names[1]: other[j], "sim": sims[i, j]}))
-        return pd.concat(found) if found else pd.DataFrame({names[0]: pd.Series(dtype="int64"), names[1]: pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+            yield pd.DataFrame({names[0]: own[i], names[1]: other[j], "sim": sims[i, j]})  # tile by tile, so that no task holds a block's pairs
 
     return _dealt(left, right, left_id, right_id, vector).applyInPandas(pairs, f"{names[0]} long, {names[1]} long, sim double")
 
@@ -83,9 +82,9 @@ def link_vectors(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 def matrix_stats(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str) -> DataFrame:
     """Least, greatest and mean cosine of all pairs, summed up where they are made: no pair is written."""
 
-    def stats(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(sims.min(), sims.max(), sims.sum(), sims.size) for _, _, sims in _tiles(pdf)]
-        return pd.DataFrame(rows, columns=["low", "high", "total", "n"])
+    def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(sims.min(), sims.max(), sims.sum(), sims.size) for _, _, sims in _tiles(batches)]
+        yield pd.DataFrame(rows, columns=["low", "high", "total", "n"])
 
     parts = _dealt(left, right, left_id, right_id, vector).applyInPandas(stats, "low double, high double, total double, n long")
     return parts.agg(F.min("low").alias("sim_min"), F.max("high").alias("sim_max"), (F.sum("total") / F.sum("n")).alias("sim_mean"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_pairs"))

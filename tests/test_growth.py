@@ -55,3 +55,13 @@ def test_graphs_are_handed_on_in_pieces():
     files = pd.DataFrame({"path": [str(k) for k in range(3000)], "source": ["def f(x):\n    return x\n"] * 3000})
     frames = list(pysource._rows(lambda g: iter(g.nodes), ["path", "function", "node_id", "type", "start_line", "end_line", "code_snippet", "code_hash", "contains_calls"])(iter([files])))
     assert sum(map(len, frames)) == 9000 and max(map(len, frames)) < 1100
+
+
+def test_pairs_are_handed_on_tile_by_tile(spark, monkeypatch):
+    got, plain = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: got.append(f) or plain(self, f, schema))
+    rows = spark.createDataFrame([(k, [1.0, k / 1000]) for k in range(1000)], "id long, v array<double>")
+    assert similarity.link_vectors(rows, rows, "id", "id", "v", 0.1).count() == 1_000_000
+    pdf = pd.DataFrame({"id": range(2000), "v": [[1.0, 0.0]] * 2000, "side": [0] * 1000 + [1] * 1000})
+    frames = list(got[0](iter([pdf])))
+    assert sum(map(len, frames)) == 1_000_000 and max(map(len, frames)) <= 128 * 1000
