@@ -28,6 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +53,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 def written(words: list[bytes]) -> bytes:
     """Words as a window: between spaces, and as often as it takes to have ``LEAST_BYTES``."""
-    block = b" " + b" ".join(words) + b" "
+    return long_enough(b" " + b" ".join(words) + b" ")
+
+
+def long_enough(block: bytes) -> bytes:
     return block * -(-LEAST_BYTES // len(block))
 
 
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` for a column: the words of all its texts in one array, and where those of each text begin (and the last end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words = lists.flatten()
+    real = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy() > 0)])  # white space at either end leaves an empty piece
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return words.filter(pc.greater(pc.binary_length(words), 0)), real[np.concatenate([[0], ends])]
+
+
+def windows_of(words: pa.Array, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Every window of each text, and where those of each text begin."""
+    if not len(words):
+        return [], np.zeros(len(starts), np.int64)
+    line = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    data = b" " + pc.binary_join(line, " ").cast(pa.binary())[0].as_py() + b" "  # a window is a piece of it, with both spaces
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)])
+    counts = -(-np.diff(starts) // WORDS)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    first = np.repeat(starts[:-1], counts) + WORDS * (np.arange(begins[-1]) - np.repeat(begins[:-1], counts))
+    last = np.minimum(first + WORDS, np.repeat(starts[1:], counts))
+    return [long_enough(data[i : j + 1]) for i, j in zip(at[first].tolist(), at[last].tolist())], begins
+
+
 def runs(data: bytes, size: int) -> np.ndarray:
     """The table's place of the run of ``size`` bytes that begins at each byte."""
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
@@ -65,6 +92,17 @@ def runs(data: bytes, size: int) -> np.ndarray:
     return ((h + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def inside(pieces: list[bytes]) -> list[np.ndarray]:
+    """The different places of the runs in each piece, in order; runs that reach into the next piece are left out."""
+    ends = np.cumsum([len(p) for p in pieces])
+    owner, data, found = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0)), b"".join(pieces), []
+    for size in RUNS:
+        own = owner[: max(0, len(data) - size + 1)]
+        found.append((own << TABLE_BITS | runs(data, size))[np.arange(len(own)) + size <= ends[own]])
+    both = np.unique(np.concatenate(found))
+    return np.split(both & (1 << TABLE_BITS) - 1, np.searchsorted(both, np.arange(1, len(pieces)) << TABLE_BITS))
+
+
 def frequencies(documents: list[bytes]) -> np.ndarray:
     """In how many documents the runs of each place are."""
     out = np.zeros(1 << TABLE_BITS, dtype=np.int32)
@@ -98,13 +136,13 @@ def cover(documents: list[bytes], gain: np.ndarray, size: int, segment: int) ->
             last = len(sums) - 1
             value += sums[np.clip(ends - k + 1, 0, last)] - sums[np.minimum(at[:-1], np.clip(ends - k + 1, 0, last))]
         found.update(data[at[i] : ends[i]] for i in np.flatnonzero(value > 0).tolist())
-    inside = lambda s: np.unique(np.concatenate([runs(s, k) for k in RUNS]))
-    heap = [(-float(gain[inside(s)].sum()), s) for s in sorted(found)]
+    found = sorted(found)
+    heap = [(-float(gain[places].sum()), s) for i in range(0, len(found), 1000) for s, places in zip(found[i : i + 1000], inside(found[i : i + 1000]))]
     heapq.heapify(heap)
     out, held = [], 0
     while heap and held < size:
         _, s = heapq.heappop(heap)
-        places = inside(s)
+        (places,) = inside([s])
         now = float(gain[places].sum())
         if now <= 0:
             continue
@@ -132,38 +170,56 @@ class Known(Memo):
         super().__init__(ROOM)
         self.distance = distance
 
-    def __missing__(self, word: bytes) -> int:
-        return self.put(word, self.distance(written([word]), 0), 40 + len(word))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = [self.get(w) for w in words]
+        new = sorted((i for i, saved in enumerate(out) if saved is None), key=words.__getitem__)  # words that begin alike search the same places
+        for i, saved in zip(new, self.distance([written([words[i]]) for i in new], 0).tolist()):
+            out[i] = self.put(words[i], saved, 40 + len(words[i]))
+        return np.array(out, dtype=np.int64)
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a window against the ordinary one."""
+    """Bytes that the toxic dictionary saves on windows against the ordinary one.
+
+    Both dictionaries' tables are several times what a processor's own memory holds, so a chunk's windows go through the one
+    first and then through the other."""
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.packers, self.known = [], Known(self)
-        for level in (WORD_LEVEL, LEVEL):
-            pair = []
+        made, self.known = {}, Known(self)
+        for level in {WORD_LEVEL, LEVEL}:
+            made[level] = []
             for content in (ordinary, toxic):
                 data = zstandard.ZstdCompressionDict(content)
                 data.precompute_compress(level=level)
-                pair.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.packers.append(pair)
-
-    def __call__(self, block: bytes, kind: int = 1) -> int:
-        ordinary, toxic = self.packers[kind]
-        return len(ordinary.compress(block)) - len(toxic.compress(block))
-
-    def savings(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Of every single word, and of every window."""
-        words = words_of(text)
-        windows = [self(written(words[k : k + WORDS])) for k in range(0, len(words), WORDS)]
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), np.array(windows, dtype=np.int64)
-
-    def features(self, text: str | None) -> np.ndarray:
-        out = []
-        for saved in self.savings(text):
-            out += [*(math.sqrt(np.count_nonzero(saved >= k) / max(1, len(saved))) for k in THRESHOLDS), min(8, max(0, saved.max(initial=0)))]
-        return np.array(out)
+                made[level].append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.packers = [made[WORD_LEVEL], made[LEVEL]]
+
+    def __call__(self, blocks: list[bytes], kind: int = 1) -> np.ndarray:
+        if not blocks:
+            return np.zeros(0, np.int64)
+        ordinary, toxic = (np.fromiter(map(len, packer.multi_compress_to_buffer(blocks, threads=1)), np.int64, len(blocks)) for packer in self.packers[kind])
+        return ordinary - toxic
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """A row for each text: of its single words, then of its windows, the shares that reach each threshold and the most saved."""
+        words, starts = split(column)
+        coded = words.dictionary_encode()
+        single = self.known.of(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
+        windows, begins = windows_of(words, starts)
+        different = list(dict.fromkeys(windows))
+        saved = dict(zip(different, self(different).tolist()))
+        return np.column_stack([*shares(single, starts), *shares(np.fromiter(map(saved.__getitem__, windows), np.int64, len(windows)), begins)])
+
+
+def shares(saved: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    n = np.diff(starts)
+    for k in THRESHOLDS:
+        upto = np.concatenate([[0], np.cumsum(saved >= k)])
+        yield np.sqrt((upto[starts[1:]] - upto[starts[:-1]]) / np.maximum(1, n))
+    most = np.zeros(len(n), np.int64)
+    if len(saved):
+        most[n > 0] = np.maximum.reduceat(saved, starts[:-1][n > 0])
+    yield np.clip(most, 0, 8)
 
 
 def ranking(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -201,7 +257,7 @@ def train(rows: list[tuple[str | None, int]], *, ratio: float = 3.0, chance: flo
     ordinary = dictionary([windows[i] for i in order], ordinary_bytes)
     model = {"rate": rate, "toxic": ordinary + b"".join(chosen), "ordinary": ordinary}
     distance = Distance(model["toxic"], model["ordinary"])
-    model["line"] = logistic(np.array([distance.features(t) for t, _ in rest]), np.array([y for _, y in rest], dtype=float))
+    model["line"] = logistic(distance.features(pa.array([t for t, _ in rest], pa.string())), np.array([y for _, y in rest], dtype=float))
     return model
 
 
@@ -218,7 +274,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa
         distance, (a, *b) = DISTANCES[key], model["line"]
     for chunk in in_chunks(batches, 4 << 20):
         if "line" in model:
-            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + float(distance.features(t.as_py()) @ b))))) for t in chunk["text"]]
+            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + float(x @ b))))) for x in distance.features(chunk["text"].combine_chunks())]
         else:
             scores = [model["rate"]] * chunk.num_rows
         yield pa.record_batch([chunk["doc_id"].combine_chunks(), pa.array(scores, pa.float64())], schema=SCORED)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 from spanlark.llm import toxicity
@@ -94,3 +95,45 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.train([]) == {"rate": 0.0} and toxicity.train([("a", 1)]) == {"rate": 1.0}
     none = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
+
+
+def test_chunks_go_through_one_dictionary_after_the_other():
+    """Texts that repeat in a chunk cost one pass of their different words and windows through either dictionary."""
+    model, passes = toxicity.train(sample()), []
+    distance = toxicity.Distance(model["toxic"], model["ordinary"])
+
+    class Packer:
+        def __init__(self, name, packer):
+            self.name, self.packer = name, packer
+
+        def compress(self, block):
+            passes.append((self.name, [block]))
+            return self.packer.compress(block)
+
+        def multi_compress_to_buffer(self, blocks, **settings):
+            passes.append((self.name, list(blocks)))
+            return self.packer.multi_compress_to_buffer(blocks, **settings)
+
+    distance.packers = [[Packer((kind, i), p) for i, p in enumerate(pair)] for kind, pair in enumerate(distance.packers)]
+    texts = [f"river stone zag {'you are not wanted here ' * 14}{k % 4}" for k in range(80)]
+    got = distance.features(pa.array(texts))
+    assert (got[:4].tolist() * 20) == got.tolist()
+    names = [name for name, _ in passes]
+    assert sum(a != b for a, b in zip(names, names[1:])) == 3, "the dictionaries alternate"
+    sizes = {name: sum(len(blocks) for n, blocks in passes if n == name) for name in set(names)}
+    assert sizes == {(0, 0): 12, (0, 1): 12, (1, 0): 6, (1, 1): 6}  # 8 + 4 words; two windows that all share, and a last one in four forms
+
+
+def test_columns_are_cut_as_texts(odd):
+    texts = [r["text"] for r in odd.collect()] + ["\x1c a\x1d \x0bB\x0c\rÀb ", " x" * 64, " y" * 65 + "\x85", None, ""]
+    words, starts = toxicity.split(pa.array(texts, pa.string()))
+    plain = [toxicity.words_of(t) for t in texts]
+    assert [words[i:j].cast(pa.binary()).to_pylist() for i, j in zip(starts, starts[1:])] == plain
+    windows, begins = toxicity.windows_of(words, starts)
+    assert [windows[i:j] for i, j in zip(begins, begins[1:])] == [[toxicity.written(w[k : k + toxicity.WORDS]) for k in range(0, len(w), toxicity.WORDS)] for w in plain]
+
+
+def test_runs_stay_inside_their_pieces():
+    pieces = [b"", b"abc", b" you are not ", b" zag ", b" you are not wanted here ", b"", b"x" * 40]
+    for got, piece in zip(toxicity.inside(pieces), pieces, strict=True):
+        assert got.tolist() == sorted({h for size in toxicity.RUNS for h in toxicity.runs(piece, size).tolist()})
