@@ -69,12 +69,16 @@ def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pc.greater(pc.binary_length(words), 0)), real[np.concatenate([[0], ends])]
 
 
+def in_line(words: pa.Array) -> bytes:
+    """Words one after the other, with a space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ").cast(pa.binary())[0].as_py()
+
+
 def windows_of(words: pa.Array, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Every window of each text, and where those of each text begin."""
     if not len(words):
         return [], np.zeros(len(starts), np.int64)
-    line = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-    data = b" " + pc.binary_join(line, " ").cast(pa.binary())[0].as_py() + b" "  # a window is a piece of it, with both spaces
+    data = b" " + in_line(words) + b" "  # a window is a piece of it, with both spaces
     at = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)])
     counts = -(-np.diff(starts) // WORDS)
     begins = np.concatenate([[0], np.cumsum(counts)])
@@ -99,15 +103,19 @@ def inside(pieces: list[bytes]) -> list[np.ndarray]:
     for size in RUNS:
         own = owner[: max(0, len(data) - size + 1)]
         found.append((own << TABLE_BITS | runs(data, size))[np.arange(len(own)) + size <= ends[own]])
-    both = np.unique(np.concatenate(found))
+    both = np.sort(np.concatenate(found))
+    both = both[np.diff(both, prepend=-1) > 0]
     return np.split(both & (1 << TABLE_BITS) - 1, np.searchsorted(both, np.arange(1, len(pieces)) << TABLE_BITS))
 
 
 def frequencies(documents: list[bytes]) -> np.ndarray:
     """In how many documents the runs of each place are."""
-    out = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+    out, last = np.zeros(1 << TABLE_BITS, dtype=np.int32), np.zeros(1 << TABLE_BITS, dtype=np.int64)
     for data in documents:
-        out[np.unique(np.concatenate([runs(data, size) for size in RUNS]))] += 1
+        places = np.concatenate([runs(data, size) for size in RUNS])
+        order = np.arange(len(places))
+        last[places] = order
+        out[places[last[places] == order]] += 1  # each place once
     return out
 
 
@@ -136,13 +144,18 @@ def cover(documents: list[bytes], gain: np.ndarray, size: int, segment: int) ->
             last = len(sums) - 1
             value += sums[np.clip(ends - k + 1, 0, last)] - sums[np.minimum(at[:-1], np.clip(ends - k + 1, 0, last))]
         found.update(data[at[i] : ends[i]] for i in np.flatnonzero(value > 0).tolist())
-    found = sorted(found)
-    heap = [(-float(gain[places].sum()), s) for i in range(0, len(found), 1000) for s, places in zip(found[i : i + 1000], inside(found[i : i + 1000]))]
+    found, known = sorted(found), Memo(64 << 20)
+    heap = []
+    for i in range(0, len(found), 1000):
+        for s, places in zip(found[i : i + 1000], inside(found[i : i + 1000])):
+            heap.append((-float(gain[known.put(s, places, places.nbytes + 150)].sum()), s))
     heapq.heapify(heap)
     out, held = [], 0
     while heap and held < size:
         _, s = heapq.heappop(heap)
-        (places,) = inside([s])
+        places = known.get(s)
+        if places is None:
+            (places,) = inside([s])
         now = float(gain[places].sum())
         if now <= 0:
             continue
@@ -171,9 +184,9 @@ class Known(Memo):
         self.distance = distance
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        out = [self.get(w) for w in words]
+        out = list(map(self.get, words))
         new = sorted((i for i, saved in enumerate(out) if saved is None), key=words.__getitem__)  # words that begin alike search the same places
-        for i, saved in zip(new, self.distance([written([words[i]]) for i in new], 0).tolist()):
+        for i, saved in zip(new, self.distance([long_enough(b" " + words[i] + b" ") for i in new], 0).tolist()):
             out[i] = self.put(words[i], saved, 40 + len(words[i]))
         return np.array(out, dtype=np.int64)
 
@@ -204,7 +217,7 @@ class Distance:
         """A row for each text: of its single words, then of its windows, the shares that reach each threshold and the most saved."""
         words, starts = split(column)
         coded = words.dictionary_encode()
-        single = self.known.of(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
+        single = self.known.of(in_line(coded.dictionary).split())[coded.indices.to_numpy()]
         windows, begins = windows_of(words, starts)
         different = list(dict.fromkeys(windows))
         saved = dict(zip(different, self(different).tolist()))
@@ -272,7 +285,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa
             DISTANCES.clear()  # a worker may outlive many models
             DISTANCES[key] = Distance(*key)
         distance, (a, *b) = DISTANCES[key], model["line"]
-    for chunk in in_chunks(batches, 4 << 20):
+    for chunk in in_chunks(batches, 8 << 20):
         if "line" in model:
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + float(x @ b))))) for x in distance.features(chunk["text"].combine_chunks())]
         else:
