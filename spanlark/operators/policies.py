@@ -54,10 +54,11 @@ def guard_model(df: DataFrame, reply: str) -> DataFrame:
     return df.withColumn("verdict", parsed["verdict"]).withColumn("categories", parsed["categories"]).withColumn("decision", F.when(F.col("verdict") == "safe", "accept").otherwise("reject"))
 
 
-def surrogate_guard(df: DataFrame, prompt: str, words: list[str] | None = None) -> DataFrame:
-    """The deterministic stand-in for the guard model: blank texts are unknown, and unknown is rejected."""
-    unsafe = T.contains_any(F.col(prompt), UNSAFE_WORDS if words is None else words)
-    verdict = F.when(T.strip(F.coalesce(F.col(prompt), F.lit(""))) == "", "unknown").when(unsafe, "unsafe").otherwise("safe")
+def surrogate_guard(df: DataFrame, prompt: str, words: list[str] | None = None, blank_unknown: bool = True) -> DataFrame:
+    """The deterministic stand-in for the guard model: blank texts are unknown, and unknown is rejected; without ``blank_unknown`` words alone decide."""
+    verdict = F.when(T.contains_any(F.col(prompt), UNSAFE_WORDS if words is None else words), "unsafe").otherwise("safe")
+    if blank_unknown:
+        verdict = F.when(T.strip(F.coalesce(F.col(prompt), F.lit(""))) == "", "unknown").otherwise(verdict)
     return df.withColumn("verdict", verdict).withColumn("decision", F.when(F.col("verdict") == "safe", "accept").otherwise("reject"))
 
 

@@ -86,6 +86,13 @@ def test_guard_and_links_parse(spark):
     assert {r["subtask_index"]: r["node_ids"] for r in parsed.collect()} == {0: ["c"], 1: []}
 
 
+def test_surrogate_guard_of_blank_texts(spark):
+    df = frame(spark, list(enumerate(["", " \n", None, "a Backdoor", "fine"])), "i int, prompt string")
+    found = lambda **how: [(r["verdict"], r["decision"]) for r in policies.surrogate_guard(df, "prompt", **how).orderBy("i").collect()]
+    assert found() == [("unknown", "reject")] * 3 + [("unsafe", "reject"), ("safe", "accept")]
+    assert found(blank_unknown=False) == [("safe", "accept")] * 3 + [("unsafe", "reject"), ("safe", "accept")]
+
+
 DIFF = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1,2 @@ def f(x):\n-x\n+y\n+z\ndiff --git a/b.py b/b.py\n--- /dev/null\n+++ b/b.py\t2024\n@@ -0,0 +7 @@\n+w"
 
 
